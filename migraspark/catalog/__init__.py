@@ -15,7 +15,9 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 _MODULES = (
+    "relational",
     "workload",
+    "reconcile",
 )
 
 

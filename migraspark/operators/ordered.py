@@ -318,3 +318,39 @@ def with_band_count(
         merged, [asc("__value"), asc("__kind"), asc("__spread")], "__delta", name
     )
     return swept.filter(F.col("__point").isNotNull()).select("__point.*", name)
+
+
+def segments(starts: DataFrame, start: str, end: int | Column, carried: Sequence[str]) -> DataFrame:
+    """Turn interval starts into segments: carry each column forward and add ``__width``.
+
+    ``starts`` has one row per distinct start. A column that is NULL at a start keeps the value of
+    the latest earlier start that has one.
+    """
+    laid = lay_out(starts, [asc(start)])
+    ends = laid.groupBy(PID).agg(
+        F.min(start).alias("__first_start"),
+        *[
+            F.max_by(c, F.when(F.col(c).isNotNull(), F.col(SLOT))).alias(f"__last_{c}")
+            for c in carried
+        ],
+    )
+    lower = Window.orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(
+        PID,
+        F.lead("__first_start").over(Window.orderBy(PID)).alias("__next_pid_start"),
+        *[F.last(f"__last_{c}", ignorenulls=True).over(lower).alias(f"__in_{c}") for c in carried],
+    )
+    inside = Window.partitionBy(PID).orderBy(SLOT)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    scanned = laid.select(
+        PID,
+        start,
+        F.lead(start).over(inside).alias("__next"),
+        *[F.last(c, ignorenulls=True).over(so_far).alias(c) for c in carried],
+    ).join(F.broadcast(ends), PID)  # one row per partition
+    following = F.coalesce("__next", "__next_pid_start", F.lit(end) if isinstance(end, int) else end)
+    return scanned.select(
+        start,
+        (following - F.col(start)).alias("__width"),
+        *[F.coalesce(c, f"__in_{c}").alias(c) for c in carried],
+    )

@@ -70,3 +70,20 @@ def lookup_join(
         salted_right, same & (F.col("__salt") == F.col("__r_salt")), how
     )
     return joined.select(*left.columns, *extra)
+
+
+def expand_left_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how_many: int = SALTS
+) -> DataFrame:
+    """``left LEFT JOIN right`` where ``right`` may hold very many rows of one key.
+
+    A left outer join cannot split its right side, so matches come from a salted inner join with
+    the many-row side leading, and left rows without a match are added from an anti join.
+    """
+    extra = [c for c in right.columns if c not in keys]
+    rest = [c for c in left.columns if c not in keys]
+    keyed = right.dropna(subset=list(keys))
+    matched = lookup_join(keyed, left, keys, salts=how_many).select(*left.columns, *extra)
+    present = keyed.select(*keys).distinct()
+    alone = left.join(present, list(keys), "left_anti").select(*keys, *rest)
+    return matched.unionByName(alone, allowMissingColumns=True)

@@ -96,3 +96,105 @@ PRODUCTS_SQL = """prod AS (
   FROM part)"""
 
 BASE_SQL = f"WITH {CUSTOMERS_SQL},\n{ORDERS_SQL},\n{PRODUCTS_SQL}"
+
+
+# ---------------------------------------------------------------- run history, from the same tables
+#
+# Each order stands for one migration run, each order line for an export of one side, and each
+# event for a later patch of a run. The expressions below are valid in Spark SQL and in the
+# cross-check, so both sides read the same definition.
+
+_SOURCE_CODE = (
+    "CASE WHEN o_orderpriority = '4-NOT SPECIFIED' AND o_orderstatus = 'O' THEN '  ' "
+    "ELSE 'SELECT customer_id FROM orders WHERE amount > ' || CAST(o_custkey AS STRING) END"
+)
+_GENERATED_CODE = (
+    "CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '3-MEDIUM' THEN NULL "
+    "ELSE 'SELECT o.customer_id FROM orders o JOIN customers c ON o.customer_id = c.customer_id' END"
+)
+_RECON_IND = (
+    "CASE o_orderpriority WHEN '1-URGENT' THEN 'passed' WHEN '2-HIGH' THEN 'failed' "
+    "WHEN '3-MEDIUM' THEN 'prepared' WHEN '4-NOT SPECIFIED' THEN 'skipped' END"
+)
+
+RUN_EXPRESSIONS = {
+    "run_id": "o_orderkey + 1",
+    "request_id": "'req_' || CAST(o_orderkey AS STRING)",
+    "source_file": "CASE WHEN o_orderpriority = '5-LOW' THEN NULL "
+    "ELSE 'query_' || CAST(o_custkey AS STRING) || '.sql' END",
+    "target_file": "'target_' || CAST(o_custkey AS STRING) || '.sql'",
+    "target_file_path": "'out/target_' || CAST(o_custkey AS STRING) || '.sql'",
+    "source_type": "CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' "
+    "THEN 'oracle' ELSE 'teradata' END",
+    "target_type": "CASE WHEN o_orderstatus = 'O' AND o_orderpriority = '2-HIGH' "
+    "THEN 'snowflake' ELSE 'bigquery' END",
+    "output_format": "'target_sql_only'",
+    "source_code": _SOURCE_CODE,
+    "generated_code": _GENERATED_CODE,
+    "status": "CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'partial' ELSE 'failed' END",
+    "success": "o_orderstatus = 'F'",
+    "error_message": "CASE WHEN o_orderstatus = 'P' THEN 'unexpected token' END",
+    "error_type": "CASE WHEN o_orderstatus = 'P' THEN 'ParseError' END",
+    "validation_passed": "CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE o_orderstatus <> 'P' END",
+    "validation_feedback": "CAST(NULL AS STRING)",
+    "code_length_original": f"CAST(length({_SOURCE_CODE}) AS INT)",
+    "code_length_generated": f"CAST(length({_GENERATED_CODE}) AS INT)",
+    "processing_time_ms": "o_totalprice",
+    "warnings": "CAST(NULL AS STRING)",
+    "recon_ind": _RECON_IND,
+    "source_schema": "'legacy'",
+    "target_schema": "'modern'",
+    "source_result_path": "CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') "
+    "THEN 'exports/source/' || CAST(o_orderkey + 1 AS STRING) END",
+    "target_result_path": "CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') "
+    "THEN 'exports/target/' || CAST(o_orderkey + 1 AS STRING) END",
+    "recon_passed": "CASE o_orderpriority WHEN '1-URGENT' THEN TRUE WHEN '2-HIGH' THEN FALSE END",
+    "recon_result_path": "CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'report.md' END",
+    "created_at": "o_orderdate",
+}
+
+MANIFEST_EXPRESSIONS = {
+    "run_id": "l_orderkey + 1",
+    "side": "CASE WHEN l_returnflag = 'N' THEN 'target' ELSE 'source' END",
+    "row_count": "COUNT(*)",
+}
+
+PATCH_EXPRESSIONS = {
+    "run_id": "user_id + 1",
+    "seq": "event_id",
+    "recon_ind": "CASE event_type WHEN 'purchase' THEN 'passed' WHEN 'error' THEN 'failed' END",
+    "source_schema": "CAST(NULL AS STRING)",
+    "target_schema": "CASE WHEN event_type = 'signup' THEN 'modern_v2' END",
+    "source_result_path": "CASE WHEN event_type = 'view' "
+    "THEN 'exports/source/' || CAST(event_id AS STRING) END",
+    "target_result_path": "CASE WHEN event_type = 'click' "
+    "THEN 'exports/target/' || CAST(event_id AS STRING) END",
+    "recon_passed": "CASE event_type WHEN 'purchase' THEN TRUE WHEN 'error' THEN FALSE END",
+    "recon_result_path": "CASE WHEN event_type IN ('purchase', 'error') "
+    "THEN 'reports/' || CAST(event_id AS STRING) END",
+}
+
+
+def _listed(expressions: dict[str, str]) -> list[str]:
+    return [f"{text} AS {name}" for name, text in expressions.items()]
+
+
+def runs(spark: SparkSession, folder: str) -> DataFrame:
+    prepare_session(spark)
+    return scan(spark, folder, "orders").selectExpr(*_listed(RUN_EXPRESSIONS))
+
+
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    lines = scan(spark, folder, "lineitem").selectExpr(*_listed(MANIFEST_EXPRESSIONS)[:2])
+    return lines.groupBy("run_id", "side").agg(F.count("*").alias("row_count"))
+
+
+def patches(spark: SparkSession, folder: str) -> DataFrame:
+    return scan(spark, folder, "events").selectExpr(*_listed(PATCH_EXPRESSIONS))
+
+
+RUNS_CTE = f"runs AS (SELECT {', '.join(_listed(RUN_EXPRESSIONS))} FROM orders)"
+MANIFEST_CTE = (
+    f"manifest AS (SELECT {', '.join(_listed(MANIFEST_EXPRESSIONS))} FROM lineitem GROUP BY 1, 2)"
+)
+PATCHES_CTE = f"patches AS (SELECT {', '.join(_listed(PATCH_EXPRESSIONS))} FROM events)"

@@ -18,6 +18,13 @@ _MODULES = (
     "relational",
     "workload",
     "reconcile",
+    "generate",
+    "conform",
+    "io",
+    "history",
+    "corpus",
+    "checks",
+    "progress",
 )
 
 

@@ -22,11 +22,11 @@ def orders(spark, folder):
 
 
 def repriced(df):
-    """Large cancelled orders cost five more, small orders lose their status."""
+    """Large cancelled orders cost 500 more, small orders lose their status."""
     dear = (F.col("status") == "CANCELLED") & (F.col("amount") > 400000)
     return df.withColumns(
         {
-            "amount": F.when(dear, F.col("amount") + 5).otherwise(F.col("amount")),
+            "amount": F.when(dear, F.col("amount") + 500).otherwise(F.col("amount")),
             "status": F.when(F.col("amount") < 20000, "").otherwise(F.col("status")),
         }
     )
@@ -62,7 +62,7 @@ SIDES_SQL = f"""WITH {B.ORDERS_SQL},
 src AS (SELECT order_id, customer_id, order_date, CAST(amount AS DOUBLE) AS amount, status FROM ord),
 repriced AS (
   SELECT order_id, customer_id, order_date,
-         CASE WHEN status = 'CANCELLED' AND amount > 400000 THEN amount + 5 ELSE amount END AS amount,
+         CASE WHEN status = 'CANCELLED' AND amount > 400000 THEN amount + 500 ELSE amount END AS amount,
          CASE WHEN amount < 20000 THEN '' ELSE status END AS status FROM src),
 moved AS (
   SELECT CASE WHEN amount > 490000 THEN order_id + 1000000000 ELSE order_id END AS order_id,

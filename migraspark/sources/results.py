@@ -13,6 +13,14 @@ from pyspark.sql import types as T
 from migraspark.operators.conform import conform
 from migraspark.operators.reconcile import recon_summary
 
+# Quotes are doubled inside quoted values, and blanks around a value belong to it.
+CSV_OPTIONS = {
+    "header": True,
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
 SIDES = ("source", "target")
 MANIFEST_SCHEMA = (
     "run_id bigint, side string, schema_name string, row_count bigint, column_count int, "
@@ -28,8 +36,7 @@ def read_result(
 ) -> DataFrame:
     """A header CSV result set. Quoted line breaks need ``multiline``, which keeps one file in one
     task: write CSV in many files, or export Parquet. Without a schema, types are inferred."""
-    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"')
-    reader = reader.option("multiLine", multiline)
+    reader = spark.read.options(**CSV_OPTIONS).option("multiLine", multiline)
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     return reader.csv(path)
 
@@ -40,7 +47,7 @@ def _write(df: DataFrame, path: str, file_format: str, rows_per_file: int) -> in
     writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
     writer = writer.option("maxRecordsPerFile", rows_per_file)
     if file_format == "csv":
-        writer = writer.option("header", True).option("quote", '"').option("escape", '"')
+        writer = writer.options(**CSV_OPTIONS)
     writer.format(file_format).save(path)
     return int(seen.get["rows"])
 

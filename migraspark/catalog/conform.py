@@ -73,7 +73,7 @@ def sch_02(spark, folder):
         "items ARRAY<STRUCT<quantity: BIGINT, city: STRING>>, notes MAP<STRING, STRING> NOT NULL",
         {"items": ColumnGen(null_rate=0.25), "notes": ColumnGen(size_range=(2, 9))},
     )
-    made = G.generate(spec, spine(spark, folder), SEED, as_json=False)
+    made = G.generate(spec, spine(spark, folder), SEED, as_json=False, portable=True)
     return S.nested_report(made, spec.schema)
 
 

@@ -24,7 +24,9 @@ TABLE = "demo"
 
 
 def spine(spark, folder, table="orders", key="o_orderkey"):
-    return scan(spark, folder, table).select((F.col(key) + 1).alias(G.ROW_ID))
+    """Row ids, dealt to all cores: a file of ids is small, the rows made from it are not."""
+    ids = scan(spark, folder, table).select((F.col(key) + 1).alias(G.ROW_ID))
+    return ids.repartition(spark.sparkContext.defaultParallelism)
 
 
 def draw(column):
@@ -166,7 +168,7 @@ def gen_03(spark, folder):
             "kept": ColumnGen(kind="key"),
         },
     )
-    return G.generate(spec, spine(spark, folder), SEED)
+    return G.generate(spec, spine(spark, folder), SEED, portable=True)
 
 
 def _columns(spark, folder, **columns):
@@ -265,7 +267,7 @@ def gen_13(spark, folder):
     spec = TableSpec.from_ddl_fields(
         TABLE, f"row_id BIGINT NOT NULL, {fields}", {"row_id": ColumnGen(kind="key")}
     )
-    return G.generate(spec, spine(spark, folder), SEED)
+    return G.generate(spec, spine(spark, folder), SEED, portable=True)
 
 
 @query(
@@ -294,7 +296,7 @@ def gen_14(spark, folder):
             "company": ColumnGen(null_rate=0.5),
         },
     )
-    return G.generate(spec, spine(spark, folder), SEED)
+    return G.generate(spec, spine(spark, folder), SEED, portable=True)
 
 
 # ---------------------------------------------------------------- nested values
@@ -385,7 +387,7 @@ def gen_19(spark, folder):
         "row_id BIGINT NOT NULL, pair STRUCT<city: STRING, lucky: BIGINT> NOT NULL",
         {"row_id": ColumnGen(kind="key")},
     )
-    return G.generate(spec, spine(spark, folder), SEED, as_json=True)
+    return G.generate(spec, spine(spark, folder), SEED, as_json=True, portable=True)
 
 
 # ---------------------------------------------------------------- tables
@@ -409,7 +411,7 @@ FROM (SELECT c_custkey + 1 AS row_id FROM customer)"""
 @query("gen_20_generate_table", _customers_sql())
 def gen_20(spark, folder):
     rows = spine(spark, folder, "customer", "c_custkey")
-    return G.generate(G.BASE_SPECS["customers"], rows, SEED)
+    return G.generate(G.BASE_SPECS["customers"], rows, SEED, portable=True)
 
 
 @query(
@@ -425,10 +427,10 @@ def gen_20(spark, folder):
 def gen_20_nested(spark, folder):
     spec = TableSpec(
         G.NESTED_SPEC.name,
-        G.NESTED_SPEC.schema,
+        G.NESTED_SPEC.fields,
         {**G.NESTED_SPEC.mappings, "order_id": ColumnGen(kind="key")},
     )
-    made = G.generate(spec, spine(spark, folder), SEED, as_json=False)
+    made = G.generate(spec, spine(spark, folder), SEED, as_json=False, portable=True)
     return made.select(
         F.col("order_id").cast("bigint").alias("order_id"),
         "status",

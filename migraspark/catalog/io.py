@@ -103,13 +103,11 @@ def snk_01(spark, folder):
     )
 
 
-LOAD_SPEC = T.StructType.fromDDL(
-    "p_partkey BIGINT, p_name VARCHAR(8), p_size BIGINT, p_retailprice DECIMAL(12,2)"
-)
+PART_FIELDS = "p_partkey BIGINT, p_name VARCHAR(8), p_size BIGINT, p_retailprice DECIMAL(12,2)"
 
 
 def _loose_parts(spark, folder):
-    text = [F.col(c).cast("string").alias(c) for c in LOAD_SPEC.names]
+    text = [F.col(c).cast("string").alias(c) for c in T.StructType.fromDDL(PART_FIELDS).names]
     return scan(spark, folder, "part").select(*text)
 
 
@@ -120,10 +118,10 @@ def _loose_parts(spark, folder):
 FROM part""",
 )
 def snk_02(spark, folder):
-    path = scratch_path(spark, "load")
+    path, spec = scratch_path(spark, "load"), T.StructType.fromDDL(PART_FIELDS)
     loose = _loose_parts(spark, folder)
-    IO.load(loose.withColumn("p_size", F.lit("0")), LOAD_SPEC, path)
-    rows = IO.load(loose, LOAD_SPEC, path)
+    IO.load(loose.withColumn("p_size", F.lit("0")), spec, path)
+    rows = IO.load(loose, spec, path)
     return spark.read.parquet(path).select(
         "p_partkey",
         "p_name",
@@ -141,7 +139,8 @@ UNION ALL SELECT 'orders', COUNT(*) FROM orders""",
 def snk_03(spark, folder):
     base = scratch_path(spark, "load_all")
     frames = {"parts": _loose_parts(spark, folder), "orders": orders(spark, folder)}
-    specs = {"parts": LOAD_SPEC, "orders": T.StructType.fromDDL("order_id BIGINT, status VARCHAR(4)")}
+    fields = {"parts": PART_FIELDS, "orders": "order_id BIGINT, status VARCHAR(4)"}
+    specs = {name: T.StructType.fromDDL(text) for name, text in fields.items()}
     return IO.load_all(frames, specs, base)
 
 

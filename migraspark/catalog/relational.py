@@ -313,7 +313,8 @@ def joi_03(spark, folder):
     points = base.orders.filter(F.col("amount") > 0).select(
         "order_id", F.col("amount").cast("decimal(18,4)").alias("amount")
     )
-    counted = ordered.with_band_count(points, "amount", bands, "low", "high", "products_in_band")
+    amounts = points.select("amount").distinct()
+    counted = ordered.with_band_count(amounts, "amount", bands, "low", "high", "products_in_band")
     prices = base.products.select(F.col("price").cast("decimal(18,4)").alias("price")).distinct()
     near = ordered.nearest_items(
         counted.filter(F.col("products_in_band") > 0), "amount", prices, "price"
@@ -321,9 +322,8 @@ def joi_03(spark, folder):
     delta = F.least(
         F.abs(F.col("amount") - F.col("below.price")), F.abs(F.col("amount") - F.col("above.price"))
     )
-    return near.select(
-        "order_id", "products_in_band", delta.cast("double").alias("smallest_delta")
-    )
+    matched = near.select("amount", "products_in_band", delta.cast("double").alias("smallest_delta"))
+    return skew.lookup_join(points, matched, ["amount"]).drop("amount")
 
 
 @query(

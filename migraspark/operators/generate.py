@@ -41,18 +41,23 @@ class ColumnGen:
 
 @dataclass(frozen=True)
 class TableSpec:
-    """A table's name, its declared columns and the columns' overrides."""
+    """A table's name, its field list such as ``id INT NOT NULL, tags ARRAY<STRING>``, and the
+    columns' overrides."""
 
     name: str
-    schema: T.StructType
+    fields: str
     mappings: Mapping[str, ColumnGen] = field(default_factory=dict)
 
     @classmethod
     def from_ddl_fields(
         cls, name: str, fields: str, mappings: Mapping[str, ColumnGen] | None = None
     ) -> TableSpec:
-        """From a field list such as ``id INT NOT NULL, tags ARRAY<STRING>``."""
-        return cls(name, T.StructType.fromDDL(fields), mappings or {})
+        return cls(name, fields, mappings or {})
+
+    @property
+    def schema(self) -> T.StructType:
+        """The declared columns; Spark reads the field list, so a session must be running."""
+        return T.StructType.fromDDL(self.fields)
 
     def null_rate(self, column: T.StructField) -> float:
         given = self.mappings.get(column.name, ColumnGen()).null_rate
@@ -177,13 +182,18 @@ def map_value(draw: Draw, data_type: T.MapType, gen: ColumnGen) -> Column:
             ),
         ),
     )
-    last = F.filter(
+    # A one-element array around the entries gives them a name, so they are drawn once.
+    return F.transform(F.array(entries), _last_of_each_key)[0]
+
+
+def _last_of_each_key(entries: Column) -> Column:
+    kept = F.filter(
         entries,
         lambda entry, place: ~F.exists(
             F.slice(entries, place + 2, F.size(entries)), lambda later: later["key"] == entry["key"]
         ),
     )
-    return F.map_from_entries(last)
+    return F.map_from_entries(kept)
 
 
 def complex_value(draw: Draw, data_type: T.DataType, gen: ColumnGen) -> Column:
@@ -254,15 +264,16 @@ def generate(
     spine: DataFrame,
     seed: int = DEFAULT_SEED,
     as_json: bool = True,
-    fast: bool = False,
+    portable: bool = False,
 ) -> DataFrame:
     """All columns of ``spec`` for the row ids in ``spine``, without a shuffle.
 
-    Nested columns become JSON text, or stay nested with ``as_json=False``.
+    Nested columns become JSON text, or stay nested with ``as_json=False``. ``portable`` draws by
+    md5, which other engines can repeat, at several times the cost.
     """
     columns = []
     for column in spec.schema:
-        draw = Draw(seed, spec.name, column.name, F.col(ROW_ID), fast=fast)
+        draw = Draw(seed, spec.name, column.name, F.col(ROW_ID), fast=not portable)
         value = column_value(draw, column, spec.mappings.get(column.name, ColumnGen()))
         if as_json and isinstance(column.dataType, (T.StructType, T.ArrayType, T.MapType)):
             value = F.to_json(value)

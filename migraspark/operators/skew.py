@@ -7,18 +7,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SUPPORT = 0.005  # a key below this share of the rows cannot unbalance a join
+SUPPORT = 0.002  # a key below this share of the rows cannot unbalance a join
 SALTS = 64
+FEW_ROWS = 1_000_000  # even a single key cannot overload a task with so few rows
 
 
 def hot_key_hashes(df: DataFrame, keys: Sequence[str], support: float = SUPPORT) -> list[int]:
     """Hashes of every key holding at least ``support`` of the rows; at most ``1/support`` of them.
 
-    ``freqItems`` may add cooler keys but misses no hot one, which is all that salting needs.
+    Two scans of the key columns and no shuffle of rows: ``freqItems`` names all frequent keys and
+    some others, and counting just those keeps the frequent ones.
     """
+    if df.count() < FEW_ROWS:
+        return []
     hashed = df.select(F.xxhash64(*keys).alias("h"))
-    found = hashed.stat.freqItems(["h"], support).first()
-    return sorted(found[0] or [])
+    candidates = hashed.stat.freqItems(["h"], support).first()[0] or []
+    if not candidates:
+        return []
+    named = F.when(F.col("h").isin(list(candidates)), F.col("h"))
+    counted = hashed.groupBy(named.alias("h")).agg(F.count("*").alias("n")).collect()
+    least = support * sum(row["n"] for row in counted)
+    return sorted(row["h"] for row in counted if row["h"] is not None and row["n"] >= least)
 
 
 def row_spread(columns: Sequence[str]) -> Column:
@@ -40,15 +49,17 @@ def lookup_join(
     how: str = "inner",
     support: float = SUPPORT,
     salts: int = SALTS,
+    hot_from: DataFrame | None = None,
 ) -> DataFrame:
     """Null-safe join of many ``left`` rows to few ``right`` rows per key.
 
     Hot left keys are dealt over ``salts`` copies of their right rows; all other keys join as
-    usual, so the right side grows by at most ``salts / support`` rows per right row of a key.
-    ``how`` is ``inner`` or ``left``.
+    usual, so at most ``1 / support`` right keys are copied. ``how`` is ``inner`` or ``left``.
+    ``hot_from`` is a cheaper frame with the keys of ``left`` to look for hot keys in, such as the
+    table that ``left`` was computed from.
     """
     extra = [c for c in right.columns if c not in keys]
-    hot = hot_key_hashes(left, keys, support)
+    hot = hot_key_hashes(left if hot_from is None else hot_from, keys, support)
     renamed = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *extra)
     same = F.lit(True)
     for key in keys:

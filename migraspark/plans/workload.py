@@ -109,16 +109,17 @@ def match_orders_to_products(
 
     ``price*0.85 <= amount <= price*1.15`` is an interval of prices around the amount, so the
     nearest matching price is the next one below or the next one above; no other pair is formed.
+    It depends on the amount alone, so it is looked up once per distinct amount.
     """
     priced = (
         products.filter(F.col("price") > 0)
         .groupBy("price")
         .agg(F.min(F.struct("product_id", "product_name")).alias("product"))
     )
-    points = orders.filter(F.col("amount") > 0).select(
+    paid = orders.filter(F.col("amount") > 0).select(
         "order_id", "customer_id", "order_date", F.col("amount").alias("order_amount"), "status"
     )
-    near = nearest_items(points, "order_amount", priced, "price")
+    near = nearest_items(paid.select("order_amount").distinct(), "order_amount", priced, "price")
 
     def candidate(side: str) -> Column:
         price = F.col(f"{side}.price")
@@ -133,14 +134,13 @@ def match_orders_to_products(
         )
         return F.when(in_band, found)
 
-    matched = near.withColumn(
-        "match", F.least(candidate("below"), candidate("above"))
-    ).filter(F.col("match").isNotNull())
+    best = F.least(candidate("below"), candidate("above"))
+    matches = near.select("order_amount", best.alias("match")).filter(F.col("match").isNotNull())
+    matched = lookup_join(paid, matches, ["order_amount"])
     who = customers.select("customer_id", "first_name", "last_name", "country")
-    joined = lookup_join(matched.drop("below", "above"), who, ["customer_id"])
-    return joined.select(
-        *[c for c in joined.columns if c != "match"], "match.*"
-    )
+    known = matched.filter(F.col("customer_id").isNotNull())
+    joined = lookup_join(known, who, ["customer_id"], hot_from=paid)
+    return joined.select(*[c for c in joined.columns if c != "match"], "match.*")
 
 
 def product_price_match(
@@ -266,7 +266,8 @@ def tier_matches(
         "amount",
         price_tier(F.col("amount"), bounds).alias("order_tier"),
     )
-    weighted = lookup_join(kept.filter(F.col("customer_id").isNotNull()), known, ["customer_id"])
+    kept = kept.filter(F.col("customer_id").isNotNull())
+    weighted = lookup_join(kept, known, ["customer_id"])
     tiers = weighted.groupBy("order_tier").agg(
         F.count_distinct("order_id").alias("matching_orders"),
         F.count_distinct("customer_id").alias("unique_buyers"),

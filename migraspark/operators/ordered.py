@@ -64,41 +64,57 @@ def _row_in_partition() -> Column:
     return F.col(SLOT).bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
 
 
-def _before(measure: Column) -> Column:
-    """Exclusive prefix sum over the one-row-per-partition summary."""
+def _offsets(laid: DataFrame, measure: Column, total: str | None) -> DataFrame:
+    """Per partition the measure of all earlier partitions, and of all partitions as ``total``.
+
+    One row per range partition, which is what makes the window and the broadcast of it safe.
+    """
+    sums = laid.groupBy(PID).agg(measure.alias("__n"))
     earlier = Window.orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum(measure).over(earlier), F.lit(0))
+    everywhere = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    columns = [F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__off")]
+    if total is not None:
+        columns.append(F.sum("__n").over(everywhere).alias(total))
+    return F.broadcast(sums.select(PID, *columns))
 
 
 def with_position(
-    df: DataFrame, order: Sequence[Key], name: str = "position", start: int = 0
+    df: DataFrame,
+    order: Sequence[Key],
+    name: str = "position",
+    start: int = 0,
+    total: str | None = None,
 ) -> DataFrame:
-    """Dense global row number. Rows that tie on ``order`` keep an arbitrary but fixed order."""
+    """Dense global row number, and the number of rows as ``total`` if that is named.
+
+    Rows that tie on ``order`` keep an arbitrary but fixed order.
+    """
     laid = lay_out(df, order)
-    offsets = laid.groupBy(PID).agg(F.count("*").alias("__n"))
-    offsets = offsets.select(PID, _before(F.col("__n")).alias("__off"))
-    placed = laid.join(F.broadcast(offsets), PID)  # one row per partition
+    placed = laid.join(_offsets(laid, F.count("*"), total), PID)
     return placed.withColumn(
         name, F.col("__off") + _row_in_partition() + F.lit(start)
     ).drop(SLOT, PID, "__off")
 
 
 def with_running_total(
-    df: DataFrame, order: Sequence[Key], measure: str, name: str, inclusive: bool = True
+    df: DataFrame,
+    order: Sequence[Key],
+    measure: str,
+    name: str,
+    inclusive: bool = True,
+    total: str | None = None,
 ) -> DataFrame:
-    """Global prefix sum of ``measure`` in ``order``."""
+    """Global prefix sum of ``measure`` in ``order``, and its sum over all rows as ``total``."""
     laid = lay_out(df, order)
-    offsets = laid.groupBy(PID).agg(F.sum(measure).alias("__n"))
-    offsets = offsets.select(PID, _before(F.col("__n")).alias("__off"))
     inside = (
         Window.partitionBy(PID).orderBy(SLOT).rowsBetween(Window.unboundedPreceding, 0)
     )
-    total = F.col("__off") + F.sum(measure).over(inside)
+    upto = F.col("__off") + F.sum(measure).over(inside)
     if not inclusive:
-        total = total - F.col(measure)
+        upto = upto - F.col(measure)
     return (
-        laid.join(F.broadcast(offsets), PID)
-        .withColumn(name, total)
+        laid.join(_offsets(laid, F.sum(measure), total), PID)
+        .withColumn(name, upto)
         .drop(SLOT, PID, "__off")
     )
 
@@ -163,7 +179,7 @@ def with_rank(
 ) -> DataFrame:
     """RANK per group for every row."""
     table = rank_table(df, groups, order, name).drop("rows")
-    return lookup_join(df, table, [*groups, *[key.name for key in order]])
+    return lookup_join(df, table, [*groups, *[key.name for key in order]], null_safe=True)
 
 
 def percent_rank_table(
@@ -172,9 +188,8 @@ def percent_rank_table(
     """PERCENT_RANK of every distinct order value over all rows of ``df``."""
     names = [key.name for key in order]
     counts = df.groupBy(*names).agg(F.count("*").alias("__n"))
-    totals = with_running_total(counts, order, "__n", "__upto")
-    size = totals.select(F.max("__upto")).scalar()
-    smaller = F.col("__upto") - F.col("__n")
+    totals = with_running_total(counts, order, "__n", "__upto", total="__all")
+    size, smaller = F.col("__all"), F.col("__upto") - F.col("__n")
     share = F.when(size > 1, smaller / (size - 1).cast("double")).otherwise(F.lit(0.0))
     return totals.select(*names, share.cast("double").alias(name))
 
@@ -182,7 +197,8 @@ def percent_rank_table(
 def with_percent_rank(
     df: DataFrame, order: Sequence[Key], name: str = "percent_rank"
 ) -> DataFrame:
-    return lookup_join(df, percent_rank_table(df, order, name), [k.name for k in order])
+    table = percent_rank_table(df, order, name)
+    return lookup_join(df, table, [k.name for k in order], null_safe=True)
 
 
 def with_rolling_average(
@@ -243,18 +259,7 @@ def nearest_items(
         )
     )
     laid = lay_out(merged, [asc("__value"), asc("__kind"), asc("__spread")])
-    item_slot = F.when(F.col("__item").isNotNull(), F.col(SLOT))
-    ends = laid.groupBy(PID).agg(
-        F.min_by("__item", item_slot).alias("__first"),
-        F.max_by("__item", item_slot).alias("__last"),
-    )
-    lower = Window.orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
-    higher = Window.orderBy(F.col(PID).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select(
-        PID,
-        F.last("__last", ignorenulls=True).over(lower).alias("__from_lower"),
-        F.last("__first", ignorenulls=True).over(higher).alias("__from_higher"),
-    )
+    ends = _carried_over(laid, {"__item": ("__from_lower", "__from_higher")})
     forward = (
         Window.partitionBy(PID).orderBy(SLOT).rowsBetween(Window.unboundedPreceding, 0)
     )
@@ -320,6 +325,40 @@ def with_band_count(
     return swept.filter(F.col("__point").isNotNull()).select("__point.*", name)
 
 
+def _carried_over(
+    laid: DataFrame, columns: dict[str, tuple[str | None, str | None]]
+) -> DataFrame:
+    """Per partition and column the last value set before it and the first one set after it.
+
+    Only slot numbers are aggregated; the values are then picked at those few slots.
+    """
+    slots = laid.groupBy(PID).agg(
+        *[
+            end(F.when(F.col(c).isNotNull(), F.col(SLOT))).alias(f"__{side}_{i}")
+            for i, c in enumerate(columns)
+            for side, end in (("low", F.min), ("high", F.max))
+        ]
+    )
+    lower = Window.orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
+    higher = Window.orderBy(F.col(PID).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    wanted = []
+    for i, names in enumerate(columns.values()):
+        for name, slot in (
+            (names[0], F.last(f"__high_{i}", ignorenulls=True).over(lower)),
+            (names[1], F.last(f"__low_{i}", ignorenulls=True).over(higher)),
+        ):
+            if name is not None:
+                wanted.append((i, name, slot))
+    found = slots.select(PID, *[slot.alias(f"__slot_{name}") for _, name, slot in wanted])
+    for i, name, _ in wanted:
+        column = list(columns)[i]
+        values = laid.select(F.col(SLOT).alias("__at"), F.col(column).alias(name)).join(
+            F.broadcast(found.select(F.col(f"__slot_{name}").alias("__at")).distinct()), "__at"
+        )
+        found = found.join(values.withColumnRenamed("__at", f"__slot_{name}"), f"__slot_{name}", "left")
+    return found.select(PID, *[name for _, name, _ in wanted])
+
+
 def segments(starts: DataFrame, start: str, end: int | Column, carried: Sequence[str]) -> DataFrame:
     """Turn interval starts into segments: carry each column forward and add ``__width``.
 
@@ -327,19 +366,12 @@ def segments(starts: DataFrame, start: str, end: int | Column, carried: Sequence
     the latest earlier start that has one.
     """
     laid = lay_out(starts, [asc(start)])
-    ends = laid.groupBy(PID).agg(
-        F.min(start).alias("__first_start"),
-        *[
-            F.max_by(c, F.when(F.col(c).isNotNull(), F.col(SLOT))).alias(f"__last_{c}")
-            for c in carried
-        ],
-    )
-    lower = Window.orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select(
-        PID,
-        F.lead("__first_start").over(Window.orderBy(PID)).alias("__next_pid_start"),
-        *[F.last(f"__last_{c}", ignorenulls=True).over(lower).alias(f"__in_{c}") for c in carried],
+    ends = _carried_over(laid, {c: (f"__in_{c}", None) for c in carried})
+    firsts = laid.groupBy(PID).agg(F.min(start).alias("__first_start"))
+    firsts = firsts.select(
+        PID, F.lead("__first_start").over(Window.orderBy(PID)).alias("__next_pid_start")
     )
+    ends = ends.join(firsts, PID)
     inside = Window.partitionBy(PID).orderBy(SLOT)
     so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
     scanned = laid.select(

@@ -218,9 +218,7 @@ def align_by_position(source: DataFrame, target: DataFrame, rows: int) -> DataFr
     so a row repeated a billion times is still one row here.
     """
     src, tgt = _row_starts(source, "src"), _row_starts(target, "tgt")
-    starts = src.unionByName(tgt, allowMissingColumns=True).groupBy("__start").agg(
-        F.max("src").alias("src"), F.max("tgt").alias("tgt")
-    )
+    starts = src.join(tgt, "__start", "full_outer")
     paired = segments(starts, "__start", F.lit(rows).cast("bigint"), ["src", "tgt"])
     return paired.select(
         F.col("__start").alias("at"),

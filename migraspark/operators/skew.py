@@ -50,8 +50,9 @@ def lookup_join(
     support: float = SUPPORT,
     salts: int = SALTS,
     hot_from: DataFrame | None = None,
+    null_safe: bool = False,
 ) -> DataFrame:
-    """Null-safe join of many ``left`` rows to few ``right`` rows per key.
+    """Join of many ``left`` rows to few ``right`` rows per key; with ``null_safe`` NULL is a key.
 
     Hot left keys are dealt over ``salts`` copies of their right rows; all other keys join as
     usual, so at most ``1 / support`` right keys are copied. ``how`` is ``inner`` or ``left``.
@@ -63,7 +64,8 @@ def lookup_join(
     renamed = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *extra)
     same = F.lit(True)
     for key in keys:
-        same = same & F.col(key).eqNullSafe(F.col(f"__r_{key}"))
+        mine, other = F.col(key), F.col(f"__r_{key}")
+        same = same & (mine.eqNullSafe(other) if null_safe else mine == other)
     if not hot:
         return left.join(renamed, same, how).select(*left.columns, *extra)
     right_keys = [f"__r_{k}" for k in keys]
@@ -93,8 +95,7 @@ def expand_left_join(
     """
     extra = [c for c in right.columns if c not in keys]
     rest = [c for c in left.columns if c not in keys]
-    keyed = right.dropna(subset=list(keys))
-    matched = lookup_join(keyed, left, keys, salts=how_many).select(*left.columns, *extra)
-    present = keyed.select(*keys).distinct()
+    matched = lookup_join(right, left, keys, salts=how_many).select(*left.columns, *extra)
+    present = right.select(*keys).distinct()
     alone = left.join(present, list(keys), "left_anti").select(*keys, *rest)
     return matched.unionByName(alone, allowMissingColumns=True)

@@ -79,8 +79,9 @@ def customer_lifetime(
     )
     percentiles = percent_rank_table(metrics, [asc("lifetime_spend")], "spend_percentile")
     percentiles = percentiles.withColumnRenamed("lifetime_spend", "spend_key")
+    # Every leader's spend has a percentile; an inner join lets Spark broadcast the few leaders.
     result = leaders.join(
-        percentiles, F.col("lifetime_spend").eqNullSafe(F.col("spend_key")), "left"
+        percentiles, F.col("lifetime_spend").eqNullSafe(F.col("spend_key"))
     ).select(
         "customer_id",
         full_name().alias("full_name"),
@@ -138,8 +139,7 @@ def match_orders_to_products(
     matches = near.select("order_amount", best.alias("match")).filter(F.col("match").isNotNull())
     matched = lookup_join(paid, matches, ["order_amount"])
     who = customers.select("customer_id", "first_name", "last_name", "country")
-    known = matched.filter(F.col("customer_id").isNotNull())
-    joined = lookup_join(known, who, ["customer_id"], hot_from=paid)
+    joined = lookup_join(matched, who, ["customer_id"], hot_from=paid)
     return joined.select(*[c for c in joined.columns if c != "match"], "match.*")
 
 
@@ -234,10 +234,9 @@ def price_tier(value: Column, bounds: tuple[int, int, int]) -> Column:
 def price_quartiles(products: DataFrame) -> DataFrame:
     """``(row_number - 1) * 4 / count + 1`` over the catalogue by price; not the same as ntile."""
     order: list[Key] = [asc("price"), asc("product_id")]
-    placed = with_position(products.select("product_id", "price"), order, "place")
-    size = placed.select(F.count("*")).scalar()
-    quarter = F.call_function("div", F.col("place") * 4, size)
-    return placed.withColumn("price_quartile", (quarter + 1).cast("bigint"))
+    placed = with_position(products.select("product_id", "price"), order, "place", total="size")
+    quarter = F.call_function("div", F.col("place") * 4, F.col("size"))
+    return placed.withColumn("price_quartile", (quarter + 1).cast("bigint")).drop("size")
 
 
 def tier_matches(
@@ -266,7 +265,6 @@ def tier_matches(
         "amount",
         price_tier(F.col("amount"), bounds).alias("order_tier"),
     )
-    kept = kept.filter(F.col("customer_id").isNotNull())
     weighted = lookup_join(kept, known, ["customer_id"])
     tiers = weighted.groupBy("order_tier").agg(
         F.count_distinct("order_id").alias("matching_orders"),

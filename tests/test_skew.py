@@ -41,7 +41,7 @@ def test_no_job_for_few_rows(sides):
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_salted_join_equals_plain_join(sides, always_salt, how):
     left, right, ldf, rdf = sides
-    joined = S.lookup_join(ldf, rdf, ["k"], how=how, support=0.01)
+    joined = S.lookup_join(ldf, rdf, ["k"], how=how, support=0.01, null_safe=True)
     assert "__salt" in joined._jdf.queryExecution().optimizedPlan().toString()
     names = dict(right)
     expected = Counter(

@@ -17,16 +17,14 @@ from migraspark.functions.draws import Draw
 from migraspark.operators import generate as G
 from migraspark.operators.generate import ColumnGen, TableSpec
 from migraspark.session import scratch_path
-from migraspark.sources.tables import scan
+from migraspark.sources.tables import scan, spread
 
 SEED = G.DEFAULT_SEED
 TABLE = "demo"
 
 
 def spine(spark, folder, table="orders", key="o_orderkey"):
-    """Row ids, dealt to all cores: a file of ids is small, the rows made from it are not."""
-    ids = scan(spark, folder, table).select((F.col(key) + 1).alias(G.ROW_ID))
-    return ids.repartition(spark.sparkContext.defaultParallelism)
+    return spread(scan(spark, folder, table).select((F.col(key) + 1).alias(G.ROW_ID)))
 
 
 def draw(column):

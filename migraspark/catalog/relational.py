@@ -319,9 +319,13 @@ def joi_03(spark, folder):
     near = ordered.nearest_items(
         counted.filter(F.col("products_in_band") > 0), "amount", prices, "price"
     )
-    delta = F.least(
-        F.abs(F.col("amount") - F.col("below.price")), F.abs(F.col("amount") - F.col("above.price"))
-    )
+
+    def gap(side):
+        price = F.col(f"{side}.price")
+        low, high = price * F.lit(Decimal("0.85")), price * F.lit(Decimal("1.15"))
+        return F.when(F.col("amount").between(low, high), F.abs(F.col("amount") - price))
+
+    delta = F.least(gap("below"), gap("above"))
     matched = near.select("amount", "products_in_band", delta.cast("double").alias("smallest_delta"))
     return skew.lookup_join(points, matched, ["amount"]).drop("amount")
 

@@ -61,7 +61,8 @@ class Draw:
         return (F.floor(self.uniform(salt) * F.lit(float(high - low))) + F.lit(low)).cast("bigint")
 
     def pick(self, pool: Sequence[str], salt: str = "") -> Column:
-        values = F.array(*[F.lit(value) for value in pool])
+        # Spark folds the split of a literal into one array literal.
+        values = F.split(F.lit("|".join(pool)), r"\|")
         return F.element_at(values, self.integer(1, len(pool) + 1, salt).cast("int"))
 
     def weighted(self, pool: Sequence[str], weights: Sequence[float], salt: str = "") -> Column:

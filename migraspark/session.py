@@ -8,9 +8,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Results depend on the first: wall-clock values are read as UTC. The second is about speed: the
+# JVM never compiles a method above 8000 bytes, which the fused code of a wide projection exceeds;
+# with this limit Spark evaluates such a stage in smaller methods that are compiled.
+SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
+
 def prepare_session(spark: SparkSession) -> SparkSession:
-    """Pin the one session setting results depend on: wall-clock values are read as UTC."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Apply the session settings the library relies on."""
+    for name, value in SETTINGS.items():
+        spark.conf.set(name, value)
     return spark
 
 

@@ -14,6 +14,16 @@ def scan(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of an input with fewer splits than cores to all cores.
+
+    Worth a shuffle only where each row costs much more to process than to move, such as texts
+    that are searched or ids that whole rows are generated from.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def views(spark: SparkSession, frames: Mapping[str, DataFrame], namespace: str = "") -> None:
     """Register frames as temp views; ``namespace`` keeps a source and a target set apart."""
     prepare_session(spark)

@@ -21,6 +21,7 @@ from migraspark.session import cut_lineage
 
 SLOT = "__slot"
 PID = "__pid"
+TIE = "__tie"
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in its lower 33 bits
 
 
@@ -49,12 +50,21 @@ def desc(name: str, nulls_last: bool = True) -> Key:
     return Key(name, True, nulls_last)
 
 
-def lay_out(df: DataFrame, order: Sequence[Key]) -> DataFrame:
-    """Globally sorted rows, tagged with their partition and their place in it."""
+def lay_out(df: DataFrame, order: Sequence[Key], split_ties: bool = False) -> DataFrame:
+    """Globally sorted rows, tagged with their partition and their place in it.
+
+    Rows with equal sort values stay in one partition; ``split_ties`` adds a last sort value that
+    differs between them, for inputs where very many rows may tie.
+    """
     exprs = [key.expr for key in order]
+    if split_ties:
+        plain = [name for name, kind in df.dtypes if "map<" not in kind]
+        df = df.withColumn(TIE, row_spread(plain))
+        exprs.append(F.col(TIE))
     slotted = (
         df.repartitionByRange(*exprs)
         .sortWithinPartitions(*exprs)
+        .drop(TIE)
         .withColumn(SLOT, F.monotonically_increasing_id())
     )
     return cut_lineage(slotted).withColumn(PID, F.shiftright(SLOT, _ROW_BITS))
@@ -89,7 +99,7 @@ def with_position(
 
     Rows that tie on ``order`` keep an arbitrary but fixed order.
     """
-    laid = lay_out(df, order)
+    laid = lay_out(df, order, split_ties=True)
     placed = laid.join(_offsets(laid, F.count("*"), total), PID)
     return placed.withColumn(
         name, F.col("__off") + _row_in_partition() + F.lit(start)
@@ -103,9 +113,14 @@ def with_running_total(
     name: str,
     inclusive: bool = True,
     total: str | None = None,
+    split_ties: bool = True,
 ) -> DataFrame:
-    """Global prefix sum of ``measure`` in ``order``, and its sum over all rows as ``total``."""
-    laid = lay_out(df, order)
+    """Global prefix sum of ``measure`` in ``order``, and its sum over all rows as ``total``.
+
+    Rows that tie on ``order`` are added in an arbitrary but fixed order; ``split_ties`` may be
+    switched off where no two rows tie.
+    """
+    laid = lay_out(df, order, split_ties)
     inside = (
         Window.partitionBy(PID).orderBy(SLOT).rowsBetween(Window.unboundedPreceding, 0)
     )
@@ -143,7 +158,7 @@ def with_row_number(
     df: DataFrame, groups: Sequence[str], order: Sequence[Key], name: str = "row_number"
 ) -> DataFrame:
     """ROW_NUMBER per group for every row; a hot group spreads over many tasks."""
-    laid = lay_out(df, [asc(g) for g in groups] + list(order))
+    laid = lay_out(df, [asc(g) for g in groups] + list(order), split_ties=True)
     parts = _group_offsets(
         laid,
         groups,
@@ -188,7 +203,9 @@ def percent_rank_table(
     """PERCENT_RANK of every distinct order value over all rows of ``df``."""
     names = [key.name for key in order]
     counts = df.groupBy(*names).agg(F.count("*").alias("__n"))
-    totals = with_running_total(counts, order, "__n", "__upto", total="__all")
+    totals = with_running_total(
+        counts, order, "__n", "__upto", total="__all", split_ties=False
+    )
     size, smaller = F.col("__all"), F.col("__upto") - F.col("__n")
     share = F.when(size > 1, smaller / (size - 1).cast("double")).otherwise(F.lit(0.0))
     return totals.select(*names, share.cast("double").alias(name))
@@ -320,7 +337,7 @@ def with_band_count(
 
     merged = at_point.union(edges(low, 0, 1)).union(edges(high, 2, -1))
     swept = with_running_total(
-        merged, [asc("__value"), asc("__kind"), asc("__spread")], "__delta", name
+        merged, [asc("__value"), asc("__kind"), asc("__spread")], "__delta", name, split_ties=False
     )
     return swept.filter(F.col("__point").isNotNull()).select("__point.*", name)
 

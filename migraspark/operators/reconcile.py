@@ -207,7 +207,9 @@ def _row_starts(df: DataFrame, name: str) -> DataFrame:
     """Distinct rows with the position of their first copy in the sorted side."""
     counted = df.groupBy(*df.columns).agg(F.count("*").alias("__n"))
     order = [asc(c, nulls_last=True) for c in df.columns]
-    placed = with_running_total(counted, order, "__n", "__start", inclusive=False)
+    placed = with_running_total(
+        counted, order, "__n", "__start", inclusive=False, split_ties=False
+    )
     return placed.select(F.col("__start"), F.struct(*df.columns).alias(name))
 
 

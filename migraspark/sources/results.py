@@ -92,11 +92,12 @@ def load(df: DataFrame, spec: T.StructType, path: str) -> int:
     """
     staged = f"{path}__loading"
     rows = _write(conform(df, spec), staged, "parquet", 5_000_000)
-    _replace(df.sparkSession, staged, path)
+    replace_folder(df.sparkSession, staged, path)
     return rows
 
 
-def _replace(spark: SparkSession, staged: str, path: str) -> None:
+def replace_folder(spark: SparkSession, staged: str, path: str) -> None:
+    """Put a completely written folder in the place of another."""
     hadoop = spark._jvm.org.apache.hadoop.fs
     old, new = hadoop.Path(path), hadoop.Path(staged)
     system = old.getFileSystem(spark._jsc.hadoopConfiguration())

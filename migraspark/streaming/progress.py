@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from migraspark.operators.progress import fold_state
 
@@ -16,7 +17,7 @@ def read_events(
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
 
 
-def keep_state(patches: DataFrame, base: str, available_now: bool = True) -> None:
+def keep_state(patches: DataFrame, base: str, available_now: bool = True) -> StreamingQuery:
     """Fold the stream and store what each batch changed under ``base``.
 
     State is ordered by ``seq``, not by arrival, so late patches need no watermark. A batch that is
@@ -37,6 +38,7 @@ def keep_state(patches: DataFrame, base: str, available_now: bool = True) -> Non
     query = writer.start()
     if available_now:
         query.awaitTermination()
+    return query
 
 
 def current_state(spark: SparkSession, base: str) -> DataFrame:

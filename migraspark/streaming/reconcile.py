@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 
 from migraspark.operators.history import runs_with_exports
 from migraspark.operators.reconcile import reconcile
@@ -15,7 +16,7 @@ def reconcile_arrivals(
     runs_per_batch: int = 100,
     available_now: bool = True,
     file_format: str = "parquet",
-) -> None:
+) -> StreamingQuery:
     """Watch the export manifest under ``base`` and write one result per complete run.
 
     Every export appends one manifest file, so a batch names at most ``runs_per_batch`` runs and
@@ -43,10 +44,11 @@ def reconcile_arrivals(
     writer = stream.writeStream.option(
         "checkpointLocation", f"{base}/stream_checkpoint"
     ).foreachBatch(compare)
-    if available_now:
-        writer.trigger(availableNow=True).start().awaitTermination()
-    else:
-        writer.start()
+    if not available_now:
+        return writer.start()
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
 
 
 def results(spark: SparkSession, base: str) -> DataFrame:

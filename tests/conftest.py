@@ -34,3 +34,11 @@ def spark():
 @pytest.fixture(scope="session")
 def tiny():
     return f"{TESTDATA}/sf0.001"
+
+
+@pytest.fixture
+def many_partitions(spark):
+    """Keep every shuffle at eight partitions, however small the data."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.enabled")

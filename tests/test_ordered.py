@@ -5,10 +5,12 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from migraspark.operators import ordered as O
 from migraspark.operators.ordered import asc, desc
 
+pytestmark = pytest.mark.usefixtures("many_partitions")
 random.seed(7)
 
 
@@ -40,6 +42,13 @@ def test_position_of_equal_rows_is_dense(spark):
     assert places == list(range(500))
 
 
+def test_ties_are_split_over_partitions(spark):
+    df = spark.range(20000).select(F.lit(1).alias("v"), "id").repartition(8)
+    laid = O.lay_out(df, [asc("v")], split_ties=True)
+    sizes = [r["count"] for r in laid.groupBy(O.PID).count().collect()]
+    assert sum(sizes) == 20000 and len(sizes) == 8 and max(sizes) < 5000
+
+
 def test_running_total(skewed):
     rows, df = skewed
     out = O.with_running_total(df.fillna(0), [asc("id")], "val", "total").collect()

@@ -157,7 +157,7 @@ def test_large_whole_keys_do_not_collide(spark):
     assert result["passed"] and result["alignment"] == "keys: order_id"
 
 
-def test_positional_comparison_of_repeated_rows(spark):
+def test_positional_comparison_of_repeated_rows(spark, many_partitions):
     source = spark.createDataFrame([("a", 1.0)] * 400 + [("b", 2.0)] * 200, "city string, amount double")
     target = spark.createDataFrame([("a", 1.0)] * 390 + [("b", 2.0)] * 210, "city string, amount double")
     result = R.reconcile(source, target).first()
@@ -166,7 +166,7 @@ def test_positional_comparison_of_repeated_rows(spark):
     assert "row 390: source=a target=b" in result["column_diffs"][0]["sample_mismatch"]
 
 
-def test_shuffled_table_passes(spark, tiny):
+def test_shuffled_table_passes(spark, tiny, many_partitions):
     orders = bindings.orders(spark, tiny)
     assert R.reconcile(orders, orders.orderBy(F.desc("amount"))).first()["passed"]
     coarse = orders.select("status", F.round("amount", -4).alias("amount"))

@@ -6,11 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from migraspark.operators import history as H
 from migraspark.operators import progress as P
 from migraspark.operators import reconcile as R
 from migraspark.plans.verify import verify
 from migraspark.sources import results as IO
 from migraspark.sources.corpus import read_corpus, read_ddl
+from migraspark.sources.history_store import HistoryStore
 from migraspark.sources.tables import run_side, use_schema, views
 from migraspark.streaming import progress as live
 from migraspark.streaming import reconcile as arrivals
@@ -129,3 +131,48 @@ def test_arrivals_are_reconciled_once(spark, tmp_path):
     found = {r["run_id"]: r["passed"] for r in arrivals.results(spark, base).collect()}
     assert found == {1: False, 2: True}
     assert arrivals.results(spark, base).count() == 2
+
+
+def requests(spark, names):
+    return spark.createDataFrame(
+        [(name, "success", "SELECT 1", None, [], [], 0) for name in names],
+        "request_id string, status string, source_code string, trans_error string, "
+        "errors array<string>, warning_list array<string>, trans_code_length int",
+    ).withColumns(
+        {
+            "generated_code": F.lit("x"),
+            "trans_error_type": F.lit(None).cast("string"),
+            "validation_passed": F.lit(True),
+        }
+    )
+
+
+def test_history_store(spark, tmp_path):
+    store = HistoryStore(spark, str(tmp_path / "history"))
+    store.log(requests(spark, ["b", "a"]), ["request_id"])
+    store.log(requests(spark, ["c"]), ["request_id"])
+    found = {r["run_id"]: r["request_id"] for r in store.runs().collect()}
+    assert found == {1: "a", 2: "b", 3: "c"}
+
+    def patch(run_id, **fields):
+        row = spark.range(1).select(F.lit(run_id).cast("bigint").alias("run_id"))
+        store.patch(row.withColumns({k: F.lit(v) for k, v in fields.items()}))
+
+    def state(run_id):
+        row = H.get_run(store.runs(), run_id).first()
+        return row["recon_ind"], row["recon_passed"], row["target_schema"]
+
+    patch(2, recon_ind="prepared", target_schema="modern")
+    patch(2, recon_ind="failed", recon_passed=False)
+    assert state(2) == ("failed", False, "modern")
+    store.compact()
+    assert state(2) == ("failed", False, "modern") and state(1) == (None, None, None)
+    patch(2, recon_ind="passed", recon_passed=True)
+    HistoryStore(spark, str(tmp_path / "history"))
+    assert state(2) == ("passed", True, "modern")
+    metrics = H.dashboard_metrics(store.runs()).first()
+    assert (metrics["total_runs"], metrics["recon_passed"], metrics["recon_failed"]) == (3, 1, 0)
+    cleared = {r["table_name"]: r["deleted"] for r in store.clear().collect()}
+    assert cleared == {"migration_runs": 3, "patches": 1} and store.runs().count() == 0
+    store.log(requests(spark, ["z"]), ["request_id"])
+    assert store.runs().first()["run_id"] == 1

@@ -265,13 +265,27 @@ def tier_matches(
         "amount",
         price_tier(F.col("amount"), bounds).alias("order_tier"),
     )
-    weighted = lookup_join(kept, known, ["customer_id"])
-    tiers = weighted.groupBy("order_tier").agg(
-        F.count_distinct("order_id").alias("matching_orders"),
-        F.count_distinct("customer_id").alias("unique_buyers"),
-        F.sum(F.col("amount") * F.col("copies")).alias("amount_sum"),
-        F.sum(F.when(F.col("amount").isNotNull(), F.col("copies"))).alias("amount_count"),
+    # Money and buyers only need one row per customer and tier; orders are needed for their ids.
+    money = (
+        kept.groupBy("customer_id", "order_tier")
+        .agg(F.sum("amount").alias("amount"), F.count("amount").alias("amounts"))
+        .join(known, "customer_id")
+        .groupBy("order_tier")
+        .agg(
+            F.count("*").alias("unique_buyers"),
+            F.sum(F.col("amount") * F.col("copies")).alias("amount_sum"),
+            F.sum(F.col("amounts") * F.col("copies")).alias("amount_count"),
+        )
+    )
+    placed = lookup_join(
+        kept.select("order_id", "customer_id", "order_tier"),
+        known.select("customer_id"),
+        ["customer_id"],
+    )
+    counted = placed.groupBy("order_tier").agg(
+        F.count_distinct("order_id").alias("matching_orders")
     )
+    tiers = money.join(counted, "order_tier")
     return catalogue.join(tiers, F.col("price_tier") == F.col("order_tier"), "left").select(
         "price_tier",
         "price_quartile",

@@ -204,13 +204,13 @@ def align_by_key(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> D
 
 
 def _row_starts(df: DataFrame, name: str) -> DataFrame:
-    """Distinct rows with the position of their first copy in the sorted side."""
+    """Distinct rows with the position of their first copy in the sorted side, and the copies."""
     counted = df.groupBy(*df.columns).agg(F.count("*").alias("__n"))
     order = [asc(c, nulls_last=True) for c in df.columns]
     placed = with_running_total(
         counted, order, "__n", "__start", inclusive=False, split_ties=False
     )
-    return placed.select(F.col("__start"), F.struct(*df.columns).alias(name))
+    return placed.select("__start", F.struct(*df.columns).alias(name), F.col("__n").alias(f"{name}_n"))
 
 
 def align_by_position(source: DataFrame, target: DataFrame, rows: int) -> DataFrame:
@@ -220,8 +220,14 @@ def align_by_position(source: DataFrame, target: DataFrame, rows: int) -> DataFr
     so a row repeated a billion times is still one row here.
     """
     src, tgt = _row_starts(source, "src"), _row_starts(target, "tgt")
-    starts = src.join(tgt, "__start", "full_outer")
-    paired = segments(starts, "__start", F.lit(rows).cast("bigint"), ["src", "tgt"])
+    starts = cut_lineage(src.join(tgt, "__start", "full_outer"))
+    if starts.filter(F.col("src").isNull() | F.col("tgt").isNull()).isEmpty():
+        # Both sides repeat the same rows equally often, so every start pairs whole runs of copies.
+        paired = starts.withColumn("__width", F.col("src_n"))
+    else:
+        paired = segments(
+            starts.drop("src_n", "tgt_n"), "__start", F.lit(rows).cast("bigint"), ["src", "tgt"]
+        )
     return paired.select(
         F.col("__start").alias("at"),
         "src",

@@ -152,8 +152,13 @@ def product_price_match(
         "order_amount", "status", "product_id", "product_name", "catalog_price", "price_delta",
     ]
     matched = match_orders_to_products(customers, orders, products)
-    first = F.min(F.struct("price_delta", "product_id", "customer_id", F.struct(*columns)))
-    best = matched.groupBy("order_id").agg(first.alias("best")).select("best.col4.*")
+    # An order id may occur more than once; row_number = 1 is cut in every task before the shuffle.
+    nearest = Window.partitionBy("order_id").orderBy("price_delta", "product_id", "customer_id")
+    best = (
+        matched.withColumn("place", F.row_number().over(nearest))
+        .filter(F.col("place") == 1)
+        .select(*columns)
+    )
     delta, price = F.col("price_delta"), F.col("catalog_price")
     result = best.withColumn(
         "match_quality",

@@ -12,7 +12,7 @@ from migraspark.operators.schema import column_catalog
 from migraspark.plans import bindings as B
 from migraspark.plans.verify import verify
 from migraspark.session import scratch_path
-from migraspark.sources.tables import scan
+from migraspark.sources.tables import scan, spread
 
 # ---------------------------------------------------------------- the two sides
 
@@ -441,10 +441,11 @@ UNION ALL SELECT 2, c, far, far, 0, NULL
 SELECT run_id, "column", source_only, target_only, mismatch_count, max_numeric_diff FROM cells""",
 )
 def rec_15_long(spark, folder):
-    source = R.normalize(orders(spark, folder))
+    base = spread(orders(spark, folder))  # every row becomes several cells
+    source = R.normalize(base)
     left = R.melt(source, 1, ["order_id"]).unionAll(R.melt(source, 2, ["order_id"]))
-    right = R.melt(R.normalize(repriced(orders(spark, folder))), 1, ["order_id"]).unionAll(
-        R.melt(R.normalize(moved(orders(spark, folder))), 2, ["order_id"])
+    right = R.melt(R.normalize(repriced(base)), 1, ["order_id"]).unionAll(
+        R.melt(R.normalize(moved(base)), 2, ["order_id"])
     )
     return R.compare_melted(left, right).withColumn("run_id", F.col("run_id").cast("int"))
 

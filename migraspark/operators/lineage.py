@@ -58,7 +58,10 @@ def table_usage(runs: DataFrame, base: Sequence[str] = BASE_TABLES) -> DataFrame
     listed = run_inputs(runs, base).withColumn(
         "__ctes", F.coalesce(ctes, F.array().cast("array<string>"))
     )
-    exploded = listed.select("run_id", "__ctes", F.explode("input_tables").alias("table_name"))
+    # For a plain explode Spark adds a filter that would search the texts a second time.
+    exploded = listed.select(
+        "run_id", "__ctes", F.explode_outer("input_tables").alias("table_name")
+    ).filter(F.col("table_name").isNotNull())
     return exploded.select(
         "run_id",
         "table_name",
@@ -73,22 +76,28 @@ def _run_node() -> Column:
 
 def lineage_edges(runs: DataFrame, source_schema: str, target_schema: str) -> DataFrame:
     """``schema.table -> run`` for every input and ``run -> target.query_result`` once per run."""
-    read = run_inputs(runs).select(
-        "run_id", "source_file", F.explode("input_tables").alias("table_name")
+    return run_inputs(runs).select(
+        "run_id", F.inline_outer(_edges(source_schema, target_schema, ("src", "dst", "via")))
     )
-    into = read.select(
-        "run_id",
-        F.concat(F.lit(f"{source_schema}."), F.col("table_name")).alias("src"),
-        _run_node().alias("dst"),
-        F.col("source_file").alias("via"),
+
+
+def _edges(source_schema: str, target_schema: str, names: tuple[str, str, str]) -> Column:
+    """All edges of a run as one array, so the texts are searched once."""
+    start, end, via = names
+    into = F.transform(
+        F.col("input_tables"),
+        lambda name: F.struct(
+            F.concat(F.lit(f"{source_schema}."), name).alias(start),
+            _run_node().alias(end),
+            F.col("source_file").alias(via),
+        ),
     )
-    out = runs.select(
-        "run_id",
-        _run_node().alias("src"),
-        F.lit(f"{target_schema}.query_result").alias("dst"),
-        F.lit("generated_sql").alias("via"),
+    out = F.struct(
+        _run_node().alias(start),
+        F.lit(f"{target_schema}.query_result").alias(end),
+        F.lit("generated_sql").alias(via),
     )
-    return into.unionAll(out)
+    return F.concat(into, F.array(out))
 
 
 def usage_matrix(runs: DataFrame, base: Sequence[str] = BASE_TABLES) -> DataFrame:
@@ -119,22 +128,6 @@ def overview_rows(runs: DataFrame, shown: int = 4) -> DataFrame:
 
 def lineage_documents(runs: DataFrame, source_schema: str, target_schema: str) -> DataFrame:
     """One JSON document per run; written as JSON lines they are the whole lineage document."""
-    node = _run_node()
-    into = F.transform(
-        F.col("input_tables"),
-        lambda name: F.struct(
-            F.concat(F.lit(f"{source_schema}."), name).alias("from"),
-            node.alias("to"),
-            F.col("source_file").alias("via"),
-        ),
-    )
-    out = F.array(
-        F.struct(
-            node.alias("from"),
-            F.lit(f"{target_schema}.query_result").alias("to"),
-            F.lit("generated_sql").alias("via"),
-        )
-    )
     document = F.struct(
         "run_id",
         "source_file",
@@ -142,6 +135,6 @@ def lineage_documents(runs: DataFrame, source_schema: str, target_schema: str) -
         F.lit(target_schema).alias("target_schema"),
         "input_tables",
         "base_tables",
-        F.concat(into, out).alias("edges"),
+        _edges(source_schema, target_schema, ("from", "to", "via")).alias("edges"),
     )
     return run_inputs(runs).select("run_id", F.to_json(document).alias("document"))

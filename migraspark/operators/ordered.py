@@ -58,8 +58,7 @@ def lay_out(df: DataFrame, order: Sequence[Key], split_ties: bool = False) -> Da
     """
     exprs = [key.expr for key in order]
     if split_ties:
-        plain = [name for name, kind in df.dtypes if "map<" not in kind]
-        df = df.withColumn(TIE, row_spread(plain))
+        df = df.withColumn(TIE, row_spread(df))
         exprs.append(F.col(TIE))
     slotted = (
         df.repartitionByRange(*exprs)
@@ -263,7 +262,7 @@ def nearest_items(
     merged = points.select(
         F.col(point_value).alias("__value"),
         F.lit(1).alias("__kind"),
-        row_spread(points.columns).alias("__spread"),
+        row_spread(points).alias("__spread"),
         F.struct(*points.columns).alias("__point"),
         F.lit(None).cast(item_type).alias("__item"),
     ).unionByName(
@@ -318,7 +317,7 @@ def with_band_count(
     at_point = points.select(
         F.col(point_value).alias("__value"),
         F.lit(1).alias("__kind"),
-        row_spread(points.columns).alias("__spread"),
+        row_spread(points).alias("__spread"),
         F.struct(*points.columns).alias("__point"),
         F.lit(0).cast("bigint").alias("__delta"),
     )

@@ -30,11 +30,13 @@ def hot_key_hashes(df: DataFrame, keys: Sequence[str], support: float = SUPPORT)
     return sorted(row["h"] for row in counted if row["h"] is not None and row["n"] >= least)
 
 
-def row_spread(columns: Sequence[str]) -> Column:
+def row_spread(df: DataFrame) -> Column:
     """A value that differs between rows, and between copies of a row in different input splits.
 
     It depends on the row and its split only, never on row order, so a retried task repeats it.
+    Maps cannot be hashed and are left out.
     """
+    columns = [name for name, kind in df.dtypes if "map<" not in kind]
     return F.xxhash64(*columns, F.spark_partition_id())
 
 
@@ -72,7 +74,7 @@ def lookup_join(
     salted_left = left.withColumn(
         "__salt",
         F.when(
-            _is_hot(keys, hot), F.pmod(row_spread(left.columns), F.lit(salts)).cast("int")
+            _is_hot(keys, hot), F.pmod(row_spread(left), F.lit(salts)).cast("int")
         ).otherwise(F.lit(0)),
     )
     copies = F.when(

@@ -64,3 +64,9 @@ def test_left_join_with_hot_right_side(sides, always_salt):
         ids = [i for i, key in left if key is not None and key == k]
         expected.update([(k, name, i) for i in ids] or [(k, name, None)])
     assert Counter(tuple(r) for r in joined.select("k", "name", "id").collect()) == expected
+
+
+def test_rows_with_maps_can_be_salted(spark, always_salt):
+    left = spark.range(600).selectExpr("1 AS k", "map('a', id) AS m")
+    right = spark.createDataFrame([(1, "x")], "k int, name string")
+    assert S.lookup_join(left, right, ["k"]).count() == 600

@@ -3,7 +3,9 @@
 The buckets come from locality-sensitive hashing and may be of any size, so no step pairs all
 members of one. Each round tests the members of a bucket against one pivot and joins up what
 passes; members that ended in one component need no further test. Pairs of a bucket that are
-still in different components after the pivot rounds are all tested, so no candidate is lost.
+still in different components after the pivot rounds are all tested, so no candidate is lost;
+only those go untested whose similarity is bounded below the threshold by the number of elements
+that either end shares with any other open node.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from migraspark.llm.common import kept_table
 
-PIVOT_ROUNDS = 8
+PIVOT_ROUNDS = 3
 # All open pairs are tested at once when they number at most so many times the open members.
 PAIRS_PER_MEMBER = 2
 
@@ -69,11 +71,18 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
-def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link(
+    buckets: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    elements: Callable[[DataFrame], DataFrame],
+    percent: int,
+) -> DataFrame:
     """(node, component) of all nodes with a verified link.
 
     ``buckets`` has (bucket, node), both BIGINT; ``verify`` takes pairs (a, b) with a < b and
-    returns those that are linked. Nodes without a link are not in the result.
+    returns those whose sets have a Jaccard similarity of ``percent`` or more; ``elements`` takes
+    nodes (node) and returns their distinct elements (node, element). Nodes without a link are
+    not in the result.
     """
     shared = kept_table(
         buckets.groupBy("bucket")
@@ -95,7 +104,10 @@ def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFr
         if not open_members:
             return found
         last = round_number == PIVOT_ROUNDS or open_pairs <= PAIRS_PER_MEMBER * open_members
-        pairs = _across_components(members) if last else _against_pivot(members, round_number)
+        if last:
+            pairs = _across_components(members, elements, percent)
+        else:
+            pairs = _against_pivot(members, round_number)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         pairs = kept_table(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         more = kept_table(verify(pairs), "links")
@@ -149,13 +161,34 @@ def _against_pivot(members: DataFrame, round_number: int) -> DataFrame:
     )
 
 
-def _across_components(members: DataFrame) -> DataFrame:
-    """All pairs of a bucket whose ends are still in different components."""
-    other = members.select(
-        "bucket", F.col("node").alias("b"), F.col("component").alias("other_component")
+def _across_components(
+    members: DataFrame, elements: Callable[[DataFrame], DataFrame], percent: int
+) -> DataFrame:
+    """The pairs of a bucket with ends in different components that can still reach ``percent``.
+
+    An element that no other open node has is in no intersection, so the elements a node shares
+    with any other bound all its intersections.
+    """
+    held = kept_table(elements(members.select("node").distinct()), "open-elements")
+    common = (
+        held.groupBy("element").agg(F.count("*").alias("nodes")).where("nodes > 1").select("element")
+    )
+    sizes = held.groupBy("node").agg(F.count("*").alias("size"))
+    shared = (
+        held.join(kept_table(common, "common-elements"), "element", "left_semi")
+        .groupBy("node")
+        .agg(F.count("*").alias("shared"))
+    )
+    profile = kept_table(
+        sizes.join(shared, "node").where(f"100 * shared >= {percent} * size"), "open-profiles"
     )
+    rows = kept_table(members.join(profile, "node"), "bucket-members")
+    left = rows.select("bucket", F.struct("node", "component", "size", "shared").alias("x"))
+    right = rows.select("bucket", F.struct("node", "component", "size", "shared").alias("y"))
+    most = "least(x.shared, y.shared)"
     return (
-        members.join(other, "bucket")
-        .where("component < other_component")
-        .select(F.col("node").alias("a"), "b")
+        left.join(right, "bucket")
+        .where("x.component < y.component")
+        .where(f"100 * {most} >= {percent} * (x.size + y.size - {most})")
+        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     )

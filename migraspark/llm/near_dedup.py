@@ -150,6 +150,13 @@ def shingle_table(docs: DataFrame, length: int = SHINGLE_WORDS) -> DataFrame:
     )
 
 
+def _those(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents with the given ids, without shuffling the texts where the ids are few."""
+    ids = kept_table(ids, "wanted-ids")
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(wanted, "doc_id", "left_semi")
+
+
 def likely(pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, registers and sizes of both) whose registers do not rule the threshold out."""
     threshold = percent / 100
@@ -227,14 +234,8 @@ def near_duplicates(
             likely(possible.select("a", "b", "na", "nb", "ra", "rb"), percent).distinct(),
             "candidates",
         )
-        ids = kept_table(
-            candidates.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(),
-            "candidate-ids",
-        )
-        wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-        sets = kept_table(
-            shingle_table(docs.join(wanted, "doc_id", "left_semi"), length), "candidate-sets"
-        )
+        ids = candidates.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        sets = kept_table(shingle_table(_those(docs, ids), length), "candidate-sets")
         left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
         right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
         return (
@@ -245,7 +246,11 @@ def near_duplicates(
             .select("a", "b")
         )
 
-    found = link(buckets, verify)
+    def elements(nodes: DataFrame) -> DataFrame:
+        sets = shingle_table(_those(docs, nodes.select(F.col("node").alias("doc_id"))), length)
+        return sets.select(F.col("doc_id").alias("node"), F.explode("shingles").alias("element")).distinct()
+
+    found = link(buckets, verify, elements, percent)
     labelled = kept_table(
         classes.join(found, "node", "left").select(
             "d1", "d2", F.coalesce("component", "node").alias("class_component")

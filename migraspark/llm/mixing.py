@@ -13,6 +13,7 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from migraspark.llm.common import kept_table, word_count
 
@@ -51,51 +52,46 @@ def targets(
     return [(s, n, t) for (s, n, _), t in zip(weighted, result, strict=True)]
 
 
+ORDER = ["_source", "_size", "_doc", "_tie"]
+
+
 def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the place of a row among those of its source in the partition, from 1."""
     seen: dict = {}
     for batch in batches:
         place = []
-        for source in batch.column("source").to_pylist():
+        for source in batch.column("_source").to_pylist():
             seen[source] = seen.get(source, 0) + 1
             place.append(seen[source])
-        yield batch.append_column("place", pa.array(place, pa.int64()))
+        yield batch.append_column("_place", pa.array(place, pa.int64()))
 
 
-def mix(
+def _mixed(
     docs: DataFrame,
-    weights: Sequence[int] = WEIGHTS,
-    percent: int = PERCENT,
-    most: int = MOST_COPIES,
-    seed: str = SEED,
+    carried: Sequence[str],
+    weights: Sequence[int],
+    percent: int,
+    most: int,
+    seed: str,
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target and copies for every row of ``docs``.
-
-    Size is the number of words, 0 for a NULL or empty text. Rows tie by doc_id (NULL first);
-    full ties are rows with the same result. A NULL source is a source of its own. An empty table
-    gives an empty result, a source of size 0 gets target 0 and no copies. Other columns are
-    ignored. The table of sources, one row each, goes through the driver.
-
-    The order is one range shuffle of (doc_id, source, size), whose partitions are numbered
-    before they are counted, so a source with most of the rows is spread over many tasks.
-    """
+    """The ``carried`` columns of all rows with _doc, _source, _size, _total, _target, _copies."""
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("source").cast("string").alias("source"),
-        word_count(F.col("text")).alias("size"),
+        *carried,
+        F.col("doc_id").cast("long").alias("_doc"),
+        F.col("source").cast("string").alias("_source"),
+        word_count(F.col("text")).alias("_size"),
+        F.xxhash64("text").alias("_tie"),
     )
-    order = ["source", "size", "doc_id"]
     placed = (
-        rows.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("part", F.spark_partition_id())
-        .mapInArrow(
-            _positions, "doc_id bigint, source string, size bigint, part int, place bigint"
-        )
+        rows.repartitionByRange(*ORDER)
+        .sortWithinPartitions(*ORDER)
+        .withColumn("_part", F.spark_partition_id())
     )
-    placed = kept_table(placed, "mix-order")
-    per_part = placed.groupBy("source", "part").agg(
-        F.max("place").alias("rows"), F.sum("size").alias("size")
+    added = StructType().add("_place", "long")
+    placed = placed.mapInArrow(_positions, StructType([*placed.schema.fields, *added.fields]))
+    placed = kept_table(placed.drop("_tie"), "mix-order")
+    per_part = placed.groupBy("_source", "_part").agg(
+        F.max("_place").alias("rows"), F.sum("_size").alias("size")
     )
     counted = sorted(
         (tuple(r) for r in per_part.collect()), key=lambda r: (r[0] is not None, r[0] or "", r[1])
@@ -110,21 +106,57 @@ def mix(
     spark = docs.sparkSession
     plan = spark.createDataFrame(
         targets(list(sizes.items()), weights, percent, most),
-        "source string, source_size bigint, target double",
+        "source string, _total bigint, _target double",
     )
-    offsets = spark.createDataFrame(starts, "source string, part int, before bigint")
+    offsets = spark.createDataFrame(starts, "source string, part int, _before bigint")
     parts = offsets.alias("o").join(plan.alias("p"), F.expr("o.source <=> p.source")).select(
-        "o.*", "source_size", "target"
+        "o.*", "_total", "_target"
     )
-    draw = F.conv(
-        F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("s.source", F.lit("")))), 1, 5), 16, 10
-    )
-    rate = F.expr("CASE WHEN source_size > 0 THEN target / source_size ELSE 0D END")
-    offset = draw.cast("double") / F.lit(float(2**20))
-    last = F.col("before") + F.col("place")
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce("_source", F.lit("")))
+    offset = F.conv(F.substring(F.md5(text), 1, 5), 16, 10).cast("double") / F.lit(float(2**20))
+    rate = F.expr("CASE WHEN _total > 0 THEN _target / _total ELSE 0D END")
+    last = F.col("_before") + F.col("_place")
     copies = F.floor(rate * last + offset) - F.floor(rate * (last - 1) + offset)
-    return (
-        placed.alias("s")
-        .join(parts.alias("q"), F.expr("s.source <=> q.source AND s.part = q.part"))
-        .select("doc_id", "s.source", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    named = parts.withColumnsRenamed({"source": "_of", "part": "_in"})
+    met = placed.join(named, F.expr("_source <=> _of AND _part = _in"))
+    return met.withColumn("_copies", copies.cast("long"))
+
+
+def mix(
+    docs: DataFrame,
+    weights: Sequence[int] = WEIGHTS,
+    percent: int = PERCENT,
+    most: int = MOST_COPIES,
+    seed: str = SEED,
+) -> DataFrame:
+    """doc_id, source, size, source_size, target and copies for every row of ``docs``.
+
+    Size is the number of words, 0 for a NULL or empty text. Rows tie by doc_id (NULL first) and
+    a hash of the text; full ties are equal rows. A NULL source is a source of its own. An empty
+    table gives an empty result, a source of size 0 gets target 0 and no copies. Other columns
+    are ignored. The table of sources, one row each, goes through the driver.
+
+    The order is one range shuffle of (doc_id, source, size), whose partitions are numbered
+    before they are counted, so a source with most of the rows is spread over many tasks.
+    """
+    return _mixed(docs, [], weights, percent, most, seed).selectExpr(
+        "_doc AS doc_id",
+        "_source AS source",
+        "_size AS size",
+        "_total AS source_size",
+        "_target AS target",
+        "_copies AS copies",
     )
+
+
+def copies_of(
+    docs: DataFrame,
+    weights: Sequence[int] = WEIGHTS,
+    percent: int = PERCENT,
+    most: int = MOST_COPIES,
+    seed: str = SEED,
+) -> DataFrame:
+    """``docs`` with every row as often as ``mix`` takes it, in the columns given."""
+    mixed = _mixed(docs, docs.columns, weights, percent, most, seed).where("_copies > 0")
+    repeat = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))
+    return mixed.withColumn("_copy", repeat).select(*docs.columns)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from migraspark.llm import sql
 from migraspark.llm.common import table
 from migraspark.llm.classifier import classify, held_out, train
+from migraspark.llm.decontaminate import contaminated
+from migraspark.llm.line_dedup import duplicate_lines
 from migraspark.llm.mixing import mix
 from migraspark.llm.near_dedup import near_duplicates
 from migraspark.llm.quality_rules import STOP_WORDS, quality_rules
@@ -79,6 +81,16 @@ def _token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), path)
 
 
+@query("op8_line_dedup", sql.LINE_DEDUP)
+def _line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return duplicate_lines(table(spark, folder, "documents"))
+
+
+@query("op9_decontamination")
+def _decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query("op10_sharding", sql.SHARDING)
 def _sharding(spark: SparkSession, folder: str) -> DataFrame:
     return assign_shards(table(spark, folder, "documents")).select("doc_id", "slot", "shard")

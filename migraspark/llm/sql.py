@@ -189,3 +189,43 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {_BASE32} AS payload_dige
   CASE WHEN first <> page_id THEN first END AS refers_to
 FROM firsts
 """
+
+LINE_DEDUP = """
+WITH RECURSIVE numbered AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
+  FROM documents
+), lines AS (
+  SELECT doc_id, line_no, line FROM numbered WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')
+), distinct_lines AS (
+  SELECT line, row_number() OVER (ORDER BY line) AS id, hex(encode(line)) AS h FROM (SELECT DISTINCT line FROM lines)
+), sets AS (
+  SELECT id, list_distinct(list_transform(range(0, greatest(len(h) // 2 - 7, 1)), lambda i: substr(h, (2 * i + 1)::BIGINT, 16))) AS s
+  FROM distinct_lines
+), shingles AS (
+  SELECT id, unnest(s) AS shingle FROM sets
+), shared AS (
+  SELECT x.id AS a, y.id AS b, count(*) AS common
+  FROM shingles x JOIN shingles y ON x.shingle = y.shingle AND x.id < y.id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared JOIN sets p ON p.id = a JOIN sets q ON q.id = b
+  WHERE 100 * common >= 80 * (len(p.s) + len(q.s) - common)
+), both_ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT a AS id, a AS other FROM both_ways
+  UNION
+  SELECT r.id, e.b FROM reach r JOIN both_ways e ON e.a = r.other
+), classes AS (
+  SELECT id, min(other) AS class FROM reach GROUP BY id
+), judged AS (
+  SELECT doc_id, line_no, row_number() OVER (PARTITION BY coalesce(class, id) ORDER BY doc_id, line_no) > 1 AS removed
+  FROM lines JOIN distinct_lines USING (line) LEFT JOIN classes USING (id)
+), per_doc AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (removed) AS n_removed,
+    coalesce(list(line_no::INT ORDER BY line_no) FILTER (removed), []::INT[]) AS removed
+  FROM judged GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+  coalesce(removed, []::INT[]) AS removed
+FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN per_doc USING (doc_id)
+"""

@@ -228,9 +228,10 @@ def read_archives(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame
 
     A response's size and digest are those of the payload read, a revisit's those it states.
     """
-    splits = files.select(
-        "path", F.explode(F.sequence(F.lit(0), F.greatest("bytes", F.lit(1)) - 1, F.lit(split_bytes))).alias("start")
-    ).repartition(F.col("path"), F.col("start"))
+    begins = F.sequence(F.lit(0), F.greatest("bytes", F.lit(1)) - 1, F.lit(split_bytes))
+    splits = files.select("path", F.explode(begins).alias("start"))
+    # Rows of a few bytes stand for megabytes: a stated number keeps them from being merged.
+    splits = splits.repartition(max(splits.count(), 1), "path", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(

@@ -30,6 +30,8 @@ OFFSETS = (0.0, 0.25, 0.5)
 REACH = 0.6
 SHORT_ITEM = 8
 TABLE_BITS = 20
+HELD_BITS = 22
+CHECKED = 20_000
 BLOCK_ITEMS = 5000
 
 _WORD = np.zeros(256, bool)
@@ -54,7 +56,7 @@ def normal_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _walked(bits: np.ndarray, at: np.ndarray, begin: int, end: int) -> np.ndarray:
     for step in range(begin, end):
-        at = at + ((bits[at] >> np.uint64(step % 64)) & np.uint64(1)).astype(np.int64)
+        at = at + ((bits[at] >> np.uint64(63 - step % 48)) & np.uint64(1)).astype(np.int64)
     return at
 
 
@@ -63,6 +65,15 @@ def _joined_key(key: np.ndarray, word: np.ndarray) -> np.ndarray:
         return mixed(key * np.uint64(0x2545F4914F6CDD1D) + word)
 
 
+def _short(words: np.ndarray) -> np.ndarray:
+    """Few bits of each word, an index for tables of yes and no."""
+    return (words >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+
+
+def _pair(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    return ((one * 0x9E3779B1) ^ two) & ((1 << TABLE_BITS) - 1)
+
+
 class Sampler:
     """The keys of a block of items for every repetition, and the search for windows with them."""
 
@@ -74,73 +85,104 @@ class Sampler:
         level = np.where(sizes < SHORT_ITEM, 0, np.log2(np.maximum(sizes, 1)).astype(int))
         keyed = np.zeros(len(items), int)
         random = np.random.default_rng(7)
+        scrambled = self._scrambled(words)
         self.plans = []
         for repetition in range(repetitions):
-            seed = np.uint64(random.integers(1, 2**63))
+            seed = np.uint64(random.integers(1, 2**63)) | np.uint64(1)
             offset = OFFSETS[repetition % len(OFFSETS)]
             one = int(random.integers(0, 2))
             two = one + int(random.integers(1, 3))
-            bits = self._bits(words, seed)
-            later: dict[int, tuple[int, int]] = {}
+            bits = scrambled * seed
+            singles, pairs = (np.zeros(1 << TABLE_BITS, bool) for _ in range(2))
             sampled = []
             for c in sorted(set(level[level > 0].tolist())):
                 chosen = np.flatnonzero(level == c)
                 skip = (offset * sizes[chosen]).astype(int)
                 steps = max(int(2 * REACH * (1 - offset) * 2**c), two + 3)
                 middle = (two + steps) // 2
-                later[c] = (int(random.integers(two + 1, middle + 1)), int(random.integers(middle + 1, steps + 1)))
-                at, key, early = self._key(words, bits, first[chosen] + skip, (one, two, *later[c]))
-                valid = words[at] != 0
+                three = int(random.integers(two + 1, middle + 1))
+                four = int(random.integers(middle + 1, steps + 1))
+                places = self._places(bits, first[chosen] + skip, (0, one, two, three, four))
+                valid = words[places[-1]] != 0
+                seen = [words[at[valid]] for at in places]
+                singles[_short(seen[0])] = True
+                pairs[_pair(_short(seen[0]), _short(seen[1]))] = True
                 keyed[chosen] += valid
-                sampled.append((c, chosen[valid], skip[valid], key[valid], early[valid]))
-            self.plans.append((seed, one, two, later, sampled))
+                key = self._key(seen)
+                order = np.argsort(key, kind="stable")
+                sampled.append((three, four, key[order], chosen[valid][order], skip[valid][order]))
+            self.plans.append((seed, one, two, singles, pairs, sampled))
+        self.sizes = sizes
+        self.held = np.zeros(1 << HELD_BITS, bool)
+        owner = np.repeat(np.arange(len(items)), sizes)
+        self.held[self._held_at(owner, words[words != 0])] = True
         self.rest = np.flatnonzero((keyed == 0) & (sizes > 0))  # found by their first word
         self.rest_words = np.array([items[i][0] for i in self.rest], np.uint64)
 
     @staticmethod
-    def _bits(words: np.ndarray, seed: np.uint64) -> np.ndarray:
-        bits = mixed(words ^ seed)
-        bits[words == 0] = 0  # a walk stays at the end of its text
-        return bits
+    def _scrambled(words: np.ndarray) -> np.ndarray:
+        """What a repetition multiplies by its seed to get the bits of all steps."""
+        scrambled = mixed(words)
+        scrambled[words == 0] = 0  # a walk stays at the end of its text
+        return scrambled
+
+    @staticmethod
+    def _places(bits: np.ndarray, at: np.ndarray, steps: tuple[int, ...]) -> list[np.ndarray]:
+        """Where walks from ``at``, begun at the first of the steps, stand at the others."""
+        places = []
+        for begin, end in zip(steps[:-1], steps[1:], strict=True):
+            at = _walked(bits, at, begin, end)
+            places.append(at)
+        return places
 
     @staticmethod
-    def _key(words, bits, at, steps):
-        key, done, early = np.zeros(len(at), np.uint64), 0, None
-        for k, step in enumerate(steps):
-            at, done = _walked(bits, at, done, step), step
-            key = _joined_key(key, words[at])
-            early = key if k == 1 else early
-        return at, key, early
+    def _key(seen: list[np.ndarray]) -> np.ndarray:
+        key = np.zeros(len(seen[0]), np.uint64)
+        for word in seen:
+            key = _joined_key(key, word)
+        return key
+
+    @staticmethod
+    def _held_at(item: np.ndarray, words: np.ndarray) -> np.ndarray:
+        high = (words >> np.uint64(64 - HELD_BITS)).astype(np.int64)
+        return ((item * 0x9E3779B1) ^ high) & ((1 << HELD_BITS) - 1)
+
+    def possible(self, words, low, high, item, edits) -> np.ndarray:
+        """Whether the regions low:high hold enough words of the items; true for every match."""
+        lengths = np.maximum(high - low, 0)
+        ends = np.cumsum(lengths)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(low - (ends - lengths), lengths)
+        known = self.held[self._held_at(np.repeat(item, lengths), words[at])]
+        total = np.concatenate(([0], np.cumsum(known)))
+        return total[ends] - total[ends - lengths] >= self.sizes[item] - edits[item]
 
     def candidates(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(where the item would begin, item) of all windows that share a key with an item."""
-        mask = np.uint64((1 << TABLE_BITS) - 1)
+        """(where the item would begin, item) of all windows that share a key with an item.
+
+        Windows whose first sampled word, or first two, no item has at these steps are left
+        early; this loses none, as they could not share a key.
+        """
         everywhere = np.flatnonzero(words)
-        for seed, one, two, later, sampled in self.plans:
-            if not sampled:
-                continue
-            bits = self._bits(words, seed)
-            table = np.zeros(1 << TABLE_BITS, bool)
-            for _, _, _, _, early in sampled:
-                table[early & mask] = True
-            at = _walked(bits, everywhere, 0, one)
-            key = _joined_key(np.zeros(len(at), np.uint64), words[at])
-            at = _walked(bits, at, one, two)
-            key = _joined_key(key, words[at])
-            hit = np.flatnonzero(table[key & mask])
-            begin, at, key = everywhere[hit], at[hit], key[hit]
-            for c, chosen, skip, item_keys, _ in sampled:
-                three, four = later[c]
-                there = _walked(bits, at, two, three)
-                full = _joined_key(key, words[there])
-                full = _joined_key(full, words[_walked(bits, there, three, four)])
-                order = np.argsort(item_keys, kind="stable")
-                ordered = item_keys[order]
-                low = np.searchsorted(ordered, full, "left")
-                high = np.searchsorted(ordered, full, "right")
+        scrambled, short = self._scrambled(words), _short(words)
+        short_here = short[everywhere]
+        for seed, one, two, singles, pairs, sampled in self.plans:
+            bits = scrambled * seed
+            if one == 0:
+                begin = at = everywhere[singles[short_here]]
+            else:
+                at = _walked(bits, everywhere, 0, one)
+                hit = np.flatnonzero(singles[short[at]])
+                begin, at = everywhere[hit], at[hit]
+            second = _walked(bits, at, one, two)
+            hit = np.flatnonzero(pairs[_pair(short[at], short[second])])
+            begin, at, second = begin[hit], at[hit], second[hit]
+            for three, four, keys, chosen, skip in sampled:
+                third, fourth = self._places(bits, second, (two, three, four))
+                full = self._key([words[p] for p in (at, second, third, fourth)])
+                low, high = np.searchsorted(keys, full, "left"), np.searchsorted(keys, full, "right")
                 same = np.flatnonzero(high > low)
                 while len(same):
-                    which = order[low[same]]
+                    which = low[same]
                     yield begin[same] - skip[which], chosen[which]
                     low[same] += 1
                     same = same[high[same] > low[same]]
@@ -149,16 +191,22 @@ class Sampler:
             yield begin, np.full(len(begin), item)
 
 
-def fewest_edits(item: np.ndarray, region: np.ndarray) -> int:
-    """The smallest number of word edits that turn the item into some part of the region."""
-    row = np.zeros(len(region) + 1, np.int64)
+def fewest_edits(item: np.ndarray, region: np.ndarray, limit: int = 2**31) -> int:
+    """The smallest number of word edits that turn the item into some part of the region.
+
+    The least of a row never falls from one row to the next, so beyond ``limit`` it is returned.
+    """
+    least, row = 0, np.zeros(len(region) + 1, np.int64)
     steps = np.arange(len(region) + 1)
     for k, word in enumerate(item):
         cost = np.empty_like(row)
         cost[0] = k + 1
         cost[1:] = np.minimum(row[1:] + 1, row[:-1] + (region != word))
         row = np.minimum.accumulate(cost - steps) + steps
-    return int(row.min())
+        least = int(row.min())
+        if least > limit:
+            break
+    return least
 
 
 def _matches(sampler: Sampler, edits: np.ndarray, texts: list[bytes]) -> dict[tuple[int, int], int]:
@@ -166,25 +214,24 @@ def _matches(sampler: Sampler, edits: np.ndarray, texts: list[bytes]) -> dict[tu
     words, first = normal_words(texts)
     best: dict[tuple[int, int], int] = {}
     tried: set[tuple[int, int]] = set()
-    for begin, item in sampler.candidates(words):
-        for b, i in zip(begin.tolist(), item.tolist(), strict=True):
-            if (b, i) in tried:
-                continue
-            tried.add((b, i))
-            text = int(np.searchsorted(first, max(b, 0), "right")) - 1
-            if b < first[text]:  # the item would begin before the text
-                text = max(text, 0)
-            limit, wanted = int(edits[i]), sampler.items[i]
-            if best.get((text, i), limit + 1) == 0:
-                continue
-            low = max(b - limit, int(first[text]))
-            high = min(b + len(wanted) + limit, int(first[text + 1]) - 1)
-            region = words[low:high]
-            if np.isin(wanted, region).sum() < len(wanted) - limit:
-                continue
-            found = fewest_edits(wanted, region)
-            if found <= limit and found < best.get((text, i), limit + 1):
-                best[(text, i)] = found
+    for all_begin, all_item in sampler.candidates(words):
+        for part in range(0, len(all_begin), CHECKED):
+            begin, item = all_begin[part : part + CHECKED], all_item[part : part + CHECKED]
+            # A window may begin before its text, where the item's first words are missing.
+            text = np.searchsorted(first, np.maximum(begin, 0) + sampler.sizes[item] // 2, "right") - 1
+            text = np.clip(text, 0, len(texts) - 1)
+            low = np.maximum(begin - edits[item], first[text])
+            high = np.minimum(begin + sampler.sizes[item] + edits[item], first[text + 1] - 1)
+            keep = np.flatnonzero(sampler.possible(words, low, high, item, edits))
+            for k in keep.tolist():
+                b, i, t = int(begin[k]), int(item[k]), int(text[k])
+                limit = int(edits[i])
+                if (b, i) in tried or best.get((t, i), limit + 1) == 0:
+                    continue
+                tried.add((b, i))
+                found = fewest_edits(sampler.items[i], words[low[k] : high[k]], limit)
+                if found <= limit and found < best.get((t, i), limit + 1):
+                    best[(t, i)] = found
     return best
 
 

@@ -50,8 +50,6 @@ def session(cpus: str) -> SparkSession:
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("migraspark-bench")
         .config("spark.sql.shuffle.partitions", cpus)
-        # A few megabytes are still worth all cores here: the work is in the expressions.
-        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")

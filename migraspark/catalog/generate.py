@@ -468,6 +468,27 @@ def gen_21(spark, folder):
     )
 
 
+@query(
+    "gen_21_foreign_keys",
+    "SELECT COUNT(*) AS customers, TRUE AS all_known, TRUE AS spread_out FROM customer",
+)
+def gen_21_keys(spark, folder):
+    """Orders generated along with as many customers as the table has belong to all of those."""
+    customers = scan(spark, folder, "customer").count()
+    rows = {"customers": customers, "orders": scan(spark, folder, "orders").count()}
+    base = scratch_path(spark, "generated")
+    specs = [G.BASE_SPECS["customers"], G.BASE_SPECS["orders"]]
+    G.generate_tables(spark, specs, base, rows, SEED)
+    ids = spark.read.parquet(f"{base}/customers").select("customer_id").distinct()
+    named = spark.read.parquet(f"{base}/orders").select("customer_id").dropna().distinct()
+    met = named.join(ids.withColumn("known", F.lit(True)), "customer_id", "left")
+    return met.agg(
+        F.lit(customers).cast("bigint").alias("customers"),
+        F.bool_and(F.coalesce("known", F.lit(False))).alias("all_known"),
+        (F.count("*") > 0.8 * customers).alias("spread_out"),
+    )
+
+
 @query(
     "gen_22_table_profile",
     """SELECT 'part' AS table_name, (SELECT COUNT(*) FROM part) AS rows, 3 AS column_count,

@@ -35,9 +35,10 @@ def to_date(value: Column) -> Column:
 
 
 def to_decimal(value: Column, precision: int = 38, scale: int = 2) -> Column:
-    """Number rounded to ``scale`` digits; unparseable as NULL."""
+    """Number rounded to ``scale`` digits, exact for decimals and their text; else NULL."""
+    wanted = f"decimal({precision},{scale})"
     number = F.nullif(value.try_cast("double"), F.lit(float("nan")))
-    return number.try_cast(f"decimal({precision},{scale})")
+    return F.coalesce(value.try_cast(wanted), number.try_cast(wanted))
 
 
 def to_string(value: Column, max_length: int | None = None) -> Column:

@@ -66,6 +66,19 @@ class TableSpec:
         return V.NULL_RATE if column.nullable else 0.0
 
 
+def orders_spec(customers: int) -> TableSpec:
+    """Orders whose customers are numbered from 1 to ``customers``."""
+    return TableSpec.from_ddl_fields(
+        "orders",
+        "order_id INT NOT NULL, customer_id INT, order_date DATE, amount DECIMAL(10,2), "
+        "company VARCHAR(100), status VARCHAR(20)",
+        {
+            "order_id": ColumnGen(kind="key"),
+            "customer_id": ColumnGen(kind="numeric", minimum=1, maximum=customers + 1),
+        },
+    )
+
+
 # The base schemas and the overrides in force for them.
 BASE_SPECS = {
     "customers": TableSpec.from_ddl_fields(
@@ -75,17 +88,7 @@ BASE_SPECS = {
         "country VARCHAR(50), signup_date DATE, created_at TIMESTAMP_NTZ",
         {"customer_id": ColumnGen(kind="key"), "address": ColumnGen(null_rate=0.02)},
     ),
-    "orders": TableSpec.from_ddl_fields(
-        "orders",
-        "order_id INT NOT NULL, customer_id INT, order_date DATE, amount DECIMAL(10,2), "
-        "company VARCHAR(100), status VARCHAR(20)",
-        {
-            "order_id": ColumnGen(kind="key"),
-            "customer_id": ColumnGen(
-                kind="numeric", minimum=1, maximum=DEFAULT_ROWS["customers"] + 1
-            ),
-        },
-    ),
+    "orders": orders_spec(DEFAULT_ROWS["customers"]),
     "products": TableSpec.from_ddl_fields(
         "products",
         "product_id INT NOT NULL, product_name VARCHAR(100), product_url VARCHAR(255), "
@@ -292,10 +295,15 @@ def generate_tables(
     seed: int = DEFAULT_SEED,
     as_json: bool = True,
 ) -> DataFrame:
-    """Write every table below ``base``; one log row per table, failures included."""
+    """Write every table below ``base``; one log row per table, failures included.
+
+    Base orders belong to as many customers as are asked for.
+    """
     wanted = rows or DEFAULT_ROWS
     log = []
     for spec in specs:
+        if spec is BASE_SPECS["orders"] and "customers" in wanted:
+            spec = orders_spec(wanted["customers"])
         path = f"{base}/{spec.name}"
         count = wanted.get(spec.name, ROWS_WHEN_UNSPECIFIED)
         try:

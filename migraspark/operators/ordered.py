@@ -239,7 +239,7 @@ def with_rolling_average(
         F.explode(F.sequence(F.lit(0), F.lit(preceding))).alias("__step"),
     )
     frames = handed.groupBy(*groups, (F.col("__rn") + F.col("__step")).alias("__at")).agg(
-        F.max(F.when(F.col("__step") == 0, F.col("__row"))).alias("__row"),
+        F.any_value(F.when(F.col("__step") == 0, F.col("__row")), F.lit(True)).alias("__row"),
         F.sum("__value").alias("__sum"),
         F.count("__value").alias("__count"),
     )

@@ -7,19 +7,28 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SUPPORT = 0.002  # a key below this share of the rows cannot unbalance a join
-SALTS = 64
-FEW_ROWS = 1_000_000  # even a single key cannot overload a task with so few rows
+SUPPORT = 0.002
+LEAST_SUPPORT = 0.0001  # the smallest share that frequent keys can be looked for
 
 
-def hot_key_hashes(df: DataFrame, keys: Sequence[str], support: float = SUPPORT) -> list[int]:
+def shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def hot_share(df: DataFrame) -> float:
+    """A key with less than this share of the rows weighs no more than a shuffle partition."""
+    return max(min(SUPPORT, 1 / shuffle_partitions(df)), LEAST_SUPPORT)
+
+
+def hot_key_hashes(
+    df: DataFrame, keys: Sequence[str], support: float | None = None
+) -> list[int]:
     """Hashes of every key holding at least ``support`` of the rows; at most ``1/support`` of them.
 
     Two scans of the key columns and no shuffle of rows: ``freqItems`` names all frequent keys and
     some others, and counting just those keeps the frequent ones.
     """
-    if df.count() < FEW_ROWS:
-        return []
+    support = support or hot_share(df)
     hashed = df.select(F.xxhash64(*keys).alias("h"))
     candidates = hashed.stat.freqItems(["h"], support).first()[0] or []
     if not candidates:
@@ -49,15 +58,15 @@ def lookup_join(
     right: DataFrame,
     keys: Sequence[str],
     how: str = "inner",
-    support: float = SUPPORT,
-    salts: int = SALTS,
+    support: float | None = None,
+    salts: int | None = None,
     hot_from: DataFrame | None = None,
     null_safe: bool = False,
 ) -> DataFrame:
     """Join of many ``left`` rows to few ``right`` rows per key; with ``null_safe`` NULL is a key.
 
-    Hot left keys are dealt over ``salts`` copies of their right rows; all other keys join as
-    usual, so at most ``1 / support`` right keys are copied. ``how`` is ``inner`` or ``left``.
+    Hot left keys are dealt over ``salts`` copies of their right rows, one per shuffle partition
+    unless stated; all other keys join as usual, so at most ``1 / support`` right keys are copied. ``how`` is ``inner`` or ``left``.
     ``hot_from`` is a cheaper frame with the keys of ``left`` to look for hot keys in, such as the
     table that ``left`` was computed from.
     """
@@ -70,6 +79,7 @@ def lookup_join(
         same = same & (mine.eqNullSafe(other) if null_safe else mine == other)
     if not hot:
         return left.join(renamed, same, how).select(*left.columns, *extra)
+    salts = salts or shuffle_partitions(left)
     right_keys = [f"__r_{k}" for k in keys]
     salted_left = left.withColumn(
         "__salt",
@@ -88,7 +98,7 @@ def lookup_join(
 
 
 def expand_left_join(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], how_many: int = SALTS
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how_many: int | None = None
 ) -> DataFrame:
     """``left LEFT JOIN right`` where ``right`` may hold very many rows of one key.
 

@@ -297,7 +297,7 @@ def tier_matches(
         "products_in_tier",
         F.coalesce("matching_orders", F.lit(0)).alias("matching_orders"),
         F.coalesce("unique_buyers", F.lit(0)).alias("unique_buyers"),
-        (F.col("amount_sum").cast("decimal(28,2)") * F.col("products").cast("decimal(10,0)"))
+        (F.col("amount_sum").cast("decimal(28,2)") * F.col("products").cast("decimal(19,0)"))
         .cast("decimal(38,2)")
         .alias("tier_revenue"),
         ratio(F.col("amount_sum"), F.col("amount_count")).alias("avg_order_in_tier"),

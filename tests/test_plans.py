@@ -81,7 +81,6 @@ def test_unpartitioned_windows_only_see_one_row_per_partition(spark, tiny):
 def test_input_of_a_hot_key_is_split(spark, monkeypatch):
     from migraspark.operators import skew as S
 
-    monkeypatch.setattr(S, "FEW_ROWS", 0)
     left = spark.range(20000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("k"), "id")
     right = spark.range(20000).select(F.col("id").alias("k"), F.lit("x").alias("name"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)

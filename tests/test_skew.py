@@ -10,11 +10,6 @@ from pyspark.sql import functions as F
 from migraspark.operators import skew as S
 
 
-@pytest.fixture
-def always_salt(monkeypatch):
-    monkeypatch.setattr(S, "FEW_ROWS", 0)
-
-
 @pytest.fixture(scope="module")
 def sides(spark):
     left = [(i, 1 if i % 3 == 0 else (None if i % 50 == 1 else i % 400)) for i in range(6000)]
@@ -27,19 +22,15 @@ def sides(spark):
     )
 
 
-def test_hot_keys_are_found(sides, always_salt):
+def test_hot_keys_are_found(sides):
     _, _, left, _ = sides
     hot = S.hot_key_hashes(left, ["k"], 0.05)
     expected = left.filter("k = 1").select(F.xxhash64("k")).first()[0]
     assert hot == [expected]
 
 
-def test_no_job_for_few_rows(sides):
-    assert S.hot_key_hashes(sides[2], ["k"]) == []
-
-
 @pytest.mark.parametrize("how", ["inner", "left"])
-def test_salted_join_equals_plain_join(sides, always_salt, how):
+def test_salted_join_equals_plain_join(sides, how):
     left, right, ldf, rdf = sides
     joined = S.lookup_join(ldf, rdf, ["k"], how=how, support=0.01, null_safe=True)
     assert "__salt" in joined._jdf.queryExecution().optimizedPlan().toString()
@@ -50,13 +41,13 @@ def test_salted_join_equals_plain_join(sides, always_salt, how):
     assert Counter(tuple(r) for r in joined.collect()) == expected
 
 
-def test_equal_rows_of_a_hot_key_are_all_kept(spark, always_salt):
+def test_equal_rows_of_a_hot_key_are_all_kept(spark):
     left = spark.createDataFrame([("x", 1)] * 5000, "v string, k int").repartition(8)
     right = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, name string")
     assert S.lookup_join(left, right, ["k"]).count() == 10000
 
 
-def test_left_join_with_hot_right_side(sides, always_salt):
+def test_left_join_with_hot_right_side(sides):
     left, right, many, few = sides
     joined = S.expand_left_join(few, many, ["k"])
     expected = Counter()
@@ -66,7 +57,7 @@ def test_left_join_with_hot_right_side(sides, always_salt):
     assert Counter(tuple(r) for r in joined.select("k", "name", "id").collect()) == expected
 
 
-def test_rows_with_maps_can_be_salted(spark, always_salt):
+def test_rows_with_maps_can_be_salted(spark):
     left = spark.range(600).selectExpr("1 AS k", "map('a', id) AS m")
     right = spark.createDataFrame([(1, "x")], "k int, name string")
     assert S.lookup_join(left, right, ["k"]).count() == 600

@@ -57,5 +57,4 @@ def connection(skewed):
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query(name, spark, skewed, connection, monkeypatch, many_partitions):
-    monkeypatch.setattr(skew, "FEW_ROWS", 0)
     assert compare.differences(QUERIES[name](spark, skewed), ORACLES[name], connection) == []

@@ -22,6 +22,9 @@ SIMILARITY_PERCENT = 80
 BANDS, ROWS = 10, 4
 # Lines of up to twice SHORT shingles hash per band, lines above SHORT by one permutation.
 SHORT = 32
+# In a line with more shingles than so many per place, hashes so large that a place has about
+# this many smaller ones are left out of the aggregation; three places in ten thousand have none.
+PER_PLACE = 8
 BROADCAST_IDS = 2_000_000
 
 
@@ -38,14 +41,19 @@ def _buckets(distinct: DataFrame) -> DataFrame:
     """(bucket, node) for every band of every line, without another shuffle of the lines."""
     shingles = f"greatest(octet_length(line) - {SHINGLE_BYTES - 1}, 1)"
     rounds = f"CASE WHEN n > {2 * SHORT} THEN 1 WHEN n > {SHORT} THEN {BANDS + 1} ELSE {BANDS} END"
+    wanted = BANDS * ROWS * PER_PLACE
+    horizon = f"CAST(-2147483648 + 4294967296 * least(1.0D, {wanted}.0D / n) AS BIGINT)"
     sized = distinct.selectExpr("node", "CAST(line AS BINARY) AS bytes", f"{shingles} AS n")
-    spread = sized.selectExpr("node", "bytes", "n", f"explode(sequence(0, n * ({rounds}) - 1)) AS k")
+    spread = sized.selectExpr(
+        "node", "bytes", "n", f"{horizon} AS horizon", f"explode(sequence(0, n * ({rounds}) - 1)) AS k"
+    )
     hashed = spread.selectExpr(
         "node",
+        "horizon",
         f"CAST(k DIV n + CASE WHEN n > {SHORT} THEN 0 ELSE 1 END AS INT) AS round",
         f"substring(bytes, k % n + 1, {SHINGLE_BYTES}) AS shingle",
-    ).selectExpr("node", "round", "xxhash64(shingle, round) AS h")
-    placed = hashed.selectExpr(
+    ).selectExpr("node", "horizon", "round", "xxhash64(shingle, round) AS h")
+    placed = hashed.where("shiftright(h, 32) < horizon").selectExpr(
         "node",
         f"CAST(CASE WHEN round = 0 THEN (h & 1023) % {BANDS} ELSE {BANDS - 1} + round END AS INT) AS band",
         f"(shiftright(h, 10) & {ROWS - 1}) AS place",
@@ -57,13 +65,18 @@ def _buckets(distinct: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, shingles) of the given lines; few ids go to the lines, many are met by a shuffle."""
+    """(node, shingles) of the given lines; few ids go to the lines, many are met by a shuffle.
+
+    A shingle is the 64-bit hash of its bytes: a one-to-one mapping of eight bytes, so sets of
+    whole shingles are compared exactly. The bytes of a line are bound once, not per shingle.
+    """
     nodes = kept_table(nodes.select("node").distinct(), "wanted-lines")
     wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
     rows = lines_of(docs).select("node", "line").join(wanted, "node", "left_semi")
     cut = F.expr(
-        "array_distinct(transform(sequence(1, greatest(octet_length(line) - "
-        f"{SHINGLE_BYTES - 1}, 1)), i -> substring(CAST(line AS BINARY), i, {SHINGLE_BYTES})))"
+        "transform(array(CAST(line AS BINARY)), bytes -> array_distinct(transform("
+        f"sequence(1, greatest(octet_length(bytes) - {SHINGLE_BYTES - 1}, 1)), "
+        f"i -> xxhash64(substring(bytes, i, {SHINGLE_BYTES})))))[0]"
     )
     return rows.groupBy("node").agg(F.min("line").alias("line")).select("node", cut.alias("shingles"))
 
@@ -98,8 +111,7 @@ def duplicate_lines(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataF
         )
 
     def elements(nodes: DataFrame) -> DataFrame:
-        held = _texts(docs, nodes).select("node", F.explode("shingles").alias("shingle"))
-        return held.select("node", F.xxhash64("shingle").alias("element"))
+        return _texts(docs, nodes).select("node", F.explode("shingles").alias("element"))
 
     found = link(buckets, verify, elements, percent)
     placed = kept_table(

@@ -9,15 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from migraspark.operators import history as H
-from migraspark.sources.results import replace_folder
+from migraspark.sources.results import recover_folder, replace_folder
 
 
 class HistoryStore:
-    """One writer at a time; any number of readers.
+    """One writer at a time; any number of readers. Opening a store counts as writing.
 
     Reading folds the patches into the runs. ``compact`` writes that fold back and empties the
-    patches, which bounds what a read has to scan; applying a patch twice changes nothing, so a
-    crash between its two steps does no harm.
+    patches, which bounds what a read has to scan. The old runs are deleted last, opening the store
+    settles a replacement that was interrupted, and applying a patch twice changes nothing, so a
+    crash between any two steps loses no run.
     """
 
     def __init__(self, spark: SparkSession, base: str) -> None:
@@ -31,6 +32,7 @@ class HistoryStore:
             "migration_runs": empty_runs.schema, "patches": empty_patches.schema,
         }
         for name, empty in (("migration_runs", empty_runs), ("patches", empty_patches)):
+            recover_folder(spark, self.paths[name])
             empty.write.mode("append").parquet(self.paths[name])
 
     def _read(self, name: str) -> DataFrame:

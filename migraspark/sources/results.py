@@ -88,8 +88,10 @@ def load(df: DataFrame, spec: T.StructType, path: str) -> int:
     """Conform to the declared schema and replace the table at ``path``; returns rows loaded.
 
     The rows go to a folder next to the table first and take its place when all are written, so a
-    value that cannot be conformed leaves the old contents as they were.
+    value that cannot be conformed leaves the old contents as they were. A replacement that was
+    interrupted is settled first.
     """
+    recover_folder(df.sparkSession, path)
     staged = f"{path}__loading"
     rows = _write(conform(df, spec), staged, "parquet", 5_000_000)
     replace_folder(df.sparkSession, staged, path)
@@ -97,13 +99,41 @@ def load(df: DataFrame, spec: T.StructType, path: str) -> int:
 
 
 def replace_folder(spark: SparkSession, staged: str, path: str) -> None:
-    """Put a completely written folder in the place of another."""
+    """Put a completely written folder in the place of another.
+
+    The old folder steps aside and is deleted last, so at any moment one complete copy exists;
+    ``recover_folder`` finishes or takes back a replacement that was interrupted. This needs a file
+    system whose rename is one step; where it is a copy, a crash inside the copy is not detected.
+    """
+    recover_folder(spark, path)
+    system, old, aside = _folder_and_aside(spark, path)
+    new = spark._jvm.org.apache.hadoop.fs.Path(staged)
+    if system.exists(old) and not system.rename(old, aside):
+        raise OSError(f"could not move {path} aside")
+    try:
+        if not system.rename(new, old):
+            raise OSError(f"could not move {staged} to {path}")
+    finally:
+        recover_folder(spark, path)
+
+
+def recover_folder(spark: SparkSession, path: str) -> None:
+    """Settle an interrupted ``replace_folder``: the old contents return, unless the new are there."""
+    system, current, aside = _folder_and_aside(spark, path)
+    if not system.exists(aside):
+        return
+    if system.exists(current):
+        system.delete(aside, True)
+    elif not system.rename(aside, current):
+        raise OSError(f"could not restore {path}")
+
+
+def _folder_and_aside(spark: SparkSession, path: str):
+    """File system, the folder itself, and the place it steps aside to while it is replaced."""
     hadoop = spark._jvm.org.apache.hadoop.fs
-    old, new = hadoop.Path(path), hadoop.Path(staged)
-    system = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    system.delete(old, True)
-    if not system.rename(new, old):
-        raise OSError(f"could not move {staged} to {path}")
+    current = hadoop.Path(path)
+    system = current.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system, current, hadoop.Path(f"{path}__replaced")
 
 
 def load_all(

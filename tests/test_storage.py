@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,6 +60,46 @@ def test_failed_load_keeps_the_old_table(spark, tmp_path):
     assert spark.read.parquet(path).count() == 1
 
 
+def test_interrupted_load_is_settled(spark, tmp_path):
+    path, spec = tmp_path / "t", T.StructType.fromDDL("a BIGINT")
+    two = spark.createDataFrame([("1",), ("2",)], "a string")
+    IO.load(two, spec, str(path))
+    path.rename(tmp_path / "t__replaced")
+    IO.recover_folder(spark, str(path))
+    assert spark.read.parquet(str(path)).count() == 2 and not (tmp_path / "t__replaced").exists()
+    shutil.copytree(path, tmp_path / "t__replaced")
+    assert IO.load(two.limit(1), spec, str(path)) == 1
+    assert spark.read.parquet(str(path)).count() == 1
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["t"]
+
+
+def test_replacement_that_cannot_move_keeps_the_old_table(spark, tmp_path):
+    path = tmp_path / "t"
+    spark.range(3).write.parquet(str(path))
+    with pytest.raises(Exception):
+        IO.replace_folder(spark, str(tmp_path / "absent"), str(path))
+    assert spark.read.parquet(str(path)).count() == 3
+
+
+@pytest.mark.parametrize("moved_in", [False, True])
+def test_history_survives_an_interrupted_compaction(spark, tmp_path, moved_in):
+    base = tmp_path / "history"
+    store = HistoryStore(spark, str(base))
+    store.log(requests(spark, ["a", "b"]), ["request_id"])
+    ends = spark.range(1).select(F.lit(2).cast("bigint").alias("run_id"), F.lit("failed").alias("recon_ind"))
+    store.patch(ends)
+    store.runs().write.parquet(str(base / "runs__next"))
+    (base / "runs").rename(base / "runs__replaced")
+    if moved_in:
+        (base / "runs__next").rename(base / "runs")
+    again = HistoryStore(spark, str(base))
+    for _ in range(2):
+        found = {r["run_id"]: r["recon_ind"] for r in again.runs().collect()}
+        assert found == {1: None, 2: "failed"}
+        again.compact()
+    assert not (base / "runs__replaced").exists()
+
+
 def test_corpus(spark, tmp_path):
     for name, text in {
         "b.sql": "  CREATE SET TABLE bb (x INT)\n", "a.sql": "SELECT 1", "c.proc": "BEGIN", "d.md": "no",

@@ -538,12 +538,22 @@ def compare_melted(
 
     Use it for very wide results too: the plan does not grow with the number of columns. The join
     key is (run, key, column), so one large run spreads over all tasks.
+
+    Where a side of a run repeats a key, the key does not tell which rows belong together: the
+    counts of that run are NULL, and ``reconcile`` can align it by position. Other runs are not
+    affected. Copies of a key are folded before the join, so they are never paired.
     """
-    joined = full_outer(
-        source.withColumnsRenamed({"number": "s_number", "text": "s_text", "numeric": "s_is"}),
-        target.withColumnsRenamed({"number": "t_number", "text": "t_text", "numeric": "t_is"}),
-        ["run_id", "key", "column"],
-    )
+    cell = ["run_id", "key", "column"]
+
+    def folded(side: DataFrame, prefix: str) -> DataFrame:
+        return side.groupBy(*cell).agg(
+            F.any_value("number").alias(f"{prefix}_number"),
+            F.any_value("text").alias(f"{prefix}_text"),
+            F.any_value("numeric").alias(f"{prefix}_is"),
+            F.count("*").alias(f"{prefix}_copies"),
+        )
+
+    joined = full_outer(folded(source, "s"), folded(target, "t"), cell)
     x = F.coalesce("s_number", F.col("s_text").try_cast("double"))
     y = F.coalesce("t_number", F.col("t_text").try_cast("double"))
     as_number = F.coalesce("s_is", F.lit(False)) | F.coalesce("t_is", F.lit(False))
@@ -552,11 +562,12 @@ def compare_melted(
     )
     both = F.col("side") == "both"
     bad = both & ~equal
+    once = F.max(F.greatest("s_copies", "t_copies")) == 1
     return joined.groupBy("run_id", "column").agg(
-        F.count_if(F.col("side") == "left_only").alias("source_only"),
-        F.count_if(F.col("side") == "right_only").alias("target_only"),
-        F.count_if(bad).alias("mismatch_count"),
-        F.max(F.when(bad & as_number, F.abs(x - y))).alias("max_numeric_diff"),
+        F.when(once, F.count_if(F.col("side") == "left_only")).alias("source_only"),
+        F.when(once, F.count_if(F.col("side") == "right_only")).alias("target_only"),
+        F.when(once, F.count_if(bad)).alias("mismatch_count"),
+        F.when(once, F.max(F.when(bad & as_number, F.abs(x - y)))).alias("max_numeric_diff"),
     )
 
 

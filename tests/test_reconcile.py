@@ -214,3 +214,14 @@ def test_long_mode_agrees_with_wide_mode(spark, tiny):
     wide = R.explode_diffs(R.reconcile(orders, target, run_id=3))
     keep = ["run_id", "column", "mismatch_count", "max_numeric_diff"]
     assert long.select(*keep).collect() == wide.select(*keep).collect()
+
+
+def test_long_mode_leaves_runs_with_repeated_keys_undecided(spark):
+    twice = spark.createDataFrame([(1, 1.0), (1, 2.0), (2, 3.0)], "id int, amount double")
+    once = spark.createDataFrame([(1, 1.0), (2, 2.0)], "id int, amount double")
+    off = spark.createDataFrame([(1, 1.0), (2, 5.0), (3, 0.0)], "id int, amount double")
+    source = R.melt(twice, 1, ["id"]).unionAll(R.melt(once, 2, ["id"])).unionAll(R.melt(once, 3, ["id"]))
+    target = R.melt(twice, 1, ["id"]).unionAll(R.melt(off, 2, ["id"])).unionAll(R.melt(twice, 3, ["id"]))
+    found = {r["run_id"]: tuple(r)[2:] for r in R.compare_melted(source, target).collect()}
+    unknown = (None, None, None, None)
+    assert found == {1: unknown, 2: (0, 1, 1, 3.0), 3: unknown}

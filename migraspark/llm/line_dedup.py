@@ -1,6 +1,6 @@
 """Fuzzy duplicate lines by MinHash over character shingles, in DataFrame functions alone.
 
-Distinct lines are cut into shingles of eight bytes. One hash per shingle picks a band and a row
+Distinct lines are cut into shingles of some bytes, eight unless told otherwise. One hash per shingle picks a band and a row
 of the band; the smallest hashes of a band's rows are its key (one-permutation MinHash). Short
 lines, whose shingles would leave most rows empty, hash every shingle anew for each band; lines
 of a middle length take part in both. Lines that share a key are compared on their full shingle
@@ -9,6 +9,8 @@ sets, linked lines form components, and the first line of each component is kept
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,10 +19,13 @@ from migraspark.llm.linking import link
 
 SHINGLE_BYTES = 8
 SIMILARITY_PERCENT = 80
-# At a similarity of 0.8 a band of four rows agrees with probability 0.41; all ten differ for
-# five pairs in a thousand.
-BANDS, ROWS = 10, 4
-# Lines of up to twice SHORT shingles hash per band, lines above SHORT by one permutation.
+# Shorter shingles and a lower limit, at which a word changed in the middle of a line of 40 to 120
+# bytes leaves a link: (percent, shingle_bytes) for duplicate_lines.
+WORD_EDITS = (60, 4)
+# A band has so many rows; there are so many bands that all differ for five pairs in a thousand at
+# the limit. At 0.8 a band of four rows agrees with probability 0.41, so that is ten bands.
+ROWS, MISSED = 4, 0.005
+# Lines of up to twice so many shingles per ten bands hash per band, lines above by one permutation.
 SHORT = 32
 # In a line with more shingles than so many per place, hashes so large that a place has about
 # this many smaller ones are left out of the aggregation; three places in ten thousand have none.
@@ -37,11 +42,18 @@ def lines_of(docs: DataFrame) -> DataFrame:
     )
 
 
-def _buckets(distinct: DataFrame) -> DataFrame:
+def bands_for(percent: int) -> int:
+    """The bands that let a pair at ``percent`` slip with a probability of about MISSED."""
+    return max(1, round(math.log(MISSED) / math.log1p(-min(percent / 100, 0.999) ** ROWS)))
+
+
+def _buckets(distinct: DataFrame, length: int, percent: int) -> DataFrame:
     """(bucket, node) for every band of every line, without another shuffle of the lines."""
-    shingles = f"greatest(octet_length(line) - {SHINGLE_BYTES - 1}, 1)"
-    rounds = f"CASE WHEN n > {2 * SHORT} THEN 1 WHEN n > {SHORT} THEN {BANDS + 1} ELSE {BANDS} END"
-    wanted = BANDS * ROWS * PER_PLACE
+    bands = bands_for(percent)
+    short = SHORT * bands // 10
+    shingles = f"greatest(octet_length(line) - {length - 1}, 1)"
+    rounds = f"CASE WHEN n > {2 * short} THEN 1 WHEN n > {short} THEN {bands + 1} ELSE {bands} END"
+    wanted = bands * ROWS * PER_PLACE
     horizon = f"CAST(-2147483648 + 4294967296 * least(1.0D, {wanted}.0D / n) AS BIGINT)"
     sized = distinct.selectExpr("node", "CAST(line AS BINARY) AS bytes", f"{shingles} AS n")
     spread = sized.selectExpr(
@@ -50,12 +62,12 @@ def _buckets(distinct: DataFrame) -> DataFrame:
     hashed = spread.selectExpr(
         "node",
         "horizon",
-        f"CAST(k DIV n + CASE WHEN n > {SHORT} THEN 0 ELSE 1 END AS INT) AS round",
-        f"substring(bytes, k % n + 1, {SHINGLE_BYTES}) AS shingle",
+        f"CAST(k DIV n + CASE WHEN n > {short} THEN 0 ELSE 1 END AS INT) AS round",
+        f"substring(bytes, k % n + 1, {length}) AS shingle",
     ).selectExpr("node", "horizon", "round", "xxhash64(shingle, round) AS h")
     placed = hashed.where("shiftright(h, 32) < horizon").selectExpr(
         "node",
-        f"CAST(CASE WHEN round = 0 THEN (h & 1023) % {BANDS} ELSE {BANDS - 1} + round END AS INT) AS band",
+        f"CAST(CASE WHEN round = 0 THEN (h & 1023) % {bands} ELSE {bands - 1} + round END AS INT) AS band",
         f"(shiftright(h, 10) & {ROWS - 1}) AS place",
         "h",
     )
@@ -64,41 +76,48 @@ def _buckets(distinct: DataFrame) -> DataFrame:
     return keys.select(F.xxhash64("band", *[f"m{r}" for r in range(ROWS)]).alias("bucket"), "node")
 
 
-def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, nodes: DataFrame, length: int) -> DataFrame:
     """(node, shingles) of the given lines; few ids go to the lines, many are met by a shuffle.
 
     A shingle is the 64-bit hash of its bytes: a one-to-one mapping of eight bytes, so sets of
-    whole shingles are compared exactly. The bytes of a line are bound once, not per shingle.
+    whole shingles of that length are compared exactly. The bytes of a line are bound once, not per shingle.
     """
     nodes = kept_table(nodes.select("node").distinct(), "wanted-lines")
     wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
     rows = lines_of(docs).select("node", "line").join(wanted, "node", "left_semi")
     cut = F.expr(
         "transform(array(CAST(line AS BINARY)), bytes -> array_distinct(transform("
-        f"sequence(1, greatest(octet_length(bytes) - {SHINGLE_BYTES - 1}, 1)), "
-        f"i -> xxhash64(substring(bytes, i, {SHINGLE_BYTES})))))[0]"
+        f"sequence(1, greatest(octet_length(bytes) - {length - 1}, 1)), "
+        f"i -> xxhash64(substring(bytes, i, {length})))))[0]"
     )
     return rows.groupBy("node").agg(F.min("line").alias("line")).select("node", cut.alias("shingles"))
 
 
-def duplicate_lines(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataFrame:
+def duplicate_lines(
+    docs: DataFrame, percent: int = SIMILARITY_PERCENT, shingle_bytes: int = SHINGLE_BYTES
+) -> DataFrame:
     """doc_id, n_lines, n_removed and removed (line numbers from 0) for every doc_id of ``docs``.
 
     Only lines with more than white space count. Lines are linked at a Jaccard similarity of
-    ``percent`` or more of their sets of eight-byte shingles (a shorter line is one shingle); of
+    ``percent`` or more of their sets of shingles of ``shingle_bytes`` (a shorter line is one); of
     each component the line with the smallest (doc_id, number) stays, NULL ids before others. A
     NULL or empty text has no lines. Rows that repeat a doc_id, and rows without one, are pooled:
     their lines go by number. Other columns are ignored; an empty table gives an empty result.
 
+    A substituted byte changes ``shingle_bytes`` shingles on each side, so the default is near-exact
+    for ordinary lines; WORD_EDITS links lines of 40 to 120 bytes that differ in a word, from more
+    bands and thus more work.
+
     Lines are told apart by 64-bit hashes. The text of a line is shuffled once, after equal lines
     of a task have met; a line that is everywhere is one row from then on.
     """
     lines = lines_of(docs)
     distinct = lines.select("node", "line").groupBy("node").agg(F.min("line").alias("line"))
-    buckets = kept_table(_buckets(distinct), "line-buckets")
+    buckets = kept_table(_buckets(distinct, shingle_bytes, percent), "line-buckets")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        sets = kept_table(_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("node"))), "line-sets")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+        sets = kept_table(_texts(docs, ends, shingle_bytes), "line-sets")
         left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
         right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
         return (
@@ -111,7 +130,7 @@ def duplicate_lines(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataF
         )
 
     def elements(nodes: DataFrame) -> DataFrame:
-        return _texts(docs, nodes).select("node", F.explode("shingles").alias("element"))
+        return _texts(docs, nodes, shingle_bytes).select("node", F.explode("shingles").alias("element"))
 
     found = link(buckets, verify, elements, percent)
     placed = kept_table(

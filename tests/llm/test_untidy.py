@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from migraspark.llm import classifier, decontaminate, near_dedup, sharding, stages, tokens, warc
-from migraspark.llm.line_dedup import duplicate_lines, without_lines
+from migraspark.llm.line_dedup import WORD_EDITS, duplicate_lines, without_lines
 from migraspark.llm.linking import components
 from migraspark.llm.mixing import mix, targets
 from migraspark.llm.quality_rules import quality_rules
@@ -290,6 +290,25 @@ def test_fuzzy_lines(spark):
     assert {r.doc_id: r.removed for r in duplicate_lines(docs).collect()} == {1: [], 2: [0], 3: [0], 4: [0, 2]}
 
 
+def test_a_word_changed_in_the_middle_of_a_line(spark):
+    draw = random.Random(8)
+    words = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randint(3, 7))) for _ in range(4000)]
+    rows = []
+    for k in range(80):
+        line = []
+        while len(" ".join(line)) < 40 + k:
+            line.append(draw.choice(words))
+        middle = len(line) // 2
+        line[middle] = draw.choice([w for w in words if len(w) == 5])
+        other = [*line[:middle], draw.choice([w for w in words if len(w) == 5]), *line[middle + 1 :]]
+        rows += [(2 * k, " ".join(line)), (2 * k + 1, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    percent, shingle_bytes = WORD_EDITS
+    found = {r.doc_id: r.removed for r in duplicate_lines(docs, percent, shingle_bytes).collect()}
+    assert all(found[2 * k] == [] for k in range(80))
+    assert sum(found[2 * k + 1] == [0] for k in range(80)) >= 78
+
+
 def test_contaminated(spark, untidy, empty):
     items = spark.createDataFrame(
         [(1, PROSE), (1, PROSE), (2, None), (3, ""), (None, "one two"), (4, "not there at all, really")],

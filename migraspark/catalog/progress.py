@@ -60,11 +60,11 @@ def prg_01(spark, folder):
     return P.fold_state(events(spark, folder))
 
 
-@query(
-    "prg_01_appended_entries",
-    f"""{EVENTS_SQL} SELECT run_id, key, seq, value FROM progress
-WHERE key IN ('errors', 'agent_log')""",
-)
+APPENDED_SQL = f"""{EVENTS_SQL} SELECT run_id, key, seq, value FROM progress
+WHERE key IN ('errors', 'agent_log')"""
+
+
+@query("prg_01_appended_entries", APPENDED_SQL)
 def prg_01_appended(spark, folder):
     return P.appended_entries(events(spark, folder))
 
@@ -72,17 +72,17 @@ def prg_01_appended(spark, folder):
 STEPS_LIST = ", ".join(f"'{s}'" for s in P.STEPS)
 
 
-@query(
-    "prg_02_step_states",
-    f"""{EVENTS_SQL}, latest AS (SELECT run_id, arg_max(node, seq) AS active FROM progress GROUP BY 1),
+STEPS_SQL = f"""{EVENTS_SQL}, latest AS (SELECT run_id, arg_max(node, seq) AS active FROM progress GROUP BY 1),
 done AS (SELECT DISTINCT run_id, node FROM progress WHERE node_status = 'complete'),
 steps AS (SELECT UNNEST([{STEPS_LIST}]) AS node, UNNEST(range(1, 9)) AS step),
 every AS (SELECT run_id, active, node, step FROM latest, steps)
 SELECT every.run_id, CAST(step AS INT) AS step, every.node,
   CASE WHEN done.node IS NOT NULL THEN 'done' WHEN active = every.node THEN 'active'
        ELSE 'pending' END AS state
-FROM every LEFT JOIN done ON done.run_id = every.run_id AND done.node = every.node""",
-)
+FROM every LEFT JOIN done ON done.run_id = every.run_id AND done.node = every.node"""
+
+
+@query("prg_02_step_states", STEPS_SQL)
 def prg_02(spark, folder):
     return P.step_states(events(spark, folder))
 
@@ -108,13 +108,27 @@ def prg_04(spark, folder):
     return P.step_durations(log)
 
 
-@query("str_01_stream_state", FOLD_SQL)
-def str_01(spark, folder):
+def _streamed(spark, folder):
     schema = scan(spark, folder, "events").schema
     base = scratch_path(spark, "stream_state")
     arriving = live.read_events(spark, folder, schema, "events.parquet").selectExpr(*LISTED)
     live.keep_state(arriving, base)
-    return live.current_state(spark, base)
+    return base
+
+
+@query("str_01_stream_state", FOLD_SQL)
+def str_01(spark, folder):
+    return live.current_state(spark, _streamed(spark, folder))
+
+
+@query("str_01_stream_appended", APPENDED_SQL)
+def str_01_appended(spark, folder):
+    return live.current_entries(spark, _streamed(spark, folder))
+
+
+@query("str_01_stream_steps", STEPS_SQL)
+def str_01_steps(spark, folder):
+    return live.current_steps(spark, _streamed(spark, folder))
 
 
 STATUSES = ("COMPLETED", "DELIVERED", "CANCELLED")

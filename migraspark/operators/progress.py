@@ -26,8 +26,8 @@ FEED_SIZE = 200
 
 
 def fold_state(patches: DataFrame) -> DataFrame:
-    """Latest value per run and key. Pre-aggregated in every task."""
-    replaced = patches.filter(~F.col("key").isin(*APPENDED_KEYS))
+    """Latest value per run and key, a missing key included. Pre-aggregated in every task."""
+    replaced = patches.filter(~F.coalesce(F.col("key").isin(*APPENDED_KEYS), F.lit(False)))
     return replaced.groupBy("run_id", "key").agg(
         F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq")
     )
@@ -39,19 +39,37 @@ def appended_entries(patches: DataFrame) -> DataFrame:
     return patches.filter(F.col("key").isin(*APPENDED_KEYS)).select("run_id", "key", "seq", "value")
 
 
+DONE = [f"done_{i}" for i in range(len(STEPS))]
+
+
 def latest_activity(events: DataFrame) -> DataFrame:
-    """Per run and node: completed at all, and the run's latest node."""
+    """Per run and node: completed at all, and the run's latest node with its ``seq``."""
     return events.groupBy("run_id").agg(
         *[
-            F.max((F.col("node") == step) & (F.col("node_status") == "complete")).alias(f"done_{i}")
-            for i, step in enumerate(STEPS)
+            F.max((F.col("node") == step) & (F.col("node_status") == "complete")).alias(done)
+            for done, step in zip(DONE, STEPS)
         ],
         F.max_by("node", "seq").alias("active_node"),
+        F.max("seq").alias("active_seq"),
+    )
+
+
+def merge_activity(parts: DataFrame) -> DataFrame:
+    """Activity of all events from that of several sets of them, in whatever order they came."""
+    return parts.groupBy("run_id").agg(
+        *[F.max(done).alias(done) for done in DONE],
+        F.max_by("active_node", "active_seq").alias("active_node"),
+        F.max("active_seq").alias("active_seq"),
     )
 
 
 def step_states(events: DataFrame) -> DataFrame:
     """Eight rows per run: done when completed, active when it is the latest node, else pending."""
+    return states_of(latest_activity(events))
+
+
+def states_of(activity: DataFrame) -> DataFrame:
+    """The eight rows per run from its activity."""
     rows = F.array(
         *[
             F.struct(
@@ -65,7 +83,7 @@ def step_states(events: DataFrame) -> DataFrame:
             for i, step in enumerate(STEPS)
         ]
     )
-    return latest_activity(events).select("run_id", F.inline(rows))
+    return activity.select("run_id", F.inline(rows))
 
 
 def recent_feed(events: DataFrame, size: int = FEED_SIZE) -> DataFrame:

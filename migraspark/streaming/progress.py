@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from migraspark.operators.progress import fold_state
+from migraspark.operators.progress import (
+    appended_entries,
+    fold_state,
+    latest_activity,
+    merge_activity,
+    states_of,
+)
 
 
 def read_events(
@@ -18,21 +24,23 @@ def read_events(
 
 
 def keep_state(patches: DataFrame, base: str, available_now: bool = True) -> StreamingQuery:
-    """Fold the stream and store what each batch changed under ``base``.
+    """Fold the stream and store what each batch brought under ``base``.
 
-    State is ordered by ``seq``, not by arrival, so late patches need no watermark. A batch that is
-    repeated after a failure overwrites its own folder.
+    A batch stores its newest value per run and key, its appended entries, and, where the patches
+    have nodes, its activity per run. Reading folds the batches by ``seq``, not by arrival, so late
+    patches need no watermark. A batch that is repeated after a failure overwrites its own folders.
     """
 
-    def store(changed: DataFrame, batch: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{base}/state/batch={batch}")
+    def store(arrived: DataFrame, batch: int) -> None:
+        arrived = arrived.persist()
+        parts = {"state": fold_state(arrived), "appended": appended_entries(arrived)}
+        if {"node", "node_status"} <= set(arrived.columns):
+            parts["activity"] = latest_activity(arrived)
+        for name, rows in parts.items():
+            rows.write.mode("overwrite").parquet(f"{base}/{name}/batch={batch}")
+        arrived.unpersist()
 
-    writer = (
-        fold_state(patches)
-        .writeStream.outputMode("update")
-        .option("checkpointLocation", f"{base}/checkpoint")
-        .foreachBatch(store)
-    )
+    writer = patches.writeStream.option("checkpointLocation", f"{base}/checkpoint").foreachBatch(store)
     if available_now:
         writer = writer.trigger(availableNow=True)
     query = writer.start()
@@ -47,3 +55,13 @@ def current_state(spark: SparkSession, base: str) -> DataFrame:
     return stored.groupBy("run_id", "key").agg(
         F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq")
     )
+
+
+def current_entries(spark: SparkSession, base: str) -> DataFrame:
+    """All stored entries of the collecting keys; they stay rows, as many as arrived."""
+    return spark.read.parquet(f"{base}/appended").select("run_id", "key", "seq", "value")
+
+
+def current_steps(spark: SparkSession, base: str) -> DataFrame:
+    """The eight step states of every run stored so far."""
+    return states_of(merge_activity(spark.read.parquet(f"{base}/activity")))

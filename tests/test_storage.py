@@ -159,6 +159,39 @@ def test_stream_state_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, state.collect())) == sorted(map(tuple, batch.collect()))
 
 
+def test_stream_keeps_entries_steps_and_missing_keys(spark, tmp_path):
+    base, incoming = str(tmp_path / "state"), str(tmp_path / "incoming")
+    full = f"{EVENTS}, node string, node_status string"
+    one, two, three = P.STEPS[:3]
+    first = spark.createDataFrame(
+        [
+            (1, 5, "phase", "a", one, "complete"), (1, 7, "errors", "e7", three, "starting"),
+            (1, 8, None, "none", three, "starting"), (2, 1, "agent_log", "l1", one, "starting"),
+        ],
+        full,
+    )
+    late = spark.createDataFrame(
+        [
+            (1, 6, "errors", "e6", two, "complete"), (1, 6, "errors", "e6 too", two, "complete"),
+            (1, 2, None, "old", one, "starting"), (2, 3, "agent_log", "l3", two, "starting"),
+        ],
+        full,
+    )
+    for part in (first, late):
+        part.write.mode("append").parquet(incoming)
+        live.keep_state(live.read_events(spark, incoming, T.StructType.fromDDL(full)), base)
+    every = first.unionByName(late)
+
+    def same(a, b):
+        return sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
+
+    assert same(live.current_state(spark, base), P.fold_state(every))
+    assert (1, None, "none", 8) in map(tuple, live.current_state(spark, base).collect())
+    assert same(live.current_entries(spark, base), P.appended_entries(every))
+    assert live.current_entries(spark, base).count() == 5
+    assert same(live.current_steps(spark, base), P.step_states(every))
+
+
 def test_arrivals_are_reconciled_once(spark, tmp_path):
     base = str(tmp_path)
     rows = spark.range(20).selectExpr("id AS order_id", "id * 1.5D AS amount")

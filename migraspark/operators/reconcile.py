@@ -7,15 +7,17 @@ row.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from migraspark.functions import normalize as N
+from migraspark.operators.history import verdict_patches
 from migraspark.operators.ordered import asc, segments, with_running_total
 from migraspark.session import cut_lineage
 
@@ -488,21 +490,49 @@ class RunPair:
     target: DataFrame
 
 
+def failed_result(pair: RunPair, error: Exception) -> DataFrame:
+    """A failed result for a run that could not be compared, with the first line of the error."""
+    text = (str(error).strip().splitlines() or [""])[0][:500]
+    facts = _result(
+        _no_diffs(pair.source.sparkSession), pair.run_id, pair.source_file, 0, 0, False, "none"
+    )
+    return facts.withColumns(
+        {
+            "row_counts_match": F.lit(False),
+            "message": F.lit(f"Reconciliation error: {type(error).__name__}: {text}"),
+        }
+    )
+
+
 def reconcile_runs(
-    pairs: Sequence[RunPair], rtol: float = N.RTOL, atol: float = N.ATOL, parallel: int = 4
+    pairs: Sequence[RunPair],
+    rtol: float = N.RTOL,
+    atol: float = N.ATOL,
+    parallel: int = 4,
+    record: Callable[[DataFrame], None] | None = None,
+    report_path: str | None = None,
 ) -> DataFrame:
     """One result row per run. Runs have their own schemas, so each is its own set of jobs;
-    ``parallel`` of them are submitted at a time."""
+    ``parallel`` of them are submitted at a time. A run that raises has failed; the others go on.
+
+    ``record`` is called once with the patches of all verdicts: ``HistoryStore.patch`` writes them
+    into the history.
+    """
 
     def one(pair: RunPair) -> DataFrame:
-        result = reconcile(pair.source, pair.target, pair.run_id, pair.source_file, rtol, atol)
-        return cut_lineage(result)
+        try:
+            result = reconcile(pair.source, pair.target, pair.run_id, pair.source_file, rtol, atol)
+            return cut_lineage(result)
+        except Exception as error:
+            return cut_lineage(failed_result(pair, error))
 
     with ThreadPoolExecutor(max_workers=parallel) as pool:
         results = list(pool.map(one, pairs))
     union = results[0]
     for result in results[1:]:
         union = union.unionByName(result)
+    if record is not None:
+        record(verdict_patches(union, report_path))
     return union
 
 
@@ -571,13 +601,16 @@ def compare_melted(
     )
 
 
-def recon_summary(results: DataFrame) -> DataFrame:
-    """Totals over results."""
-    return results.agg(
+def recon_summary(results: DataFrame, compared_at: datetime | None = None) -> DataFrame:
+    """Totals over results, with the time of the comparison where one is given."""
+    totals = results.agg(
         F.count("*").alias("total_runs"),
         F.count_if("passed").alias("passed"),
         F.count_if(~F.col("passed")).alias("failed"),
     )
+    if compared_at is None:
+        return totals
+    return totals.withColumn("compared_at", F.lit(compared_at.isoformat()))
 
 
 def executive_summary(results: DataFrame) -> DataFrame:

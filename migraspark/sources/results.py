@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Mapping
+from datetime import datetime, timezone
 from datetime import datetime
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -150,7 +151,12 @@ def to_report_json(results: DataFrame) -> DataFrame:
     return results.select("run_id", F.to_json(F.struct(*results.columns)).alias("report"))
 
 
-def write_reports(results: DataFrame, base: str) -> None:
-    """Per-run reports as JSON lines, and the overall totals next to them."""
-    results.write.mode("overwrite").json(f"{base}/reports")
-    recon_summary(results).write.mode("overwrite").json(f"{base}/summary")
+def write_reports(results: DataFrame, base: str, compared_at: datetime | None = None) -> None:
+    """Per-run reports as JSON lines, and the overall totals next to them.
+
+    Both carry ``compared_at``, in ISO 8601; without one it is the time of this call in UTC.
+    """
+    at = compared_at or datetime.now(timezone.utc)
+    stamped = results.withColumn("compared_at", F.lit(at.isoformat()))
+    stamped.write.mode("overwrite").json(f"{base}/reports")
+    recon_summary(results, at).write.mode("overwrite").json(f"{base}/summary")

@@ -167,6 +167,69 @@ def rec_04(spark, folder):
     )
 
 
+def folded(df):
+    """One order id for all rows; month and status tell them apart."""
+    rows = unkeyed(df).groupBy("order_date", "status").agg(F.count("*").alias("order_count"))
+    return rows.select(F.lit(1).alias("order_id"), "order_date", "status", "order_count")
+
+
+def halved(df):
+    """Two orders to an id."""
+    return df.withColumn("order_id", F.expr("order_id div 2"))
+
+
+def _chosen_sql(case: str, sides: tuple[str, str], candidates: list[str]) -> str:
+    once = " ".join(
+        "WHEN "
+        + " AND ".join(
+            f"(SELECT MAX(n) FROM (SELECT COUNT(*) AS n FROM {side} GROUP BY {keys})) = 1" for side in sides
+        )
+        + f" THEN '{keys}'"
+        for keys in candidates
+    )
+    counts = [f"(SELECT COUNT(*) FROM {side})" for side in sides]
+    return (
+        f"SELECT '{case}' AS case_name, CASE {once} END AS keys, "
+        f"{counts[0]} AS source_rows, {counts[1]} AS target_rows"
+    )
+
+
+ORDER_KEYS = ["order_id", "order_id, customer_id, order_date, status"]
+
+
+@query(
+    "rec_04_chosen_keys",
+    f"""{SIDES_SQL}, folded AS (SELECT 1 AS order_id, order_date, status, COUNT(*) AS order_count
+  FROM unkeyed GROUP BY order_date, status),
+halved AS (SELECT order_id // 2 AS order_id, customer_id, order_date, amount, status FROM src)
+{_chosen_sql("unique", ("src", "repriced"), ORDER_KEYS)}
+UNION ALL {_chosen_sql("fallback", ("folded", "folded"), ["order_id", "order_id, order_date, status"])}
+UNION ALL {_chosen_sql("target repeats", ("src", "halved"), ORDER_KEYS)}
+UNION ALL {_chosen_sql("none", ("unkeyed", "unkeyed_changed"), ["order_date, status"])}""",
+)
+def rec_04_chosen(spark, folder):
+    source = orders(spark, folder)
+    cases = {
+        "unique": (source, repriced(source)),
+        "fallback": (folded(source), folded(source)),
+        "target repeats": (source, halved(source)),
+        "none": (unkeyed(source), unkeyed_changed(source)),
+    }
+    rows = []
+    for case, (left, right) in cases.items():
+        found = R.infer_keys(R.normalize(left), R.normalize(right))
+        keys = None if found.keys is None else ", ".join(found.keys)
+        rows.append(
+            spark.range(1).select(
+                F.lit(case).alias("case_name"),
+                F.lit(keys).cast("string").alias("keys"),
+                F.lit(found.source_rows).cast("bigint").alias("source_rows"),
+                F.lit(found.target_rows).cast("bigint").alias("target_rows"),
+            )
+        )
+    return rows[0].unionAll(rows[1]).unionAll(rows[2]).unionAll(rows[3])
+
+
 # ---------------------------------------------------------------- normalising
 
 

@@ -1,7 +1,8 @@
 """Operators as filtering, repeating and placing stages over tables of documents.
 
-All but the last return the columns they were given. Rows without a doc_id cannot be named by the
-operators that report ids: the near-duplicate and decontamination stages keep them.
+All but the last return the columns they were given. The near-duplicate and decontamination stages
+decide by row, under a key of their own, so a missing or repeated doc_id names no other row. Near
+copies without a doc_id stay, as in ``near_duplicates``.
 """
 
 from __future__ import annotations
@@ -17,11 +18,19 @@ from migraspark.llm.near_dedup import BROADCAST_IDS, near_duplicates
 from migraspark.llm.sharding import assign_shards
 
 
-def _without(docs: DataFrame, ids: DataFrame, label: str) -> DataFrame:
-    """``docs`` less those with the given ids; few ids travel to the documents."""
-    ids = kept_table(ids.select("doc_id").where("doc_id IS NOT NULL").distinct(), label)
-    gone = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+ROW = "_row"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key for every row; written, so that each later use sees the same keys."""
+    return kept_table(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed-rows")
+
+
+def _without(keyed: DataFrame, rows: DataFrame, label: str) -> DataFrame:
+    """``keyed`` less the rows with the given keys; few keys travel to the documents."""
+    rows = kept_table(rows.select(ROW).distinct(), label)
+    gone = F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+    return keyed.join(gone, ROW, "left_anti").drop(ROW)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,25 +40,38 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest doc_id.
+    """One row of each group of near copies, the one with the smallest doc_id, then text's hash.
 
-    Rows that repeat a kept doc_id are one document; the first by text stays.
+    Rows that share a doc_id and differ in text stay apart. Rows without words are copies where
+    doc_id and text are equal. Rows without a doc_id all stay.
     """
-    found = kept_table(near_duplicates(docs), "near-duplicates")
-    single = _without(docs, found.where(~F.col("kept")), "near-copies")
-    repeated = kept_table(
-        found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1"), "repeated-ids"
+    keyed = _keyed(docs)
+    named = keyed.where("doc_id IS NOT NULL")
+    found = near_duplicates(named.select(F.col(ROW).alias("doc_id"), "text")).withColumnRenamed("doc_id", ROW)
+    light = named.select(ROW, F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    empty = F.col("n_shingles") == 0
+    group = ["component", "empty_id", "empty_hash"]
+    grouped = kept_table(
+        found.join(light, ROW).select(
+            F.struct("id", "hash", ROW).alias("place"),
+            F.when(~empty, F.col("component_id")).alias("component"),
+            F.when(empty, F.col("id")).alias("empty_id"),
+            F.when(empty, F.col("hash")).alias("empty_hash"),
+        ),
+        "near-duplicates",
     )
-    if repeated.isEmpty():
-        return single
-    again = single.join(repeated.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    first = again.groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
-    return _without(single, repeated, "repeated-ids").unionByName(first)
+    first = grouped.groupBy(*group).agg(F.min("place").alias("place"))
+    every = grouped.select(F.col("place")[ROW].alias(ROW))
+    stays = kept_table(first.select(F.col("place")[ROW].alias(ROW)), "first-copies")
+    return _without(keyed, every.join(stays, ROW, "left_anti"), "near-copies")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark."""
-    return _without(docs, contaminated(docs, table(spark, sf_dir, "benchmark")), "contaminated")
+    keyed = _keyed(docs)
+    rows = keyed.select(F.col(ROW).alias("doc_id"), "text")
+    found = contaminated(rows, table(spark, sf_dir, "benchmark"))
+    return _without(keyed, found.withColumnRenamed("doc_id", ROW), "contaminated")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,7 +35,8 @@ RULES = (
     UrlRule("block", "net", "/fr/"),
 )
 
-# Public suffixes of more than one label; others are the last label.
+# The suffixes of more than one label that the default knows; others are the last label. A table
+# (suffix string) in the notation of the public suffix list can take their place.
 SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br")
 LIMIT = 0.5
 DEVIATIONS = 1.645
@@ -62,15 +63,41 @@ def matching_rule(host: Column, path: Column, rules: Sequence[UrlRule] = RULES)
     return chosen
 
 
-def suffix_of(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*suffixes), two).otherwise(F.substring_index(host, ".", -1))
+def with_domain(hosts: DataFrame, suffixes: DataFrame | Sequence[str] = SUFFIXES) -> DataFrame:
+    """``hosts`` (host, ...) with their registered domain and public suffix; ports do not count.
 
-
-def domain_of(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
-    """The suffix and one label more."""
-    two, three = F.substring_index(host, ".", -2), F.substring_index(host, ".", -3)
-    return F.when(two.isin(*suffixes), three).otherwise(two)
+    The longest fitting rule gives the suffix: "co.nz" fits its hosts, "*.ck" takes any label in
+    place of the star, and "!www.ck" exempts from it. Without one it is the last label. The domain
+    is the suffix and one label more.
+    """
+    if not isinstance(suffixes, DataFrame):
+        listed = F.array(*[F.lit(s) for s in suffixes]).cast("array<string>")
+        suffixes = hosts.sparkSession.range(1).select(F.explode(listed).alias("suffix"))
+    rules = suffixes.select(F.translate(F.trim("suffix"), UPPER, LOWER).alias("rule")).distinct()
+    named = hosts.withColumn("name", F.regexp_replace("host", ":[0-9]*$", ""))
+    tails = named.selectExpr("host", "name", "explode(sequence(1, size(split(name, '[.]')))) AS k")
+    fitting = tails.select(
+        "host",
+        F.inline(
+            F.expr(
+                "array(struct(substring_index(name, '.', -k) AS rule, 0 AS exempt, k AS labels), "
+                "struct(concat('*.', substring_index(name, '.', 1 - k)) AS rule, 0 AS exempt, k AS labels), "
+                "struct(concat('!', substring_index(name, '.', -k)) AS rule, 1 AS exempt, k - 1 AS labels))"
+            )
+        ),
+    )
+    sizes = (
+        fitting.join(rules, "rule")
+        .groupBy("host")
+        .agg(F.max(F.struct("exempt", "labels"))["labels"].alias("labels"))
+    )
+    labels = "coalesce(labels, 1)"
+    return (
+        named.join(sizes, "host", "left")
+        .withColumn("domain", F.expr(f"substring_index(name, '.', -{labels} - 1)"))
+        .withColumn("suffix", F.expr(f"substring_index(name, '.', -{labels})"))
+        .select(*hosts.columns, "domain", "suffix")
+    )
 
 
 def _strength(counts: DataFrame) -> float:
@@ -87,7 +114,7 @@ def _strength(counts: DataFrame) -> float:
 
 
 def host_reputation(
-    pages: DataFrame, outcomes: DataFrame, suffixes: Sequence[str] = SUFFIXES
+    pages: DataFrame, outcomes: DataFrame, suffixes: DataFrame | Sequence[str] = SUFFIXES
 ) -> DataFrame:
     """host, n and bad (labelled pages), and the posterior beta (alpha, beta) per host of ``pages``.
 
@@ -102,13 +129,13 @@ def host_reputation(
     seen = pages.select("page_id", host_of(F.col("url")).alias("host")).join(
         labelled, "page_id", "left"
     )
-    hosts = kept_table(
-        seen.groupBy("host")
-        .agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))
-        .withColumn("domain", domain_of(F.col("host"), suffixes))
-        .withColumn("suffix", suffix_of(F.col("host"), suffixes)),
-        "hosts",
+    counted = kept_table(
+        seen.groupBy("host").agg(
+            F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad")
+        ),
+        "host-counts",
     )
+    hosts = kept_table(with_domain(counted, suffixes), "hosts")
     totals = hosts.agg(F.sum("n"), F.sum("bad")).first()
     overall = ((totals[1] or 0) + 0.5) / ((totals[0] or 0) + 1.0)
 
@@ -143,7 +170,7 @@ def url_filter(
     pages: DataFrame,
     outcomes: DataFrame,
     rules: Sequence[UrlRule] = RULES,
-    suffixes: Sequence[str] = SUFFIXES,
+    suffixes: DataFrame | Sequence[str] = SUFFIXES,
     limit: float = LIMIT,
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, and the host's labelled and bad pages, for every row.

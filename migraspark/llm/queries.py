@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from migraspark.llm import sql
+from migraspark.llm import sql, sql_stream
 from migraspark.llm.common import table
 from migraspark.llm.classifier import classify, held_out, train
+from migraspark.llm.conversations import damaged_and_repaired
 from migraspark.llm.decontaminate import contaminated
 from migraspark.llm.line_dedup import duplicate_lines
 from migraspark.llm.mixing import mix
@@ -94,3 +95,8 @@ def _decontamination(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_sharding", sql.SHARDING)
 def _sharding(spark: SparkSession, folder: str) -> DataFrame:
     return assign_shards(table(spark, folder, "documents")).select("doc_id", "slot", "shard")
+
+
+@query("op13_conversation_repair", sql_stream.CONVERSATIONS)
+def _conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return damaged_and_repaired(table(spark, folder, "conversations"))

@@ -15,6 +15,7 @@ from migraspark.llm.decontaminate import contaminated
 from migraspark.llm.line_dedup import duplicate_lines
 from migraspark.llm.mixing import mix
 from migraspark.llm.near_dedup import near_duplicates
+from migraspark.llm.periodic import periodic_runs, run_digests
 from migraspark.llm.quality_rules import STOP_WORDS, quality_rules
 from migraspark.llm.sharding import assign_shards
 from migraspark.llm.tokens import token_counts
@@ -97,6 +98,11 @@ def _sharding(spark: SparkSession, folder: str) -> DataFrame:
     return assign_shards(table(spark, folder, "documents")).select("doc_id", "slot", "shard")
 
 
+@query("op11_periodic_runs", sql_stream.PERIODIC_RUNS)
+def _periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return run_digests(periodic_runs(table(spark, folder, "documents"), loops=True))
+
+
 @query("op13_conversation_repair", sql_stream.CONVERSATIONS)
 def _conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return damaged_and_repaired(table(spark, folder, "conversations"))

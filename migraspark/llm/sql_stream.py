@@ -98,3 +98,42 @@ LEFT JOIN counted c ON i.conv_id IS NOT DISTINCT FROM c.conv_id
 LEFT JOIN chosen h ON i.conv_id IS NOT DISTINCT FROM h.conv_id
 LEFT JOIN ended d ON i.conv_id IS NOT DISTINCT FROM d.conv_id
 """
+
+PERIODIC_RUNS = f"""
+WITH {CRC_TABLE}, split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w, {crc32("doc_id::VARCHAR")} AS h
+  FROM documents, crc_table
+), looped AS (
+  SELECT doc_id, w, (h // 10) % greatest(len(w), 1) AS a, h // 10 AS g, coalesce(h % 10 = 0, FALSE) AND len(w) > 0 AS loops FROM split
+), texts AS (
+  SELECT doc_id, CASE WHEN loops THEN list_transform(range(len(w)), lambda i:
+    w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (len(w) - a) // (3 + g % 8)) END]) ELSE w END AS w
+  FROM looped
+), periods AS (
+  SELECT doc_id, w, unnest(range(1, len(w) // 4 + 1)) AS p FROM texts
+), equal AS (
+  SELECT doc_id, p, len(w) AS n, unnest(list_filter(range(len(w) - p), lambda i: w[i + 1] = w[i + p + 1])) AS i FROM periods
+), islands AS (
+  SELECT doc_id, p, i, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS island FROM equal
+), stretches AS (
+  SELECT doc_id, p, min(i) AS start, max(i) + 1 + p AS stop FROM islands GROUP BY doc_id, p, island
+  HAVING count(*) + p >= greatest(6, 4 * p)
+), runs AS (
+  SELECT doc_id, start, stop - start AS length, min(p) AS period FROM stretches GROUP BY doc_id, start, stop
+), per_doc AS (
+  SELECT doc_id, count(*) AS n_runs,
+    string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+    arg_min(struct_pack(s := start, l := length, p := period), (-length, start, period)) AS best
+  FROM runs GROUP BY doc_id
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS body
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM texts) t
+  ANTI JOIN gone g USING (doc_id, i) GROUP BY doc_id
+)
+SELECT t.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS start, best.l::BIGINT AS length,
+  best.p::BIGINT AS period, (1000 * best.l // best.p)::BIGINT AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(body, '')) AS collapsed_sha256
+FROM texts t LEFT JOIN per_doc USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

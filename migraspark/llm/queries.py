@@ -18,6 +18,7 @@ from migraspark.llm.near_dedup import near_duplicates
 from migraspark.llm.periodic import periodic_runs, run_digests
 from migraspark.llm.quality_rules import STOP_WORDS, quality_rules
 from migraspark.llm.sharding import assign_shards
+from migraspark.llm.substring_dedup import substring_digests, without_repeats
 from migraspark.llm.tokens import token_counts
 from migraspark.llm.url_filter import url_filter
 from migraspark.llm.warc import archived
@@ -103,6 +104,11 @@ def _periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return run_digests(periodic_runs(table(spark, folder, "documents"), loops=True))
 
 
+@query("op12_substring_dedup", sql_stream.SUBSTRING_DEDUP)
+def _substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_digests(without_repeats(table(spark, folder, "documents")))
+
+
 @query("op13_conversation_repair", sql_stream.CONVERSATIONS)
 def _conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return damaged_and_repaired(table(spark, folder, "conversations"))

@@ -137,3 +137,24 @@ SELECT t.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS start,
   sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(body, '')) AS collapsed_sha256
 FROM texts t LEFT JOIN per_doc USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+SUBSTRING_DEDUP = f"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i + 1:i + 50], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS i FROM split WHERE len(w) >= 50)
+), repeated AS (
+  SELECT doc_id, i FROM windows QUALIFY min(doc_id) OVER (PARTITION BY h) < doc_id
+), gone AS (
+  SELECT DISTINCT doc_id, i + k AS i FROM repeated, range(50) r(k)
+), words AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM split
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS body, count(*) AS n
+  FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT s.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+  sha256(coalesce(body, '')) AS kept_sha256
+FROM split s LEFT JOIN kept USING (doc_id)
+"""

@@ -104,7 +104,7 @@ class SquareCatcher:
             # A run of twice the words is two neighbouring runs; those of the words just added.
             begin = max(known - width, 0)
             with np.errstate(over="ignore"):
-                fresh = mixed(held[begin : len(held) - width] * GOLDEN ^ held[begin + width :])
+                fresh = mixed(held[begin : max(len(held) - width, 0)] * GOLDEN ^ held[begin + width :])
             if last:
                 rows = -(-len(held) // width)
                 held = np.concatenate([held, np.zeros((rows + 1) * width - len(held), np.uint64)])
@@ -123,8 +123,12 @@ class SquareCatcher:
             level.hashes = level.hashes[rows * width :].copy()
 
     def _report(self, at: np.ndarray, period: np.ndarray, length: int) -> None:
-        """Squares whose period repeats over ``length`` words from ``at`` on, in order of place."""
-        known = sorted([*self.ended, *map(tuple, self.open)])
+        """Squares whose period repeats over ``length`` words, two blocks, from ``at`` on.
+
+        A run of a smaller level that holds all of a square has a divisor of its period. Two such
+        runs would share more words than their periods together, so at most one holds it.
+        """
+        known = sorted(r for r in [*self.ended, *map(tuple, self.open)] if 2 * r[2] < length)
         if known:
             starts = np.array([k[0] for k in known])
             ends = np.maximum.accumulate([k[1] for k in known])

@@ -28,7 +28,7 @@ ROLES = {"u": "user", "a": "assistant"}
 # The pattern (s?(ua)+)? as states, named by the last role, "" before any.
 NEXT = {"": {"s": "s", "u": "u"}, "s": {"u": "u"}, "u": {"a": "a"}, "a": {"u": "u"}}
 ENDS = ("", "a")
-# After every state but one that expects a system turn, one of the two roles may come.
+# The one of user and assistant that may come after each state.
 SPOKEN = {state: next(r for r in ROLES if r in after) for state, after in NEXT.items()}
 
 
@@ -119,8 +119,23 @@ class Repair:
         for node in old:
             _released(node)
         self._insertions()
+        self._drop("s", 0)
+        self._drop("", DELETE_COST)
         return self._settled()
 
+    def _drop(self, state: str, lead: int) -> None:
+        """Give up a state once it is more than ``lead`` dearer than having ended with an answer.
+
+        Whatever may follow a system turn may follow an answer. What may follow the beginning may
+        follow an answer too, but for a system turn, which can be deleted then. Without this the
+        beginning, with all turns deleted, would keep every edit unsettled.
+        """
+        if state in self.survivors and "a" in self.survivors:
+            cost, node = self.survivors[state]
+            if cost > self.survivors["a"][0] + lead:
+                del self.survivors[state]
+                _released(node)
+
     def _settled(self) -> list[tuple[str, str]]:
         """The edits that all survivors share; they leave the tree."""
         if self.root.refs != 1:

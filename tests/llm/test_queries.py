@@ -29,8 +29,8 @@ def test_sql(name, spark, tiny, connection):
     assert compare.differences(QUERIES[name](spark, tiny), ORACLES[name], connection) == []
 
 
-def test_ten_operators():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_thirteen_operators():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_classifier_on_held_out_labels(spark):

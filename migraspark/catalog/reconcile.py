@@ -8,6 +8,7 @@ from migraspark.catalog import query
 from migraspark.functions import normalize as N
 from migraspark.operators import diagnose as D
 from migraspark.operators import reconcile as R
+from migraspark.operators.hash_tree import reconcile_ranges
 from migraspark.operators.schema import column_catalog
 from migraspark.plans import bindings as B
 from migraspark.plans.verify import verify
@@ -471,6 +472,24 @@ def _pairs(spark, folder):
     ]
 
 
+@query(
+    "rec_13_bucket_verdict",
+    f"""WITH results AS ({RUNS_SQL}) SELECT * FROM results WHERE run_id < 4
+UNION ALL SELECT 5, 'noise.sql', passed, source_rows, target_rows, columns_match, row_counts_match,
+  alignment, message FROM results WHERE run_id = 1""",
+)
+def rec_13_ranges(spark, folder):
+    source = orders(spark, folder)
+    pairs = [p for p in _pairs(spark, folder) if p.run_id < 4]
+    noisy = source.withColumn("amount", F.col("amount") * F.lit(1 + 1e-13))
+    pairs.append(R.RunPair(5, "noise.sql", source, noisy))
+    results = [reconcile_ranges(p.source, p.target, p.run_id, p.source_file) for p in pairs]
+    union = results[0]
+    for result in results[1:]:
+        union = union.unionByName(result)
+    return union.withColumn("run_id", F.col("run_id").cast("int")).drop("column_diffs", "rows_compared")
+
+
 @query(
     "rec_14_missing_side",
     f"""WITH {B.RUNS_CTE}, {B.MANIFEST_CTE}

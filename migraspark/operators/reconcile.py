@@ -435,9 +435,23 @@ def reconcile(
         text = F.lit(f"Key alignment failed on {profile.keys}: types differ between the sides")
         diffs = spark.range(1).select(_single_diff(KEYS_COLUMN, text).alias("column_diffs"))
         return _result(diffs, run_id, source_file, *counts, True, alignment)
-    found = column_diffs(align_by_key(src, tgt, profile.keys), rtol, atol)
+    return _by_key(src, tgt, profile.keys, run_id, source_file, counts, rtol, atol)
+
+
+def _by_key(
+    src: DataFrame,
+    tgt: DataFrame,
+    keys: Sequence[str],
+    run_id: int,
+    source_file: str | None,
+    counts: tuple[int, int],
+    rtol: float,
+    atol: float,
+) -> DataFrame:
+    """The result row of normalised sides, or of those of their rows that may differ, by key."""
+    found = column_diffs(align_by_key(src, tgt, keys), rtol, atol)
     text = F.concat(
-        F.lit(f"Key alignment failed on {profile.keys}: "),
+        F.lit(f"Key alignment failed on {keys}: "),
         F.col("source_only").cast("string"),
         F.lit(" source-only rows, "),
         F.col("target_only").cast("string"),
@@ -449,7 +463,7 @@ def reconcile(
         .otherwise(F.col("diffs"))
         .alias("column_diffs")
     )
-    return _result(diffs, run_id, source_file, *counts, True, alignment)
+    return _result(diffs, run_id, source_file, *counts, True, "keys: " + ", ".join(keys))
 
 
 def explode_diffs(results: DataFrame) -> DataFrame:

@@ -149,7 +149,8 @@ def snk_03(spark, folder):
     """SELECT 1 AS run_id, '{"run_id":1,"source_file":"same.sql","passed":true,"source_rows":' || n
   || ',"target_rows":' || n || ',"columns_match":true,"row_counts_match":true,'
   || '"alignment":"keys: order_id","message":"Reconciliation passed (' || n
-  || ' rows, all columns match)","column_diffs":[]}' AS report, 1 AS total_runs, 1 AS passed, 0 AS failed
+  || ' rows, all columns match)","column_diffs":[]}' AS report, 1 AS total_runs, 1 AS passed, 0 AS failed,
+  'reports' AS report_folder, '1: Reconciliation passed (' || n || ' rows, all columns match)' AS runs
 FROM (SELECT COUNT(*) AS n FROM orders)""",
 )
 def snk_04(spark, folder):
@@ -157,10 +158,22 @@ def snk_04(spark, folder):
     base = scratch_path(spark, "reports")
     results = R.reconcile_runs([R.RunPair(1, "same.sql", source, source)])
     IO.write_reports(results, base)
-    summary = spark.read.json(f"{base}/summary", schema="total_runs INT, passed INT, failed INT")
+    summary = spark.read.json(
+        f"{base}/summary",
+        schema="total_runs INT, passed INT, failed INT, report_path STRING, "
+        "runs ARRAY<STRUCT<run_id: INT, message: STRING>>",
+    ).withColumns(
+        {
+            "report_folder": F.element_at(F.split("report_path", "/"), -1),
+            "runs": F.array_join(F.transform("runs", lambda r: F.concat_ws(": ", r["run_id"], r["message"])), ", "),
+        }
+    )
     reports = IO.to_report_json(results).withColumn("run_id", F.col("run_id").cast("int"))
     return reports.withColumns(
-        {c: summary.select(F.first(c)).scalar() for c in ("total_runs", "passed", "failed")}
+        {
+            c: summary.select(F.first(c)).scalar()
+            for c in ("total_runs", "passed", "failed", "report_folder", "runs")
+        }
     )
 
 

@@ -108,27 +108,27 @@ def prg_04(spark, folder):
     return P.step_durations(log)
 
 
-def _streamed(spark, folder):
+def _streamed(spark, folder, part):
     schema = scan(spark, folder, "events").schema
     base = scratch_path(spark, "stream_state")
     arriving = live.read_events(spark, folder, schema, "events.parquet").selectExpr(*LISTED)
-    live.keep_state(arriving, base)
+    live.keep_state(arriving, base, parts=[part])
     return base
 
 
 @query("str_01_stream_state", FOLD_SQL)
 def str_01(spark, folder):
-    return live.current_state(spark, _streamed(spark, folder))
+    return live.current_state(spark, _streamed(spark, folder, "state"))
 
 
 @query("str_01_stream_appended", APPENDED_SQL)
 def str_01_appended(spark, folder):
-    return live.current_entries(spark, _streamed(spark, folder))
+    return live.current_entries(spark, _streamed(spark, folder, "appended"))
 
 
 @query("str_01_stream_steps", STEPS_SQL)
 def str_01_steps(spark, folder):
-    return live.current_steps(spark, _streamed(spark, folder))
+    return live.current_steps(spark, _streamed(spark, folder, "activity"))
 
 
 STATUSES = ("COMPLETED", "DELIVERED", "CANCELLED")

@@ -545,15 +545,21 @@ def rec_16(spark, folder):
     "rec_17_rule_diagnosis",
     f"""WITH results AS ({RUNS_SQL}), facts AS ({DIFFS_SQL}
   SELECT (SELECT COUNT(*) FROM amount_bad) AS a, (SELECT MAX(ABS(sa - ta)) FROM amount_bad) AS d,
-         (SELECT COUNT(*) FROM status_bad) AS s)
+         (SELECT COUNT(*) FROM status_bad) AS s,
+         (SELECT 'key {{"order_id":' || MIN(order_id) || '}}: source=' || arg_min(sa, order_id) || ' target='
+            || arg_min(ta, order_id) FROM amount_bad) AS x,
+         (SELECT 'key {{"order_id":' || MIN(order_id) || '}}: source=' || arg_min(ss, order_id) || ' target='
+            || arg_min(ts, order_id) FROM status_bad) AS y)
 SELECT run_id, CASE WHEN passed THEN 'All ' || source_rows || ' {D.EQUIVALENT}'
-    WHEN NOT row_counts_match THEN '{D.ROWS_DIFFER}' WHEN NOT columns_match THEN '{D.SCHEMA_DIFFERS}'
-    WHEN message LIKE '%(keys)%' THEN '{D.RULES[5][1]}' ELSE '{D.UNKNOWN}' END AS explanation,
-  CASE WHEN message LIKE '%(keys)%' THEN '(keys): 1 row(s) differ' END AS detail
-FROM results WHERE run_id < 5
-UNION ALL SELECT 9, '{D.RULES[1][1]}' || ' ' || '{D.RULES[2][1]}',
+    WHEN NOT row_counts_match THEN 'The source has ' || source_rows || ' rows, the target ' || target_rows || '. {D.ROWS_DIFFER}'
+    WHEN NOT columns_match THEN '{D.SCHEMA_DIFFERS}'
+    WHEN message LIKE '%(keys)%' THEN '{D.CAUSES[D.KEY_COLUMNS]}' ELSE '{D.UNKNOWN}' END AS explanation,
+  CASE WHEN message LIKE '%(keys)%' THEN '(keys): 1 row(s) differ, for example Key alignment failed on [''order_id'']: '
+    || far || ' source-only rows, ' || far || ' target-only rows' END AS detail
+FROM results, (SELECT COUNT(*) AS far FROM orders WHERE o_totalprice > 490000) WHERE run_id < 5
+UNION ALL SELECT 9, '{D.CAUSES[D.ROLLING_COLUMNS]}' || ' ' || '{D.CAUSES[D.SHARE_COLUMNS]}',
   'pct_of_total_revenue: ' || a || ' row(s) differ (max numeric delta: ' || printf('%.6g', d)
-  || '), rolling_3mo_revenue: ' || s || ' row(s) differ' FROM facts""",
+  || '), for example ' || x || ', rolling_3mo_revenue: ' || s || ' row(s) differ, for example ' || y FROM facts""",
 )
 def rec_17(spark, folder):
     source = orders(spark, folder)
@@ -617,6 +623,9 @@ TARGET_TEXT = """SELECT customer_id, COUNT(order_id) AS total_orders,
 FROM {orders} WHERE status NOT IN ('CANCELLED', 'REFUNDED') AND amount < 495000
 GROUP BY customer_id"""
 
+# A result with a repeated column name.
+TWICE_TEXT = "SELECT order_id, amount, status, amount FROM {orders}"
+
 
 @query(
     "rec_20_source_vs_target_run",
@@ -635,14 +644,28 @@ SELECT 'spend.sql' AS source_file, sn AS source_rows, tn AS target_rows,
        WHEN dn + ds = 0 THEN 'Reconciliation passed (' || sn || ' rows, all columns match)'
        ELSE 'Data mismatch: ' || concat_ws(', ',
          CASE WHEN dn > 0 THEN 'total_orders (' || dn || ' mismatches)' END,
-         CASE WHEN ds > 0 THEN 'lifetime_spend (' || ds || ' mismatches)' END) END AS message FROM facts""",
+         CASE WHEN ds > 0 THEN 'lifetime_spend (' || ds || ' mismatches)' END) END AS message FROM facts
+UNION ALL SELECT 'broken.sql', 0, 0, FALSE, 'failed', 'Reconciliation error: AnalysisException' FROM facts
+UNION ALL SELECT 'twice.sql', n, n, TRUE, 'passed', 'Reconciliation passed (' || n || ' rows, all columns match)'
+FROM (SELECT COUNT(*) AS n FROM ord)""",
 )
 def rec_20(spark, folder):
     tables = {"orders": B.orders(spark, folder)}
-    done = verify(
-        spark, 11, SOURCE_TEXT, TARGET_TEXT, tables, tables, scratch_path(spark, "verify"),
-        source_file="spend.sql",
+    base = scratch_path(spark, "verify")
+    texts = {
+        "spend.sql": (SOURCE_TEXT, TARGET_TEXT),
+        "broken.sql": (SOURCE_TEXT, "SELECT no_such_column FROM {orders}"),
+        "twice.sql": (TWICE_TEXT, TWICE_TEXT),
+    }
+    done = [
+        verify(spark, run_id, *sides, tables, tables, base, source_file=name)
+        for run_id, (name, sides) in enumerate(texts.items(), start=11)
+    ]
+    result, patch = done[0].result, done[0].patch
+    for more in done[1:]:
+        result, patch = result.unionByName(more.result), patch.unionByName(more.patch)
+    error = F.regexp_extract("message", "^(Reconciliation error: [A-Za-z]+)", 1)
+    return result.join(patch.select("run_id", "recon_ind"), "run_id").select(
+        "source_file", "source_rows", "target_rows", "passed", "recon_ind",
+        F.coalesce(F.nullif(error, F.lit("")), "message").alias("message"),
     )
-    return done.result.join(done.patch.select("run_id", "recon_ind"), "run_id").select(
-        "source_file", "source_rows", "target_rows", "passed", "recon_ind", "message"
-    )

@@ -183,9 +183,10 @@ def reconcile_ranges(
         result = R.reconcile(source, target, run_id, source_file, rtol, atol)
         return result.withColumn("rows_compared", F.col("source_rows") + F.col("target_rows"))
 
+    source, target = R.unique_names(source), R.unique_names(target)
     candidates = R.key_candidates(source.columns)
     keys = list(keys or (candidates[0] if candidates else []))
-    if not keys or not R.schema_match(source, target) or len(set(source.columns)) < len(source.columns):
+    if not keys or not R.schema_match(source, target):
         return whole()
     src, tgt = R.normalize(source), R.normalize(target)
     if R._key_type_clash(src, tgt, keys):

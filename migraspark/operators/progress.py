@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The eight steps in order, and the keys that collect instead of replace.
@@ -25,10 +25,14 @@ APPENDED_KEYS = ("errors", "agent_log")
 FEED_SIZE = 200
 
 
+def replaced_values(patches: DataFrame) -> DataFrame:
+    """The patches of keys that replace, a missing key included."""
+    return patches.filter(~F.coalesce(F.col("key").isin(*APPENDED_KEYS), F.lit(False)))
+
+
 def fold_state(patches: DataFrame) -> DataFrame:
     """Latest value per run and key, a missing key included. Pre-aggregated in every task."""
-    replaced = patches.filter(~F.coalesce(F.col("key").isin(*APPENDED_KEYS), F.lit(False)))
-    return replaced.groupBy("run_id", "key").agg(
+    return replaced_values(patches).groupBy("run_id", "key").agg(
         F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq")
     )
 
@@ -39,27 +43,31 @@ def appended_entries(patches: DataFrame) -> DataFrame:
     return patches.filter(F.col("key").isin(*APPENDED_KEYS)).select("run_id", "key", "seq", "value")
 
 
-DONE = [f"done_{i}" for i in range(len(STEPS))]
+# What is kept per run: a bit for each completed step, and its newest (seq, step) in one number.
+ACTIVITY = ("done", "newest")
+_STEP_BITS = 4
 
 
-def latest_activity(events: DataFrame) -> DataFrame:
-    """Per run and node: completed at all, and the run's latest node with its ``seq``."""
-    return events.groupBy("run_id").agg(
-        *[
-            F.max((F.col("node") == step) & (F.col("node_status") == "complete")).alias(done)
-            for done, step in zip(DONE, STEPS)
-        ],
-        F.max_by("node", "seq").alias("active_node"),
-        F.max("seq").alias("active_seq"),
-    )
+def _of_step(values: Sequence[int], otherwise: int) -> Column:
+    """The value of an event's node, by its place among the steps."""
+    found = F.lit(otherwise)
+    for step, value in zip(STEPS, values, strict=True):
+        found = F.when(F.col("node") == step, F.lit(value)).otherwise(found)
+    return found
 
 
-def merge_activity(parts: DataFrame) -> DataFrame:
-    """Activity of all events from that of several sets of them, in whatever order they came."""
-    return parts.groupBy("run_id").agg(
-        *[F.max(done).alias(done) for done in DONE],
-        F.max_by("active_node", "active_seq").alias("active_node"),
-        F.max("active_seq").alias("active_seq"),
+def latest_activity(events: DataFrame) -> DataFrame:
+    """Per run: the steps completed at all, and the latest ``seq`` with the place of its step.
+
+    The latter fit into one BIGINT while ``seq`` is below 2**59, so the aggregation is one of two
+    numbers that hashes, and its state is small; of equal ``seq`` the later step counts.
+    """
+    places = range(len(STEPS))
+    done = F.when(F.col("node_status") == "complete", _of_step([1 << i for i in places], 0))
+    place = _of_step(places, len(STEPS)).cast("bigint")
+    return events.groupBy("run_id").agg(
+        F.bit_or(F.coalesce(done, F.lit(0))).alias("done"),
+        F.max(F.shiftleft(F.col("seq").cast("bigint"), _STEP_BITS).bitwiseOR(place)).alias("newest"),
     )
 
 
@@ -70,13 +78,14 @@ def step_states(events: DataFrame) -> DataFrame:
 
 def states_of(activity: DataFrame) -> DataFrame:
     """The eight rows per run from its activity."""
+    active = F.col("newest").bitwiseAND(F.lit((1 << _STEP_BITS) - 1))
     rows = F.array(
         *[
             F.struct(
                 F.lit(i + 1).alias("step"),
                 F.lit(step).alias("node"),
-                F.when(F.col(f"done_{i}"), "done")
-                .when(F.col("active_node") == step, "active")
+                F.when(F.col("done").bitwiseAND(1 << i) != 0, "done")
+                .when(active == i, "active")
                 .otherwise("pending")
                 .alias("state"),
             )

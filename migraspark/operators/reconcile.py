@@ -12,6 +12,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,6 +88,20 @@ def schema_table(source: DataFrame, target: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- normalising
 
 
+def unique_names(df: DataFrame) -> DataFrame:
+    """Columns in their order; one that repeats a name gets the first free ``name_1``, ``name_2``, ..."""
+    taken: set[str] = set()
+    names = []
+    for name in df.columns:
+        found, n = name, 0
+        while found in taken or (n and found in df.columns):
+            n += 1
+            found = f"{name}_{n}"
+        taken.add(found)
+        names.append(found)
+    return df if names == df.columns else df.toDF(*names)
+
+
 def normalize(df: DataFrame) -> DataFrame:
     """Numbers as BIGINT or DOUBLE, dates as text, everything else as trimmed text.
 
@@ -414,8 +429,12 @@ def reconcile(
     rtol: float = N.RTOL,
     atol: float = N.ATOL,
 ) -> DataFrame:
-    """Compare two result sets; returns one row with the verdict and the differing columns."""
+    """Compare two result sets; returns one row with the verdict and the differing columns.
+
+    Columns that repeat a name are told apart by ``unique_names``, in their order on each side.
+    """
     spark = source.sparkSession
+    source, target = unique_names(source), unique_names(target)
     if not schema_match(source, target):
         text = f"source columns={source.columns}; target columns={target.columns}"
         diffs = spark.range(1).select(_single_diff(SCHEMA_COLUMN, F.lit(text)).alias("column_diffs"))
@@ -498,18 +517,24 @@ def missing_sides(runs: DataFrame, manifest: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class RunPair:
+    """The two sides of a run. A side may be a function that opens it: then a side that cannot be
+    opened fails this run alone."""
+
     run_id: int
     source_file: str | None
-    source: DataFrame
-    target: DataFrame
+    source: DataFrame | Callable[[], DataFrame]
+    target: DataFrame | Callable[[], DataFrame]
+
+    def opened(self) -> tuple[DataFrame, DataFrame]:
+        return tuple(side() if callable(side) else side for side in (self.source, self.target))
 
 
-def failed_result(pair: RunPair, error: Exception) -> DataFrame:
+def failed_result(
+    spark: SparkSession, run_id: int, source_file: str | None, error: Exception
+) -> DataFrame:
     """A failed result for a run that could not be compared, with the first line of the error."""
     text = (str(error).strip().splitlines() or [""])[0][:500]
-    facts = _result(
-        _no_diffs(pair.source.sparkSession), pair.run_id, pair.source_file, 0, 0, False, "none"
-    )
+    facts = _result(_no_diffs(spark), run_id, source_file, 0, 0, False, "none")
     return facts.withColumns(
         {
             "row_counts_match": F.lit(False),
@@ -525,25 +550,28 @@ def reconcile_runs(
     parallel: int = 4,
     record: Callable[[DataFrame], None] | None = None,
     report_path: str | None = None,
+    spark: SparkSession | None = None,
 ) -> DataFrame:
     """One result row per run. Runs have their own schemas, so each is its own set of jobs;
     ``parallel`` of them are submitted at a time. A run that raises has failed; the others go on.
 
     ``record`` is called once with the patches of all verdicts: ``HistoryStore.patch`` writes them
-    into the history.
+    into the history. ``spark`` defaults to the active session. No pairs give no rows.
     """
+    spark = spark or SparkSession.getActiveSession()
 
     def one(pair: RunPair) -> DataFrame:
         try:
-            result = reconcile(pair.source, pair.target, pair.run_id, pair.source_file, rtol, atol)
+            source, target = pair.opened()
+            result = reconcile(source, target, pair.run_id, pair.source_file, rtol, atol)
             return cut_lineage(result)
         except Exception as error:
-            return cut_lineage(failed_result(pair, error))
+            return cut_lineage(failed_result(spark, pair.run_id, pair.source_file, error))
 
     with ThreadPoolExecutor(max_workers=parallel) as pool:
-        results = list(pool.map(one, pairs))
-    union = results[0]
-    for result in results[1:]:
+        results = list(pool.map(inheritable_thread_target(spark)(one), pairs))
+    union = _result(_no_diffs(spark), 0, None, 0, 0, True, "none").limit(0)
+    for result in results:
         union = union.unionByName(result)
     if record is not None:
         record(verdict_patches(union, report_path))
@@ -615,16 +643,29 @@ def compare_melted(
     )
 
 
-def recon_summary(results: DataFrame, compared_at: datetime | None = None) -> DataFrame:
-    """Totals over results, with the time of the comparison where one is given."""
-    totals = results.agg(
+def recon_summary(
+    results: DataFrame, compared_at: datetime | None = None, report_path: str | None = None
+) -> DataFrame:
+    """Totals over results; with the time of the comparison, where one is given, also the path of the
+    reports and the runs themselves, by id.
+
+    Each run was compared by jobs of its own, so a list of them is no larger than the work that was
+    submitted.
+    """
+    totals = [
         F.count("*").alias("total_runs"),
         F.count_if("passed").alias("passed"),
         F.count_if(~F.col("passed")).alias("failed"),
-    )
+    ]
     if compared_at is None:
-        return totals
-    return totals.withColumn("compared_at", F.lit(compared_at.isoformat()))
+        return results.agg(*totals)
+    runs = F.array_sort(F.collect_list(F.struct(*RESULT_COLUMNS)))  # run_id comes first
+    return results.agg(
+        F.lit(compared_at.isoformat()).alias("compared_at"),
+        F.lit(report_path).alias("report_path"),
+        *totals,
+        runs.alias("runs"),
+    )
 
 
 def executive_summary(results: DataFrame) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping
 from datetime import datetime, timezone
-from datetime import datetime
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -152,11 +151,11 @@ def to_report_json(results: DataFrame) -> DataFrame:
 
 
 def write_reports(results: DataFrame, base: str, compared_at: datetime | None = None) -> None:
-    """Per-run reports as JSON lines, and the overall totals next to them.
+    """Per-run reports as JSON lines, and next to them the totals with the runs and the reports' path.
 
     Both carry ``compared_at``, in ISO 8601; without one it is the time of this call in UTC.
     """
     at = compared_at or datetime.now(timezone.utc)
     stamped = results.withColumn("compared_at", F.lit(at.isoformat()))
     stamped.write.mode("overwrite").json(f"{base}/reports")
-    recon_summary(results, at).write.mode("overwrite").json(f"{base}/summary")
+    recon_summary(results, at, f"{base}/reports").write.mode("overwrite").json(f"{base}/summary")

@@ -2,12 +2,34 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from migraspark.operators.history import runs_with_exports
-from migraspark.operators.reconcile import reconcile
-from migraspark.sources.results import MANIFEST_SCHEMA, export_path, manifest
+from migraspark.operators.reconcile import RunPair, reconcile_runs
+from migraspark.sources.results import MANIFEST_SCHEMA, SIDES, export_path
+
+
+def complete_runs(spark: SparkSession, base: str, files_per_batch: int = 100) -> DataFrame:
+    """A stream of the runs whose second side has just arrived: a join of the manifest's two sides.
+
+    Both sides wait in Spark's state, a run id per export, so the manifest is read once, as it
+    grows. An export that is repeated makes its run complete again.
+    """
+
+    def side(name: str) -> DataFrame:
+        rows = (
+            spark.readStream.schema(MANIFEST_SCHEMA)
+            .option("maxFilesPerTrigger", files_per_batch)
+            .parquet(f"{base}/manifest")
+        )
+        return rows.where(F.col("side") == name).select(F.col("run_id").alias(f"{name}_run"))
+
+    source, target = (side(name) for name in SIDES)
+    joined = source.join(target, F.col("source_run") == F.col("target_run"))
+    return joined.select(F.col("source_run").alias("run_id"))
 
 
 def reconcile_arrivals(
@@ -16,32 +38,32 @@ def reconcile_arrivals(
     runs_per_batch: int = 100,
     available_now: bool = True,
     file_format: str = "parquet",
+    parallel: int = 4,
 ) -> StreamingQuery:
     """Watch the export manifest under ``base`` and write one result per complete run.
 
-    Every export appends one manifest file, so a batch names at most ``runs_per_batch`` runs and
-    their ids are all that reaches the driver. A result folder belongs to its run and is
+    Every export appends one manifest file, so a batch names few runs, and their ids are all that
+    reaches the driver; ``parallel`` of them are compared at a time. A run that cannot be read or
+    compared gets a failed result, and the stream goes on. A result folder belongs to its run and is
     overwritten, so a repeated batch or a repeated export leaves one result per run.
     """
 
     def compare(arrived: DataFrame, batch: int) -> None:
         session = arrived.sparkSession
-        touched = arrived.select("run_id").distinct()
-        ready = runs_with_exports(touched, manifest(session, base))
-        for row in ready.collect():
-            source, target = (
-                session.read.format(file_format).load(export_path(base, row["run_id"], side))
-                for side in ("source", "target")
-            )
-            result = reconcile(source, target, row["run_id"])
-            result.write.mode("overwrite").parquet(f"{base}/results/{row['run_id']}")
-
-    stream = (
-        spark.readStream.schema(MANIFEST_SCHEMA)
-        .option("maxFilesPerTrigger", runs_per_batch)
-        .parquet(f"{base}/manifest")
-    )
-    writer = stream.writeStream.option(
+        ids = sorted(row["run_id"] for row in arrived.distinct().collect())
+        if not ids:
+            return
+
+        def opened(run_id: int, side: str) -> DataFrame:
+            return session.read.format(file_format).load(export_path(base, run_id, side))
+
+        pairs = [RunPair(i, None, *(partial(opened, i, side) for side in SIDES)) for i in ids]
+        found = reconcile_runs(pairs, parallel=parallel, spark=session)
+        found.withColumn("run", F.col("run_id")).write.mode("overwrite").partitionBy("run").option(
+            "partitionOverwriteMode", "dynamic"
+        ).parquet(f"{base}/results")
+
+    writer = complete_runs(spark, base, runs_per_batch).writeStream.option(
         "checkpointLocation", f"{base}/stream_checkpoint"
     ).foreachBatch(compare)
     if not available_now:
@@ -53,4 +75,4 @@ def reconcile_arrivals(
 
 def results(spark: SparkSession, base: str) -> DataFrame:
     """All results written so far."""
-    return spark.read.parquet(f"{base}/results/*")
+    return spark.read.parquet(f"{base}/results").drop("run")

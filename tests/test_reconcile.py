@@ -195,11 +195,11 @@ def test_message_lists_three_columns(spark):
 def test_diagnosis(spark):
     rows = [(1, 10.0)]
     passed = R.reconcile(*[spark.createDataFrame(rows, "id int, amount double")] * 2)
-    assert "equivalent" in diagnose(passed).first()["explanations"][0]
+    assert "agree in every column" in diagnose(passed).first()["explanations"][0]
     columns = "order_id int, pct_of_total_revenue double"
     one, two = (spark.createDataFrame([(1, v)], columns) for v in (1.0, 2.5))
     found = diagnose(R.reconcile(one, two)).first()
-    assert "percentage" in found["explanations"][0]
+    assert "DECIMAL" in found["explanations"][0]
     assert found["details"] == ["pct_of_total_revenue: 1 row(s) differ (max numeric delta: 1.5)"]
 
 

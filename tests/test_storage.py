@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import shutil
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -208,6 +209,65 @@ def test_arrivals_are_reconciled_once(spark, tmp_path):
     assert arrivals.results(spark, base).count() == 2
 
 
+def test_a_broken_export_fails_its_run_alone(spark, tmp_path):
+    base = str(tmp_path)
+    rows = spark.range(20).selectExpr("id AS order_id", "id * 1.5D AS amount")
+    for run_id in range(1, 5):
+        for side in IO.SIDES:
+            IO.export(rows, run_id, side, base)
+    broken = IO.export_path(base, 3, "target")
+    for part in Path(broken).glob("*.parquet"):
+        part.write_bytes(b"no parquet at all")
+    query = arrivals.reconcile_arrivals(spark, base)
+    assert query.exception() is None
+    found = {r["run_id"]: (r["passed"], r["message"]) for r in arrivals.results(spark, base).collect()}
+    assert {i: passed for i, (passed, _) in found.items()} == {1: True, 2: True, 3: False, 4: True}
+    assert found[3][1].startswith("Reconciliation error")
+    IO.export(rows, 5, "source", base)
+    IO.export(rows, 5, "target", base)
+    arrivals.reconcile_arrivals(spark, base)
+    assert arrivals.results(spark, base).count() == 5
+
+
+def test_a_run_becomes_complete_once(spark, tmp_path):
+    """Runs named by a batch come from the stream's state, not from reading the manifest again."""
+    base = str(tmp_path)
+    rows = spark.range(3).selectExpr("id AS order_id", "id * 1.5D AS amount")
+    named: list[list[int]] = []
+
+    def pass_on():
+        query = (
+            arrivals.complete_runs(spark, base)
+            .writeStream.option("checkpointLocation", f"{base}/seen")
+            .foreachBatch(lambda df, _: named.append(sorted(r["run_id"] for r in df.collect())))
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+
+    for step in ([(1, "source"), (2, "target")], [(1, "target")], [(3, "source"), (3, "target")], [(2, "source")]):
+        for run_id, side in step:
+            IO.export(rows, run_id, side, base)
+        pass_on()
+    assert [ids for ids in named if ids] == [[1], [3], [2]]
+
+
+def test_state_is_bounded_by_keys_and_survives_a_restart(spark, tmp_path):
+    base, incoming = str(tmp_path / "state"), str(tmp_path / "incoming")
+    schema = T.StructType.fromDDL(EVENTS)
+    for start in range(0, 600, 200):
+        part = spark.range(start, start + 200).selectExpr(
+            "id % 3 AS run_id", "1000 - id AS seq", "concat('k', id % 5) AS key", "CAST(id AS STRING) AS value"
+        )
+        part.select(*schema.fieldNames()).write.mode("append").parquet(incoming)
+        live.keep_state(live.read_events(spark, incoming, schema), base, parts=["state"])  # a new query each time
+        stored = spark.read.format("statestore").load(f"{base}/checkpoint/state")
+        assert stored.count() == 15
+    every = spark.read.schema(schema).parquet(incoming)
+    state = live.current_state(spark, base)
+    assert sorted(map(tuple, state.collect())) == sorted(map(tuple, P.fold_state(every).collect()))
+
+
 def requests(spark, names):
     return spark.createDataFrame(
         [(name, "success", "SELECT 1", None, [], [], 0) for name in names],

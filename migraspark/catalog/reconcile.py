@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from migraspark.catalog import query
 from migraspark.functions import normalize as N
 from migraspark.operators import diagnose as D
+from migraspark.operators import long_mode as L
 from migraspark.operators import reconcile as R
 from migraspark.operators.hash_tree import reconcile_ranges
 from migraspark.operators.schema import column_catalog
@@ -389,7 +390,7 @@ def rec_11(spark, folder):
     )
 
 
-DIFFS_SQL = f"""{SIDES_SQL}, joined AS (
+DIFFS_SQL = f"""{PAIRS_SQL}, joined AS (
   SELECT s.order_id, s.amount AS sa, t.amount AS ta, s.status AS ss, t.status AS ts
   FROM src s JOIN repriced t ON s.order_id = t.order_id),
 amount_bad AS (SELECT * FROM joined WHERE NOT (sa = ta OR ABS(sa - ta) <= 1e-4 + 1e-4 * ABS(ta))),
@@ -519,17 +520,29 @@ UNION ALL SELECT 1, 'status', 0, 0, (SELECT COUNT(*) FROM status_bad), NULL
 UNION ALL SELECT 1, 'customer_id', 0, 0, 0, NULL UNION ALL SELECT 1, 'order_date', 0, 0, 0, NULL
 UNION ALL SELECT 2, c, far, far, 0, NULL
   FROM (SELECT UNNEST(['amount', 'status', 'customer_id', 'order_date']) AS c),
+       (SELECT COUNT(*) AS far FROM src WHERE amount > 490000)
+UNION ALL SELECT 3, 'order_date', 0, 0, COUNT(*) FILTER (a.order_date <> b.order_date), NULL FROM a JOIN b USING (rn)
+UNION ALL SELECT 3, 'status', 0, 0, COUNT(*) FILTER (a.status <> b.status), NULL FROM a JOIN b USING (rn)
+UNION ALL SELECT 3, 'amount', 0, 0, COUNT(*) FILTER (NOT near), MAX(ABS(a.amount - b.amount)) FILTER (NOT near)
+  FROM (SELECT a.amount, b.amount AS other, a.amount = b.amount OR ABS(a.amount - b.amount) <= 1e-4 + 1e-4 * ABS(b.amount) AS near
+        FROM a JOIN b USING (rn)) a, LATERAL (SELECT a.other AS amount) b
+UNION ALL SELECT 4, c, far, 0, CASE WHEN far = 0 THEN 0 END, NULL
+  FROM (SELECT UNNEST(['amount', 'status', 'order_date']) AS c),
        (SELECT COUNT(*) AS far FROM src WHERE amount > 490000))
 SELECT run_id, "column", source_only, target_only, mismatch_count, max_numeric_diff FROM cells""",
 )
 def rec_15_long(spark, folder):
-    base = spread(orders(spark, folder))  # every row becomes several cells
+    base = orders(spark, folder)
     source = R.normalize(base)
-    left = R.melt(source, 1, ["order_id"]).unionAll(R.melt(source, 2, ["order_id"]))
-    right = R.melt(R.normalize(repriced(base)), 1, ["order_id"]).unionAll(
-        R.melt(R.normalize(moved(base)), 2, ["order_id"])
-    )
-    return R.compare_melted(left, right).withColumn("run_id", F.col("run_id").cast("int"))
+    changed = R.normalize(repriced(base)), R.normalize(moved(base))
+    left = L.melt(source, 1, ["order_id"]).unionAll(L.melt(source, 2, ["order_id"]))
+    right = L.melt(changed[0], 1, ["order_id"]).unionAll(L.melt(changed[1], 2, ["order_id"]))
+    # A run whose rows repeat, and one that repeats rows and lost some.
+    coarse, raised = R.normalize(unkeyed(base)), R.normalize(unkeyed_changed(base))
+    short = R.normalize(unkeyed(shortened(base)))
+    left = left.unionAll(L.melt(coarse, 3, ["status"])).unionAll(L.melt(coarse, 4, []))
+    right = right.unionAll(L.melt(raised, 3, ["status"])).unionAll(L.melt(short, 4, []))
+    return L.compare_melted(left, right).withColumn("run_id", F.col("run_id").cast("int"))
 
 
 @query(

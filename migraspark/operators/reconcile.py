@@ -150,9 +150,9 @@ def key_candidates(columns: Sequence[str]) -> list[list[str]]:
 def key_profile(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per side: rows, and how often the most frequent key occurs. One shuffle of the keys."""
     sides = [
-        frame.groupBy(*keys).agg(F.count("*").alias("n")).agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-            F.coalesce(F.max("n"), F.lit(0)).alias("copies"),
+        frame.groupBy(*keys).agg(F.count("*").alias("__n")).agg(
+            F.coalesce(F.sum("__n"), F.lit(0)).alias("rows"),
+            F.coalesce(F.max("__n"), F.lit(0)).alias("copies"),
         ).select(F.lit(name).alias("side"), "rows", "copies")
         for name, frame in (("source", source), ("target", target))
     ]
@@ -578,71 +578,6 @@ def reconcile_runs(
     return union
 
 
-def melt(df: DataFrame, run_id: int, keys: Sequence[str]) -> DataFrame:
-    """Long form of one normalised export: run, key text, column, numeric and text value."""
-    types = {f.name: f.dataType for f in df.schema}
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("column"),
-                (
-                    N.to_number(F.col(c), types[c])
-                    if N.is_numeric(types[c])
-                    else F.lit(None).cast("double")
-                ).alias("number"),
-                F.col(c).cast("string").alias("text"),
-                F.lit(N.is_numeric(types[c])).alias("numeric"),
-            )
-            for c in df.columns
-            if c not in keys
-        ]
-    )
-    key = F.to_json(F.struct(*keys))
-    return df.select(
-        F.lit(run_id).cast("bigint").alias("run_id"), key.alias("key"), F.inline(cells)
-    )
-
-
-def compare_melted(
-    source: DataFrame, target: DataFrame, rtol: float = N.RTOL, atol: float = N.ATOL
-) -> DataFrame:
-    """Compare any number of runs in one job over their long forms.
-
-    Use it for very wide results too: the plan does not grow with the number of columns. The join
-    key is (run, key, column), so one large run spreads over all tasks.
-
-    Where a side of a run repeats a key, the key does not tell which rows belong together: the
-    counts of that run are NULL, and ``reconcile`` can align it by position. Other runs are not
-    affected. Copies of a key are folded before the join, so they are never paired.
-    """
-    cell = ["run_id", "key", "column"]
-
-    def folded(side: DataFrame, prefix: str) -> DataFrame:
-        return side.groupBy(*cell).agg(
-            F.any_value("number").alias(f"{prefix}_number"),
-            F.any_value("text").alias(f"{prefix}_text"),
-            F.any_value("numeric").alias(f"{prefix}_is"),
-            F.count("*").alias(f"{prefix}_copies"),
-        )
-
-    joined = full_outer(folded(source, "s"), folded(target, "t"), cell)
-    x = F.coalesce("s_number", F.col("s_text").try_cast("double"))
-    y = F.coalesce("t_number", F.col("t_text").try_cast("double"))
-    as_number = F.coalesce("s_is", F.lit(False)) | F.coalesce("t_is", F.lit(False))
-    equal = F.when(as_number, N.numbers_match(x, y, rtol, atol)).otherwise(
-        N.texts_match(F.col("s_text"), F.col("t_text"))
-    )
-    both = F.col("side") == "both"
-    bad = both & ~equal
-    once = F.max(F.greatest("s_copies", "t_copies")) == 1
-    return joined.groupBy("run_id", "column").agg(
-        F.when(once, F.count_if(F.col("side") == "left_only")).alias("source_only"),
-        F.when(once, F.count_if(F.col("side") == "right_only")).alias("target_only"),
-        F.when(once, F.count_if(bad)).alias("mismatch_count"),
-        F.when(once, F.max(F.when(bad & as_number, F.abs(x - y)))).alias("max_numeric_diff"),
-    )
-
-
 def recon_summary(
     results: DataFrame, compared_at: datetime | None = None, report_path: str | None = None
 ) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from migraspark.operators import long_mode as L
 from migraspark.operators import reconcile as R
 from migraspark.operators.diagnose import diagnose
 from migraspark.plans import bindings
@@ -208,20 +211,58 @@ def test_long_mode_agrees_with_wide_mode(spark, tiny):
     target = orders.withColumn(
         "amount", F.when(F.col("order_id") < 20, F.col("amount") + 900).otherwise(F.col("amount"))
     )
-    long = R.compare_melted(
-        R.melt(orders, 3, ["order_id"]), R.melt(target, 3, ["order_id"])
+    long = L.compare_melted(
+        L.melt(orders, 3, ["order_id"]), L.melt(target, 3, ["order_id"])
     ).filter("mismatch_count > 0")
     wide = R.explode_diffs(R.reconcile(orders, target, run_id=3))
     keep = ["run_id", "column", "mismatch_count", "max_numeric_diff"]
     assert long.select(*keep).collect() == wide.select(*keep).collect()
 
 
-def test_long_mode_leaves_runs_with_repeated_keys_undecided(spark):
+def test_long_mode_with_repeated_keys(spark):
     twice = spark.createDataFrame([(1, 1.0), (1, 2.0), (2, 3.0)], "id int, amount double")
     once = spark.createDataFrame([(1, 1.0), (2, 2.0)], "id int, amount double")
     off = spark.createDataFrame([(1, 1.0), (2, 5.0), (3, 0.0)], "id int, amount double")
-    source = R.melt(twice, 1, ["id"]).unionAll(R.melt(once, 2, ["id"])).unionAll(R.melt(once, 3, ["id"]))
-    target = R.melt(twice, 1, ["id"]).unionAll(R.melt(off, 2, ["id"])).unionAll(R.melt(twice, 3, ["id"]))
-    found = {r["run_id"]: tuple(r)[2:] for r in R.compare_melted(source, target).collect()}
-    unknown = (None, None, None, None)
-    assert found == {1: unknown, 2: (0, 1, 1, 3.0), 3: unknown}
+    source = L.melt(twice, 1, ["id"]).unionAll(L.melt(once, 2, ["id"])).unionAll(L.melt(once, 3, ["id"]))
+    target = L.melt(twice, 1, ["id"]).unionAll(L.melt(off, 2, ["id"])).unionAll(L.melt(twice, 3, ["id"]))
+    found = {(r["run_id"], r["column"]): tuple(r)[2:] for r in L.compare_melted(source, target).collect()}
+    equal, short = (0, 0, 0, None), (0, 1, None, None)
+    assert found == {
+        (1, "id"): equal, (1, "amount"): equal, (2, "amount"): (0, 1, 1, 3.0),
+        (3, "id"): short, (3, "amount"): short,
+    }
+
+
+def test_long_mode_pairs_repeated_rows_like_reconcile(spark):
+    """Several runs with copies and without a usable key, in one job."""
+    rng = random.Random(5)
+    pairs = {}
+    for run_id in range(1, 5):
+        rows = [(rng.choice("abc"), float(rng.randint(1, 4)), rng.choice([None, 1, 2])) for _ in range(120)]
+        other = [(a, b + (rng.random() < 0.1), c) for a, b, c in rows]
+        rng.shuffle(other)
+        pairs[run_id] = [spark.createDataFrame(x, "name string, amount double, n int") for x in (rows, other)]
+    source = target = None
+    for run_id, sides in pairs.items():
+        long = [L.melt(R.normalize(side), run_id, ["name"]) for side in sides]
+        source = long[0] if source is None else source.unionAll(long[0])
+        target = long[1] if target is None else target.unionAll(long[1])
+    found = sorted(
+        (r.run_id, r.column, r.mismatch_count, r.max_numeric_diff)
+        for r in L.compare_melted(source, target).collect() if r.mismatch_count
+    )
+    expected = []
+    for run_id, sides in pairs.items():
+        result = R.reconcile(*sides, run_id).first()
+        assert result["alignment"] == "position"
+        expected += [(run_id, d["column"], d["mismatch_count"], d["max_numeric_diff"]) for d in result["column_diffs"]]
+    assert found == sorted(expected) and found
+
+
+def test_unique_names(spark):
+    df = spark.createDataFrame([(1, 2, 3, 4)], "a int, b int, c int, d int")
+    assert R.unique_names(df.toDF("a", "b", "a", "a")).columns == ["a", "b", "a_1", "a_2"]
+    assert R.unique_names(df.toDF("a", "a_1", "a", "A")).columns == ["a", "a_1", "a_2", "A"]
+    one = df.toDF("order_id", "x", "x", "y")
+    result = R.reconcile(one, spark.createDataFrame([(1, 2, 7, 4)], "a int, b int, c int, d int").toDF(*one.columns)).first()
+    assert result["message"] == "Data mismatch: x_1 (1 mismatches)"

@@ -13,11 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-# Documents to fit on: those with the smallest hashes of their text, a uniform sample.
+# Documents to fit on: those with the smallest hashes of their id, a uniform sample.
 TRAINING_DOCS = 2000
 STEPS = 300
 RIDGE = 1e-5
@@ -44,23 +45,55 @@ _CODES = (1 << np.arange(len(_CLASSES))) @ _CLASSES
 OWN = 13  # features of a line; with both neighbours and a constant: 3 * OWN + 1
 
 
+# Lines looked at together; what is computed per line beyond its score lives no longer than these.
+BLOCK_LINES = 20_000
+SLICE_BYTES = 1 << 18
+
+
+def line_blocks(text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(features, lengths) of the lines that hold more than white space, some lines at a time."""
+    seen: set[int] = set()
+    held: list[bytes] = []
+    start = 0
+    while start <= len(text):
+        end = text.find(b"\n", start)
+        end = len(text) if end < 0 else end
+        line = text[start:end]
+        start = end + 1
+        if line and not line.isspace():
+            held.append(line)
+        if len(held) == BLOCK_LINES:
+            yield _block_features(held, seen)
+            held = []
+    if held:
+        yield _block_features(held, seen)
+
+
 def line_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(features, lengths) of the lines that hold more than white space."""
-    lines = [line for line in text.split(b"\n") if line and not line.isspace()]
-    if not lines:
+    """(features, lengths) of all lines that hold more than white space."""
+    blocks = list(line_blocks(text))
+    if not blocks:
         return np.zeros((0, OWN)), np.zeros(0)
+    return tuple(np.concatenate(part) for part in zip(*blocks, strict=True))
+
+
+def _block_features(lines: list[bytes], seen: set[int]) -> tuple[np.ndarray, np.ndarray]:
+    """``seen`` holds the hashes of the lines before, and is added to."""
     lengths = np.fromiter(map(len, lines), np.int64, len(lines))
     code = _CODES[np.frombuffer(b"".join(lines), np.uint8)]
     starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     counts = [np.add.reduceat((code >> k) & 1, starts) for k in range(len(_CLASSES))]
     letters, upper, digits, spaces, marks, ends, exclaim, bars, hashes = counts
     words = spaces + 1.0
-    seen: set[bytes] = set()
-    again = np.array([1.0 if line in seen else (seen.add(line) or 0.0) for line in lines])
-    split = [line.split() for line in lines]
-    distinct = np.array([len(set(w)) / len(w) for w in split])
-    echoes = np.array([sum(a == b for a, b in zip(w, w[1:])) / len(w) for w in split])
-    at_end = np.array([w[-1][-1] in b".!?" for w in split], float)
+    again, distinct, echoes, at_end = np.zeros((4, len(lines)))
+    for i, line in enumerate(lines):
+        known = xxhash.xxh3_64_intdigest(line)
+        again[i] = known in seen
+        seen.add(known)
+        w = line.split()
+        distinct[i] = len(set(w)) / len(w)
+        echoes[i] = sum(a == b for a, b in zip(w, w[1:])) / len(w)
+        at_end[i] = w[-1][-1] in b".!?"
     features = np.stack(
         [
             np.log1p(lengths) / 5,
@@ -93,12 +126,25 @@ def with_neighbours(features: np.ndarray) -> np.ndarray:
     return out
 
 
-def marginals(scores: np.ndarray, first: np.ndarray, transition: np.ndarray):
+def line_scores(text: bytes, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, lengths) of the lines of a text: ``with_neighbours(features) @ weights``, with three
+    numbers per line held instead of three times its features."""
+    parts = [(f @ weights[:-1].reshape(3, OWN).T, lengths) for f, lengths in line_blocks(text)]
+    if not parts:
+        return np.zeros(0), np.zeros(0)
+    products, lengths = (np.concatenate(part) for part in zip(*parts, strict=True))
+    scores = products[:, 0] + weights[-1]
+    scores[1:] += products[:-1, 1]
+    scores[:-1] += products[1:, 2]
+    return scores, lengths
+
+
+def marginals(scores: np.ndarray, first: np.ndarray, transition: np.ndarray, counts: bool = True):
     """Forward-backward over many chains at once.
 
     ``scores`` are the scores of label 1 against label 0 of all lines, chains one after another;
     chain i starts at first[i], first[-1] is the end. Returns the marginals of label 1, the
-    expected counts of the four transitions, and the log of the normalizers. The k-th lines of
+    expected counts of the four transitions (None without ``counts``), and the log of the normalizers. The k-th lines of
     all chains that have one are handled together.
     """
     lengths = np.diff(first)
@@ -125,6 +171,8 @@ def marginals(scores: np.ndarray, first: np.ndarray, transition: np.ndarray):
         )
     total = np.logaddexp.reduce(forward + backward, axis=1)
     good = np.exp(forward[:, 1] + backward[:, 1] - total)
+    if not counts:
+        return good, None, total[begin[lengths > 0]]
     inner = np.ones(n, bool)
     inner[begin[lengths > 0]] = False
     at = np.flatnonzero(inner)
@@ -145,12 +193,11 @@ class Model:
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """Length-weighted mean of the lines' marginals; the prior for texts without a line."""
-        parts = [line_features(t) for t in texts]
+        parts = [line_scores(t, self.weights) for t in texts]
         counts = np.array([len(length) for _, length in parts])
         first = np.concatenate(([0], np.cumsum(counts)))
-        lines = np.concatenate([with_neighbours(f) @ self.weights for f, _ in parts])
-        lengths = np.concatenate([length for _, length in parts])
-        good, _, _ = marginals(lines, first, self.transition)
+        lines, lengths = (np.concatenate(part) for part in zip(*parts, strict=True))
+        good, _, _ = marginals(lines, first, self.transition, counts=False)
         owner = np.repeat(np.arange(len(texts)), counts)
         total = np.bincount(owner, lengths, len(texts))
         quality = np.bincount(owner, lengths * good, len(texts)) / np.maximum(total, 1)
@@ -199,7 +246,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAINING_DOCS) -> Mode
     """A model from at most ``most`` labelled documents, on the driver.
 
     Only rows whose crc32(doc_id) mod 5 is not 0 are used. A document labelled several times
-    counts as bad if any label says so; NULL ids, texts and labels are left out.
+    counts as bad if any label says so, one with several texts is read by the text of the smallest
+    hash; NULL ids, texts and labels are left out.
     """
     known = (
         labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
@@ -213,40 +261,52 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAINING_DOCS) -> Mode
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         .where("text IS NOT NULL")
         .join(wanted, "doc_id")
-        .dropDuplicates(["doc_id"])
+        .groupBy("doc_id")
+        .agg(F.min("quality").alias("quality"), F.min_by("text", F.xxhash64("text")).alias("text"))
         .collect()
     )
     rows.sort(key=lambda r: r["doc_id"])
     return fit([r["text"].encode() for r in rows], np.array([r["quality"] for r in rows], float))
 
 
-def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of ``docs`` with score and predicted; columns of these names are replaced.
+def slices(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, texts) of ranges of rows with few bytes and few lines, or of one text."""
+    held, start, size, lines = [], 0, 0, 0
+    for row in range(len(texts)):
+        text = texts[row].as_py() or b""
+        more = text.count(b"\n") + 1
+        if held and (size + len(text) > SLICE_BYTES or lines + more > BLOCK_LINES):
+            yield start, held
+            held, start, size, lines = [], row, 0, 0
+        held.append(text)
+        size, lines = size + len(text), lines + more
+    if held:
+        yield start, held
+
+
+def classify(
+    docs: DataFrame, model: Model, threshold: float = THRESHOLD, names: tuple[str, str] = ("score", "predicted")
+) -> DataFrame:
+    """All columns of ``docs`` with score and predicted, under ``names``, which replace others.
 
     The text alone is looked at. A text without lines of more than white space, or NULL, scores
     the share of label 1 in training. Rows are judged alone: repeated rows get repeated results.
-    An empty table gives an empty result. There is no shuffle.
+    An empty table gives an empty result. There is no shuffle. A task holds a slice of some texts,
+    with about a hundred bytes per line of it.
     """
-    kept = docs.drop("score", "predicted")
+    kept = docs.drop(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").cast(pa.large_binary())
             scores = np.zeros(batch.num_rows)
-            start = 0
-            while start < batch.num_rows:
-                held, size, end = [], 0, start
-                while end < batch.num_rows and (not held or size < 1 << 20):
-                    held.append(texts[end].as_py() or b"")
-                    size, end = size + len(held[-1]), end + 1
-                scores[start:end] = model.score(held)
-                start = end
+            for start, held in slices(batch.column("text").cast(pa.large_binary())):
+                scores[start : start + len(held)] = model.score(held)
             predicted = pa.array((scores >= threshold).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(scores), predicted],
-                names=[*batch.schema.names, "score", "predicted"],
+                [*batch.columns, pa.array(scores), predicted], names=[*batch.schema.names, *names]
             )
+            pa.default_memory_pool().release_unused()
 
-    added = StructType().add("score", "double").add("predicted", "integer")
+    added = StructType().add(names[0], "double").add(names[1], "integer")
     schema = StructType([*kept.schema.fields, *added.fields])
     return kept.mapInArrow(run, schema)

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from migraspark.llm.common import SPACES, kept_table
+from migraspark.llm.common import SPACES, free_name, kept_table
 from migraspark.llm.linking import link
 
 SHINGLE_BYTES = 8
@@ -169,10 +169,13 @@ def duplicate_lines(
 
 def without_lines(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """``docs`` with the removed lines cut out of their texts; all columns and rows stay."""
-    chosen = decisions.select(F.col("doc_id").alias("_doc"), F.col("removed").alias("_removed"))
-    kept = F.expr("array_join(filter(split(text, '\\n'), (x, i) -> NOT array_contains(_removed, i)), '\\n')")
+    doc, removed = free_name(docs, "_doc"), free_name(docs, "_removed")
+    chosen = decisions.select(F.col("doc_id").alias(doc), F.col("removed").alias(removed))
+    kept = F.expr(
+        f"array_join(filter(split(text, '\\n'), (x, i) -> NOT array_contains({removed}, i)), '\\n')"
+    )
     return (
-        docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_doc"]), "left")
-        .withColumn("text", F.when(F.size("_removed") > 0, kept).otherwise(F.col("text")))
+        docs.join(chosen, docs["doc_id"].eqNullSafe(chosen[doc]), "left")
+        .withColumn("text", F.when(F.size(removed) > 0, kept).otherwise(F.col("text")))
         .select(*docs.columns)
     )

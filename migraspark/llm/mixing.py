@@ -68,15 +68,15 @@ def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _mixed(
     docs: DataFrame,
-    carried: Sequence[str],
+    whole: bool,
     weights: Sequence[int],
     percent: int,
     most: int,
     seed: str,
 ) -> DataFrame:
-    """The ``carried`` columns of all rows with _doc, _source, _size, _total, _target, _copies."""
+    """All rows, as one struct _row if ``whole`` is asked for, with _doc, _source, _size, _total, _target, _copies."""
     rows = docs.select(
-        *carried,
+        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if whole else []),
         F.col("doc_id").cast("long").alias("_doc"),
         F.col("source").cast("string").alias("_source"),
         word_count(F.col("text")).alias("_size"),
@@ -139,7 +139,7 @@ def mix(
     The order is one range shuffle of (doc_id, source, size), whose partitions are numbered
     before they are counted, so a source with most of the rows is spread over many tasks.
     """
-    return _mixed(docs, [], weights, percent, most, seed).selectExpr(
+    return _mixed(docs, False, weights, percent, most, seed).selectExpr(
         "_doc AS doc_id",
         "_source AS source",
         "_size AS size",
@@ -156,7 +156,7 @@ def copies_of(
     most: int = MOST_COPIES,
     seed: str = SEED,
 ) -> DataFrame:
-    """``docs`` with every row as often as ``mix`` takes it, in the columns given."""
-    mixed = _mixed(docs, docs.columns, weights, percent, most, seed).where("_copies > 0")
+    """``docs`` with every row as often as ``mix`` takes it, in the columns given, whatever their names."""
+    mixed = _mixed(docs, True, weights, percent, most, seed).where("_copies > 0")
     repeat = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))
-    return mixed.withColumn("_copy", repeat).select(*docs.columns)
+    return mixed.select("_row", repeat).select("_row.*")

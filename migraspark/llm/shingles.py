@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18
 LONG_WORD = 64
 
 _SPACE = np.zeros(256, bool)

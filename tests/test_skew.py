@@ -22,17 +22,41 @@ def sides(spark):
     )
 
 
-def test_hot_keys_are_found(sides):
+def test_heavy_keys_are_found(sides):
     _, _, left, _ = sides
-    hot = S.hot_key_hashes(left, ["k"], 0.05)
-    expected = left.filter("k = 1").select(F.xxhash64("k")).first()[0]
-    assert hot == [expected]
+    found = S.heavy_shares(left, ["k"], 0.05)
+    hot = left.filter("k = 1").select(F.xxhash64("k")).first()[0]
+    share = left.filter("k = 1").count() / 6000
+    assert list(found) == [hot] and share <= found[hot] <= share + 0.025
+
+
+def test_salts_follow_the_share():
+    """Ten thousand partitions: a key with a third of the rows, and two hundred small heavy ones."""
+    shares = {1: 1 / 3, **{k: 0.00015 + k * 1e-6 for k in range(2, 202)}, 999: 0.00009}
+    tiers = S.salt_tiers(shares, 10_000)
+    assert tiers[4096] == [1] and 999 not in sum(tiers.values(), [])
+    assert sum(salts * len(keys) for salts, keys in tiers.items()) < 4096 + 4 * 200
+    assert S.salt_tiers({1: 1.0}, 1) == {}
+
+
+def test_copies_of_right_rows(spark):
+    """A key with 40 % of the rows on 8 partitions needs four copies; its neighbours one."""
+    left = spark.range(5000).selectExpr("CASE WHEN id % 10 < 4 THEN -1L ELSE id END AS k", "id")
+    right = spark.range(-1, 5000).selectExpr("id AS k", "id * 2 AS v")
+    joined = S.lookup_join(left, right, ["k"], partitions=8)
+    assert joined.count() == 5000
+    text = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Range (0, 5000") == 1  # the scan that looked for heavy keys was another, single one
+    shares = S.heavy_shares(left, ["k"], 1 / 8)
+    tiers = S.salt_tiers(shares, 8)
+    copies = right.withColumn("n", S._salts(["k"], tiers)).agg(F.sum("n")).first()[0]
+    assert copies == 5001 + 3
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_salted_join_equals_plain_join(sides, how):
     left, right, ldf, rdf = sides
-    joined = S.lookup_join(ldf, rdf, ["k"], how=how, support=0.01, null_safe=True)
+    joined = S.lookup_join(ldf, rdf, ["k"], how=how, partitions=100, null_safe=True)
     assert "__salt" in joined._jdf.queryExecution().optimizedPlan().toString()
     names = dict(right)
     expected = Counter(

@@ -4,8 +4,9 @@ The buckets come from locality-sensitive hashing and may be of any size, so no s
 members of one. Each round tests the members of a bucket against one pivot and joins up what
 passes; members that ended in one component need no further test. Pairs of a bucket that are
 still in different components after the pivot rounds are all tested, so no candidate is lost;
-only those go untested whose similarity is bounded below the threshold by the number of elements
-that either end shares with any other open node.
+only those go untested whose similarity is bounded below the threshold, by the number of elements
+that either end shares with any other open node and by the bits that the shared elements of both
+set in a small bitmap. Both bounds are exact: no pair that reaches the threshold goes untested.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from migraspark.llm.common import kept_table
 PIVOT_ROUNDS = 3
 # All open pairs are tested at once when they number at most so many times the open members.
 PAIRS_PER_MEMBER = 2
+# Numbers of 64 bits that make the bitmap of a node's shared elements.
+BITMAP = 32
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -167,28 +170,41 @@ def _across_components(
     """The pairs of a bucket with ends in different components that can still reach ``percent``.
 
     An element that no other open node has is in no intersection, so the elements a node shares
-    with any other bound all its intersections.
+    with any other bound all its intersections. Of two nodes, each common element sets the same bit
+    in both bitmaps, and at most as many common elements hide behind others' bits as either node has
+    more shared elements than bits.
     """
     held = kept_table(elements(members.select("node").distinct()), "open-elements")
     common = (
         held.groupBy("element").agg(F.count("*").alias("nodes")).where("nodes > 1").select("element")
     )
     sizes = held.groupBy("node").agg(F.count("*").alias("size"))
+    mixed = F.xxhash64("element")
+    number, bit = F.pmod(mixed, F.lit(BITMAP)), F.shiftrightunsigned(mixed, 58).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
+    bits = [F.bit_or(F.when(number == i, one).otherwise(F.lit(0).cast("bigint"))) for i in range(BITMAP)]
     shared = (
         held.join(kept_table(common, "common-elements"), "element", "left_semi")
         .groupBy("node")
-        .agg(F.count("*").alias("shared"))
+        .agg(F.count("*").alias("shared"), F.array(*bits).alias("bits"))
     )
+    set_bits = F.aggregate("bits", F.lit(0), lambda n, b: n + F.bit_count(b))
     profile = kept_table(
-        sizes.join(shared, "node").where(f"100 * shared >= {percent} * size"), "open-profiles"
+        sizes.join(shared, "node")
+        .where(f"100 * shared >= {percent} * size")
+        .withColumn("hidden", F.col("shared") - set_bits),
+        "open-profiles",
     )
     rows = kept_table(members.join(profile, "node"), "bucket-members")
-    left = rows.select("bucket", F.struct("node", "component", "size", "shared").alias("x"))
-    right = rows.select("bucket", F.struct("node", "component", "size", "shared").alias("y"))
-    most = "least(x.shared, y.shared)"
+    side = F.struct("node", "component", "size", "shared", "hidden", "bits")
+    left = rows.select("bucket", side.alias("x"))
+    right = rows.select("bucket", side.alias("y"))
+    both = " + ".join(f"bit_count(x.bits[{i}] & y.bits[{i}])" for i in range(BITMAP))
+    most = f"least(x.shared, y.shared, {both} + least(x.hidden, y.hidden))"
     return (
         left.join(right, "bucket")
         .where("x.component < y.component")
-        .where(f"100 * {most} >= {percent} * (x.size + y.size - {most})")
+        .where(f"100 * least(x.shared, y.shared) >= {percent} * (x.size + y.size - least(x.shared, y.shared))")
+        .where(f"{100 + percent} * {most} >= {percent} * (x.size + y.size)")
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     )

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from migraspark.llm.common import kept_table
-from migraspark.llm.linking import link
+from migraspark.llm.linking import components, link
 from migraspark.llm.shingles import GOLDEN, mixed, shingle_sets, text_batches
 
 SHINGLE_WORDS = 5
@@ -258,8 +258,24 @@ def near_duplicates(
         "class-components",
     )
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_component", "doc_id"))
-    return (
-        sketched.join(labelled, ["d1", "d2"], "left")
-        .select("doc_id", "n_shingles", component.alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    judged = kept_table(
+        sketched.join(labelled, ["d1", "d2"], "left").select(
+            "doc_id", "n_shingles", component.alias("component_id")
+        ),
+        "document-components",
+    )
+    # The rows of a doc_id may lie in several classes; they are one node, which joins the classes.
+    seen = (
+        judged.where("doc_id IS NOT NULL")
+        .groupBy("doc_id")
+        .agg(F.min("component_id").alias("a"), F.max("component_id").alias("z"))
+        .where("a < z")
     )
+    spanning = kept_table(seen.select("doc_id", "a"), "spanning-documents")
+    if not spanning.isEmpty():
+        links = judged.join(spanning, "doc_id").select("a", F.col("component_id").alias("b")).where("a <> b")
+        moved = components(links).withColumnsRenamed({"node": "component_id", "component": "joined"})
+        judged = judged.join(moved, "component_id", "left").select(
+            "doc_id", "n_shingles", F.coalesce("joined", "component_id").alias("component_id")
+        )
+    return judged.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -4,8 +4,11 @@
 These operators range-partition on the order instead, so that the work is spread by the data's own
 distribution, and stitch the partitions together with one small row per partition.
 
-The layout is checkpointed: range boundaries come from sampling, so a recomputed plan could draw
-them differently and the per-partition summaries would no longer fit the rows.
+Where the first sort column is a number or a time, the ranges are fixed values from one pass of a
+quantile sketch. A row then knows its range by itself, however often it is computed: the summaries
+are partial aggregates of the input, and the rows are shuffled once. Other orders, and several sort
+columns of which the first ties often, are range-partitioned by Spark's sample. Such a layout is
+checkpointed, as a recomputed plan could draw other boundaries that no longer fit the summaries.
 """
 
 from __future__ import annotations
@@ -15,8 +18,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import WindowSpec
 
-from migraspark.operators.skew import lookup_join, row_spread
+from migraspark.operators.skew import lookup_join, row_spread, shuffle_partitions
 from migraspark.session import cut_lineage
 
 SLOT = "__slot"
@@ -73,6 +78,96 @@ def _row_in_partition() -> Column:
     return F.col(SLOT).bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
 
 
+@dataclass(frozen=True)
+class Layout:
+    """Rows tagged with the number of their range, PID, and their order inside it."""
+
+    rows: DataFrame
+    order: list[Column]
+    stored: bool
+
+    def window(self) -> WindowSpec:
+        return Window.partitionBy(PID).orderBy(*self.order)
+
+    def upto(self) -> WindowSpec:
+        return self.window().rowsBetween(Window.unboundedPreceding, 0)
+
+    def place(self) -> Column:
+        """The number of a row in its range, from 0."""
+        if self.stored:
+            return _row_in_partition()
+        return (F.row_number().over(self.window()) - 1).cast("bigint")
+
+
+_LEAF = 32
+
+
+def _count_below(bounds: Sequence, column: Column, kind: T.DataType, inclusive: bool) -> Column:
+    """How many of the sorted ``bounds`` are below ``column`` (or equal, if ``inclusive``)."""
+    if len(bounds) <= _LEAF:
+        total = F.lit(0)
+        for bound in bounds:
+            value = F.lit(bound).cast(kind)
+            total = total + ((value <= column) if inclusive else (value < column)).cast("int")
+        return total
+    middle = len(bounds) // 2
+    value = F.lit(bounds[middle]).cast(kind)
+    above = (value <= column) if inclusive else (value < column)
+    return F.when(above, _count_below(bounds[middle:], column, kind, inclusive) + middle).otherwise(
+        _count_below(bounds[:middle], column, kind, inclusive)
+    )
+
+
+_SKETCHED = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def _fixed_ranges(df: DataFrame, order: Sequence[Key], split_ties: bool) -> Layout | None:
+    """A layout by boundaries of the first sort column; None where they would not balance it.
+
+    A value that fills several ranges is spread over them by a tie-breaking hash if nothing else is
+    sorted by; NULLs likewise get as many ranges as their share asks for.
+    """
+    key = order[0]
+    kind = df.schema[key.name].dataType
+    if not isinstance(kind, _SKETCHED):
+        return None
+    parts = shuffle_partitions(df)
+    share = [i / parts for i in range(1, parts)]
+    accuracy = max(10_000, 20 * parts)
+    wanted = F.array(*[F.lit(x) for x in share]) if share else F.array(F.lit(0.5))
+    found = df.agg(
+        F.percentile_approx(key.name, wanted, accuracy).alias("bounds"),
+        F.count("*").alias("rows"),
+        F.count(key.name).alias("known"),
+    ).first()
+    bounds = (found["bounds"] or []) if share else []
+    tied = any(a == b for a, b in zip(bounds, bounds[1:]))
+    missing = found["rows"] - found["known"]
+    if tied and not (split_ties and len(order) == 1):
+        return None
+    rows, exprs = df, [k.expr for k in order]
+    if split_ties:
+        rows = rows.withColumn(TIE, row_spread(rows))
+        exprs = [*exprs, F.col(TIE)]
+    column = F.col(key.name)
+    number = _count_below(bounds, column, kind, False)
+    if tied:
+        upper = _count_below(bounds, column, kind, True)
+        number = number + F.pmod(F.col(TIE), upper - number + 1).cast("int")
+    if key.descending:
+        number = -number
+    last = key.descending if key.nulls_last is None else key.nulls_last
+    spread = -(-missing * parts // max(found["rows"], 1)) if split_ties and len(order) == 1 else 1
+    aside = F.pmod(F.col(TIE), F.lit(spread)).cast("int") if spread > 1 else F.lit(0)
+    outside = F.lit(2 * parts) + aside if last else F.lit(-2 * parts) - aside
+    return Layout(rows.withColumn(PID, F.when(column.isNull(), outside).otherwise(number)), exprs, False)
+
+
+def _laid(df: DataFrame, order: Sequence[Key], split_ties: bool = False) -> Layout:
+    fixed = _fixed_ranges(df, order, split_ties)
+    return fixed or Layout(lay_out(df, order, split_ties), [F.col(SLOT)], True)
+
+
 def _offsets(laid: DataFrame, measure: Column, total: str | None) -> DataFrame:
     """Per partition the measure of all earlier partitions, and of all partitions as ``total``.
 
@@ -98,11 +193,11 @@ def with_position(
 
     Rows that tie on ``order`` keep an arbitrary but fixed order.
     """
-    laid = lay_out(df, order, split_ties=True)
-    placed = laid.join(_offsets(laid, F.count("*"), total), PID)
-    return placed.withColumn(
-        name, F.col("__off") + _row_in_partition() + F.lit(start)
-    ).drop(SLOT, PID, "__off")
+    laid = _laid(df, order, split_ties=True)
+    placed = laid.rows.withColumn("__place", laid.place())
+    return placed.join(_offsets(laid.rows, F.count("*"), total), PID).withColumn(
+        name, F.col("__off") + F.col("__place") + F.lit(start)
+    ).drop(SLOT, PID, TIE, "__off", "__place")
 
 
 def with_running_total(
@@ -119,17 +214,15 @@ def with_running_total(
     Rows that tie on ``order`` are added in an arbitrary but fixed order; ``split_ties`` may be
     switched off where no two rows tie.
     """
-    laid = lay_out(df, order, split_ties)
-    inside = (
-        Window.partitionBy(PID).orderBy(SLOT).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    upto = F.col("__off") + F.sum(measure).over(inside)
+    laid = _laid(df, order, split_ties)
+    summed = laid.rows.withColumn("__inside", F.sum(measure).over(laid.upto()))
+    upto = F.col("__off") + F.col("__inside")
     if not inclusive:
         upto = upto - F.col(measure)
     return (
-        laid.join(_offsets(laid, F.sum(measure), total), PID)
+        summed.join(_offsets(laid.rows, F.sum(measure), total), PID)
         .withColumn(name, upto)
-        .drop(SLOT, PID, "__off")
+        .drop(SLOT, PID, TIE, "__off", "__inside")
     )
 
 
@@ -227,25 +320,29 @@ def with_rolling_average(
 ) -> DataFrame:
     """AVG(value) OVER (PARTITION BY groups ORDER BY order ROWS n PRECEDING) for any group size.
 
-    Each row hands its value to itself and to the next ``preceding`` row numbers of its group, and
-    one aggregation per (group, row number) collects them; no task ever holds a whole group.
+    Rows are laid out by group and order. Each range is handed the last ``preceding`` rows before it,
+    its halo, so that every frame lies inside one range; the halo is as many rows per range, however
+    large the groups are, and the rows themselves are sent on once.
     """
-    numbered = with_row_number(df, groups, order, "__rn")
-    handed = numbered.select(
-        *groups,
-        "__rn",
-        F.col(value).alias("__value"),
-        F.struct(*df.columns).alias("__row"),
-        F.explode(F.sequence(F.lit(0), F.lit(preceding))).alias("__step"),
-    )
-    frames = handed.groupBy(*groups, (F.col("__rn") + F.col("__step")).alias("__at")).agg(
-        F.any_value(F.when(F.col("__step") == 0, F.col("__row")), F.lit(True)).alias("__row"),
-        F.sum("__value").alias("__sum"),
-        F.count("__value").alias("__count"),
-    )
-    average = F.col("__sum").cast("double") / F.nullif(F.col("__count"), F.lit(0))
-    return frames.filter(F.col("__row").isNotNull()).select(
-        "__row.*", average.alias(name)
+    laid = lay_out(df, [asc(g) for g in groups] + list(order), split_ties=True)
+    ranges = laid.groupBy(PID).agg(F.count("*").alias("__n"))
+    earlier = Window.orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.select(PID, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
+    place = F.col("__start") + _row_in_partition()
+    placed = laid.join(F.broadcast(starts), PID).select(*df.columns, PID, place.alias("__at"), F.lit(False).alias("__halo"))
+    if preceding:
+        back = F.explode(F.sequence(F.lit(1), F.lit(preceding)))
+        handed = starts.select(F.col(PID).alias("__to"), "__start", back.alias("__back")).select(
+            "__to", (F.col("__start") - F.col("__back")).alias("__at")
+        )
+        halo = placed.join(F.broadcast(handed), "__at").select(
+            *df.columns, F.col("__to").alias(PID), "__at", F.lit(True).alias("__halo")
+        )
+        placed = placed.unionByName(halo)
+    frame = Window.partitionBy(PID, *groups).orderBy("__at").rowsBetween(-preceding, 0)
+    average = F.sum(value).over(frame).cast("double") / F.nullif(F.count(value).over(frame), F.lit(0))
+    return placed.withColumn("__average", average).filter(~F.col("__halo")).select(
+        *df.columns, F.col("__average").alias(name)
     )
 
 
@@ -274,22 +371,16 @@ def nearest_items(
             F.struct(*items.columns).alias("__item"),
         )
     )
-    laid = lay_out(merged, [asc("__value"), asc("__kind"), asc("__spread")])
-    ends = _carried_over(laid, {"__item": ("__from_lower", "__from_higher")})
-    forward = (
-        Window.partitionBy(PID).orderBy(SLOT).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    backward = (
-        Window.partitionBy(PID)
-        .orderBy(F.col(SLOT).desc())
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    scanned = laid.withColumn(
+    laid = _laid(merged, [asc("__value"), asc("__kind"), asc("__spread")])
+    forward = laid.upto()
+    backward = laid.window().rowsBetween(0, Window.unboundedFollowing)
+    scanned = laid.rows.withColumn(
         "__below", F.last("__item", ignorenulls=True).over(forward)
-    ).withColumn("__above", F.last("__item", ignorenulls=True).over(backward))
+    ).withColumn("__above", F.first("__item", ignorenulls=True).over(backward))
+    ends = _carried_over(laid.rows, "__value", {"__item": ("__from_lower", "__from_higher")})
     return (
         scanned.filter(F.col("__point").isNotNull())
-        .join(F.broadcast(ends), PID)  # one row per partition
+        .join(ends, PID)
         .select(
             "__point.*",
             F.coalesce("__below", "__from_lower").alias("below"),
@@ -342,15 +433,17 @@ def with_band_count(
 
 
 def _carried_over(
-    laid: DataFrame, columns: dict[str, tuple[str | None, str | None]]
+    rows: DataFrame, key: str, columns: dict[str, tuple[str | None, str | None]]
 ) -> DataFrame:
-    """Per partition and column the last value set before it and the first one set after it.
+    """Per range and column the last value set before it and the first one set after it.
 
-    Only slot numbers are aggregated; the values are then picked at those few slots.
+    Rows in which a column is set differ in ``key``, which sorts them. Only keys are aggregated, and
+    of the rows only those few are picked whose values are carried.
     """
-    slots = laid.groupBy(PID).agg(
+    set_at = {c: F.when(F.col(c).isNotNull(), F.col(key)) for c in columns}
+    ends = rows.groupBy(PID).agg(
         *[
-            end(F.when(F.col(c).isNotNull(), F.col(SLOT))).alias(f"__{side}_{i}")
+            end(set_at[c]).alias(f"__{side}_{i}")
             for i, c in enumerate(columns)
             for side, end in (("low", F.min), ("high", F.max))
         ]
@@ -359,19 +452,23 @@ def _carried_over(
     higher = Window.orderBy(F.col(PID).desc()).rowsBetween(Window.unboundedPreceding, -1)
     wanted = []
     for i, names in enumerate(columns.values()):
-        for name, slot in (
+        for name, at in (
             (names[0], F.last(f"__high_{i}", ignorenulls=True).over(lower)),
             (names[1], F.last(f"__low_{i}", ignorenulls=True).over(higher)),
         ):
             if name is not None:
-                wanted.append((i, name, slot))
-    found = slots.select(PID, *[slot.alias(f"__slot_{name}") for _, name, slot in wanted])
+                wanted.append((i, name, at))
+    found = ends.select(PID, *[at.alias(f"__at_{name}") for _, name, at in wanted])
     for i, name, _ in wanted:
         column = list(columns)[i]
-        values = laid.select(F.col(SLOT).alias("__at"), F.col(column).alias(name)).join(
-            F.broadcast(found.select(F.col(f"__slot_{name}").alias("__at")).distinct()), "__at"
+        # One row per range at most, with a key and no more.
+        keys = F.broadcast(found.select(F.col(f"__at_{name}").alias("__at")).distinct())
+        picked = (
+            rows.filter(F.col(column).isNotNull())
+            .select(F.col(key).alias("__at"), F.col(column).alias(name))
+            .join(keys, "__at", "left_semi")
         )
-        found = found.join(values.withColumnRenamed("__at", f"__slot_{name}"), f"__slot_{name}", "left")
+        found = found.join(picked.withColumnRenamed("__at", f"__at_{name}"), f"__at_{name}", "left")
     return found.select(PID, *[name for _, name, _ in wanted])
 
 
@@ -381,21 +478,18 @@ def segments(starts: DataFrame, start: str, end: int | Column, carried: Sequence
     ``starts`` has one row per distinct start. A column that is NULL at a start keeps the value of
     the latest earlier start that has one.
     """
-    laid = lay_out(starts, [asc(start)])
-    ends = _carried_over(laid, {c: (f"__in_{c}", None) for c in carried})
-    firsts = laid.groupBy(PID).agg(F.min(start).alias("__first_start"))
+    laid = _laid(starts, [asc(start)])
+    ends = _carried_over(laid.rows, start, {c: (f"__in_{c}", None) for c in carried})
+    firsts = laid.rows.groupBy(PID).agg(F.min(start).alias("__first_start"))
     firsts = firsts.select(
         PID, F.lead("__first_start").over(Window.orderBy(PID)).alias("__next_pid_start")
     )
-    ends = ends.join(firsts, PID)
-    inside = Window.partitionBy(PID).orderBy(SLOT)
-    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
-    scanned = laid.select(
+    scanned = laid.rows.select(
         PID,
         start,
-        F.lead(start).over(inside).alias("__next"),
-        *[F.last(c, ignorenulls=True).over(so_far).alias(c) for c in carried],
-    ).join(F.broadcast(ends), PID)  # one row per partition
+        F.lead(start).over(laid.window()).alias("__next"),
+        *[F.last(c, ignorenulls=True).over(laid.upto()).alias(c) for c in carried],
+    ).join(ends.join(firsts, PID), PID)
     following = F.coalesce("__next", "__next_pid_start", F.lit(end) if isinstance(end, int) else end)
     return scanned.select(
         start,

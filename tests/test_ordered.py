@@ -6,6 +6,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from migraspark.operators import ordered as O
 from migraspark.operators.ordered import asc, desc
@@ -49,6 +50,45 @@ def test_ties_are_split_over_partitions(spark):
     assert sum(sizes) == 20000 and len(sizes) == 8 and max(sizes) < 5000
 
 
+@pytest.mark.parametrize("make", [asc, desc])
+def test_a_hot_value_and_missing_values_fill_ranges_by_their_share(spark, make):
+    """Half of the rows tie, a quarter has no value; positions are dense and in order all the same."""
+    df = spark.range(16_000).select(
+        F.when(F.col("id") % 4 == 0, None).when(F.col("id") % 4 < 3, 7.5).otherwise(F.col("id") / 100).alias("v"), "id"
+    )
+    laid = O._laid(df, [make("v")], split_ties=True)
+    assert not laid.stored
+    sizes = [r["count"] for r in laid.rows.groupBy(O.PID).count().collect()]
+    assert sum(sizes) == 16_000 and max(sizes) < 2.2 * 16_000 / 8
+    places = {r["place"]: r["v"] for r in O.with_position(df, [make("v")], "place").collect()}
+    assert sorted(places) == list(range(16_000))
+    known = [places[i] for i in range(16_000) if places[i] is not None]
+    assert known == sorted(known, reverse=make is desc)
+    gaps = [i for i in range(16_000) if places[i] is None]
+    assert gaps == (list(range(12_000, 16_000)) if make is desc else list(range(4_000)))
+
+
+def test_rows_are_shuffled_once(spark):
+    df = spark.range(5000).select((F.col("id") * 1.5).alias("v"), "id", F.lit("x" * 50).alias("wide"))
+    for out in (O.with_position(df, [asc("v")], "p"), O.with_running_total(df, [asc("v")], "id", "t")):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        exchanges = [line for line in plan.splitlines() if "Exchange" in line and "Broadcast" not in line and "wide" in line]
+        assert len(exchanges) <= 1
+        assert plan.count("Exchange hashpartitioning(__pid") == 2  # the rows, and their partial counts
+        assert "Scan ExistingRDD" not in plan
+
+
+def test_ranges_of_many_boundaries(spark):
+    bounds = [i * 2 for i in range(1000)]
+    df = spark.range(-5, 2010).select(
+        "id",
+        O._count_below(bounds, F.col("id"), T.LongType(), False).alias("below"),
+        O._count_below(bounds, F.col("id"), T.LongType(), True).alias("upto"),
+    )
+    for r in df.collect():
+        assert r["below"] == sum(b < r["id"] for b in bounds) and r["upto"] == sum(b <= r["id"] for b in bounds)
+
+
 def test_running_total(skewed):
     rows, df = skewed
     out = O.with_running_total(df.fillna(0), [asc("id")], "val", "total").collect()
@@ -101,6 +141,29 @@ def test_rolling_average(skewed):
         assert got[key] == (value if value is None else pytest.approx(value))
 
 
+@pytest.mark.parametrize("preceding", [0, 1, 5])
+def test_rolling_frames_reach_over_short_ranges(spark, preceding):
+    """More ranges than a frame has rows, and frames that reach over several of them."""
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        df = spark.range(90).select((F.col("id") % 2).alias("g"), "id", (F.col("id") * 2).alias("v"))
+        got = {r["id"]: r["m"] for r in O.with_rolling_average(df, ["g"], [asc("id")], "v", preceding, "m").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    for i in range(90):
+        frame = [j * 2 for j in range(i, -1, -2)][: preceding + 1]
+        assert got[i] == pytest.approx(sum(frame) / len(frame))
+
+
+def test_the_halo_is_a_few_rows(spark):
+    df = spark.range(4000).select(F.lit(1).alias("g"), "id", F.col("id").alias("v"))
+    out = O.with_rolling_average(df, ["g"], [asc("id")], "v", 2, "m")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMap" not in plan and "ObjectHashAggregate" not in plan
+    laid = [line for line in plan.splitlines() if "Exchange hashpartitioning(__pid" in line and "g#" in line]
+    assert len(laid) == 1
+
+
 def test_nearest_items(spark):
     points = [(i, 7.0 if i % 3 == 0 else random.uniform(-20, 120)) for i in range(900)]
     values = sorted({round(random.uniform(0, 100), 1) for _ in range(60)})

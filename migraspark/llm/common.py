@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,22 @@ from migraspark.session import scratch_path
 SPACES = "\\x20\\x09-\\x0D"
 
 
+# Texts go to Python workers in batches of so many rows and bytes at most. Spark's own ten thousand rows
+# and 64 MB per batch, doubled while a buffer grows, are held outside the heap for every task.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limits of Arrow batches to the above; smaller ones stay."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        digits = re.fullmatch(r"(\d+)b?", spark.conf.get(key, "0").lower())
+        if digits is None or not 0 < int(digits[1]) <= most:
+            spark.conf.set(key, str(most))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -24,6 +40,7 @@ def kept_table(df: DataFrame, label: str) -> DataFrame:
     shuffle Spark may split when one key is hot.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -23,8 +23,9 @@ def small_batches(spark: SparkSession) -> None:
     """Lower the session's limits of Arrow batches to the above; smaller ones stay."""
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{name}"
-        digits = re.fullmatch(r"(\d+)b?", spark.conf.get(key, "0").lower())
-        if digits is None or not 0 < int(digits[1]) <= most:
+        given = re.fullmatch(r"(\d+)([kmg]?)b?", spark.conf.get(key).lower())
+        size = int(given[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[given[2]] if given else 0
+        if not 0 < size <= most:
             spark.conf.set(key, str(most))
 
 

@@ -10,28 +10,27 @@ from migraspark.sources.tables import scan
 
 
 def _checks(folder):
-    def table(spark, name):
-        return scan(spark, folder, name)
-
-    def orphans(spark):
-        customers = table(spark, "customer").select(F.col("c_custkey").alias("o_custkey"))
-        return table(spark, "orders").join(customers, "o_custkey", "left_anti")
-
-    def repeated(spark):
-        lines = table(spark, "lineitem").groupBy("l_orderkey", "l_linenumber").count()
-        return lines.filter(F.col("count") > 1)
-
-    def broken(spark):
-        return table(spark, "part").filter(F.raise_error(F.lit("bad part")).isNotNull())
+    def table(name):
+        return lambda spark: scan(spark, folder, name)
 
+    orders, customers, lines, parts = map(table, ("orders", "customer", "lineitem", "part"))
+    orphans = {"table": orders, "refers": (("o_custkey", "c_custkey"),), "known": customers}
+    broken = F.raise_error(F.lit("bad part")).isNotNull()
+    paid, sizes = F.col("o_totalprice"), F.col("p_size")
     return [
-        K.Check("data_001", "orders_have_customers", "unit", "No order without customer.", orphans),
-        K.Check("data_002", "line_keys_unique", "unit", "Line numbers are unique.", repeated),
-        K.Check("data_003", "parts_readable", "assets", "Every part can be read.", broken),
-        K.Check("live_001", "live_rows", "integration", "Live rows.", orphans, slow=True),
-        K.Check("live_002", "slow_scan", "unit", "Slow scan.", orphans, slow=True),
-        K.Check("live_003", "needs_host", "unit", "Needs a host.", orphans, requires=("HOST", "USER")),
-    ]
+        K.Check("data_001", "orders_have_customers", "unit", "No order without customer.", **orphans),
+        K.Check("data_002", "line_keys_unique", "unit", "Line numbers are unique.", table=lines,
+                unique=("l_orderkey", "l_linenumber")),
+        K.Check("data_003", "parts_readable", "assets", "Every part can be read.", table=parts, violates=broken),
+        K.Check("data_004", "part_sizes", "assets", "Sizes are positive.", table=parts, violates=sizes <= 0),
+        K.Check("data_005", "orders_paid", "unit", "No order is free.", table=orders, violates=paid <= 0),
+        K.Check("data_006", "orders_small", "unit", "No order is dear.", table=orders, violates=paid > 400_000),
+        K.Check("data_007", "orders_dated", "unit", "Every order has a date.", table=orders,
+                violates=F.col("o_orderdate").isNull()),
+        K.Check("live_001", "live_rows", "integration", "Live rows.", slow=True, **orphans),
+        K.Check("live_002", "slow_scan", "unit", "Slow scan.", slow=True, **orphans),
+        K.Check("live_003", "needs_host", "unit", "Needs a host.", requires=("HOST", "USER"), **orphans),
+    ]
 
 
 @query(
@@ -44,6 +43,14 @@ UNION ALL SELECT 'data_002', 'line_keys_unique', 'unit', CASE WHEN (SELECT COUNT
     THEN 'passed' ELSE 'failed' END, ''
 UNION ALL SELECT 'data_003', 'parts_readable', 'assets',
   CASE WHEN (SELECT COUNT(*) FROM part) = 0 THEN 'passed' ELSE 'failed' END, ''
+UNION ALL SELECT 'data_004', 'part_sizes', 'assets',
+  CASE WHEN (SELECT COUNT(*) FROM part WHERE p_size <= 0) = 0 THEN 'passed' ELSE 'failed' END, ''
+UNION ALL SELECT 'data_005', 'orders_paid', 'unit',
+  CASE WHEN (SELECT COUNT(*) FROM orders WHERE o_totalprice <= 0) = 0 THEN 'passed' ELSE 'failed' END, ''
+UNION ALL SELECT 'data_006', 'orders_small', 'unit',
+  CASE WHEN (SELECT COUNT(*) FROM orders WHERE o_totalprice > 400000) = 0 THEN 'passed' ELSE 'failed' END, ''
+UNION ALL SELECT 'data_007', 'orders_dated', 'unit',
+  CASE WHEN (SELECT COUNT(*) FROM orders WHERE o_orderdate IS NULL) = 0 THEN 'passed' ELSE 'failed' END, ''
 UNION ALL SELECT 'live_001', 'live_rows', 'integration', 'skipped', 'integration tests disabled'
 UNION ALL SELECT 'live_002', 'slow_scan', 'unit', 'skipped', 'slow tests disabled'
 UNION ALL SELECT 'live_003', 'needs_host', 'unit', 'skipped', 'missing env: USER'""",

@@ -17,6 +17,7 @@ from migraspark.functions.draws import Draw
 from migraspark.operators import generate as G
 from migraspark.operators.generate import ColumnGen, TableSpec
 from migraspark.session import scratch_path
+from migraspark.sources.history_store import HistoryStore
 from migraspark.sources.tables import scan, spread
 
 SEED = G.DEFAULT_SEED
@@ -441,11 +442,11 @@ def gen_20_nested(spark, folder):
 
 @query(
     "gen_21_generate_tables",
-    """SELECT 'customers' AS table_name, COUNT(*) AS row_count, 10 AS column_count, 42 AS seed,
-  TRUE AS success, COUNT(*) AS stored FROM customer
-UNION ALL SELECT 'orders', COUNT(*), 6, 42, TRUE, COUNT(*) FROM orders
-UNION ALL SELECT 'products', COUNT(*), 4, 42, TRUE, COUNT(*) FROM part
-UNION ALL SELECT 'broken', NULL, NULL, 42, FALSE, NULL""",
+    """SELECT 2 AS run_id, 'customers' AS table_name, COUNT(*) AS row_count, 10 AS column_count, 42 AS seed,
+  TRUE AS success, 'success' AS status, COUNT(*) AS stored FROM customer
+UNION ALL SELECT 3, 'orders', COUNT(*), 6, 42, TRUE, 'success', COUNT(*) FROM orders
+UNION ALL SELECT 4, 'products', COUNT(*), 4, 42, TRUE, 'success', COUNT(*) FROM part
+UNION ALL SELECT 1, 'broken', NULL, NULL, 42, FALSE, 'failed', NULL""",
 )
 def gen_21(spark, folder):
     rows = {
@@ -455,7 +456,11 @@ def gen_21(spark, folder):
     }
     broken = TableSpec.from_ddl_fields("broken", "a STRING", {"a": ColumnGen(provider="nobody")})
     base = scratch_path(spark, "generated")
-    log = G.generate_tables(spark, [*G.BASE_SPECS.values(), broken], base, rows, SEED)
+    store = HistoryStore(spark, scratch_path(spark, "generation_history"))
+    G.generate_tables(spark, [*G.BASE_SPECS.values(), broken], base, rows, SEED, record=store.log_generation)
+    log = store.generations().withColumns(
+        {"run_id": F.col("run_id").cast("int"), "row_count": F.col("row_count").cast("bigint")}
+    )
     stored = [
         spark.read.parquet(f"{base}/{name}").agg(F.count("*").alias("stored")).select(
             F.lit(name).alias("table_name"), "stored"
@@ -464,7 +469,7 @@ def gen_21(spark, folder):
     ]
     counted = stored[0].unionAll(stored[1]).unionAll(stored[2])
     return log.join(counted, "table_name", "left").select(
-        "table_name", "row_count", "column_count", "seed", "success", "stored"
+        "run_id", "table_name", "row_count", "column_count", "seed", "success", "status", "stored"
     )
 
 

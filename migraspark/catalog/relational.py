@@ -253,18 +253,11 @@ QUALIFY signup_rank <= 5""",
 )
 def flt_05(spark, folder):
     customers = base_tables(spark, folder).customers
-    return _top_ranked(customers, "country", F.asc("signup_date"), 5, "signup_rank").select(
+    return ordered.top_ranked(customers, ["country"], asc("signup_date"), 5, "signup_rank").select(
         "customer_id", "country", "signup_date", "signup_rank"
     )
 
 
-def _top_ranked(df, group, order, limit, name):
-    """RANK <= limit: Spark trims every input task to the limit before it shuffles."""
-    window = ordered.Window.partitionBy(group).orderBy(order)
-    ranked = df.withColumn(name, F.rank().over(window)).filter(F.col(name) <= limit)
-    return ranked.withColumn(name, F.col(name).cast("bigint"))
-
-
 # ---------------------------------------------------------------- joins
 
 
@@ -569,7 +562,7 @@ QUALIFY amount_rank <= 25""",
 )
 def top_01(spark, folder):
     orders = base_tables(spark, folder).orders
-    best = _top_ranked(orders, "status", F.col("amount").desc_nulls_last(), 25, "amount_rank")
+    best = ordered.top_ranked(orders, ["status"], desc("amount"), 25, "amount_rank")
     return best.select(
         "order_id", "status", F.col("amount").cast("double").alias("amount"), "amount_rank"
     )

@@ -8,6 +8,7 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,15 +28,53 @@ ERROR_TAIL = 8
 
 @dataclass(frozen=True)
 class Check:
-    """A named predicate on data: ``violations`` returns a frame that must be empty."""
+    """A named predicate on data, in one of four forms.
+
+    ``violations`` is a function that returns a frame which must be empty. The others are about a
+    ``table``, given by a function that opens it: ``violates`` is a condition that no row may meet,
+    ``unique`` names columns whose values must not repeat, and ``refers`` maps columns to those of
+    the table that ``known`` opens, where each of their values must exist (NULL refers to nothing).
+    Checks on one table are compiled into one scan of it; they share the function that opens it.
+    """
 
     test_id: str
     name: str
     category: str
     description: str
-    violations: Callable[[SparkSession], DataFrame]
+    violations: Callable[[SparkSession], DataFrame] | None = None
     requires: tuple[str, ...] = ()
     slow: bool = False
+    table: Callable[[SparkSession], DataFrame] | None = None
+    violates: Column | None = None
+    unique: tuple[str, ...] = ()
+    refers: tuple[tuple[str, str], ...] = ()
+    known: Callable[[SparkSession], DataFrame] | None = None
+
+
+def compiled(table: DataFrame, conditions: Sequence[Column]) -> DataFrame:
+    """One row: per condition how many rows meet it (n0, n1, ...) and one of them (r0, r1, ...)."""
+    row = F.struct(*[F.col(f"`{c}`") for c in table.columns])
+    flagged = table.select(row.alias("row"), *[c.alias(f"c{i}") for i, c in enumerate(conditions)])
+    return flagged.agg(
+        *[F.count_if(f"c{i}").alias(f"n{i}") for i in range(len(conditions))],
+        *[F.any_value(F.when(F.col(f"c{i}"), F.col("row")), F.lit(True)).alias(f"r{i}") for i in range(len(conditions))],
+    )
+
+
+def repeated_values(table: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Values of ``columns`` that occur more than once, with their number of rows."""
+    return table.groupBy(*columns).agg(F.count("*").alias("rows")).where("rows > 1")
+
+
+def unknown_values(table: DataFrame, known: DataFrame, refers: Sequence[tuple[str, str]]) -> DataFrame:
+    """Distinct values of the referring columns that ``known`` lacks: a value that very many rows
+    share is one row before the two tables meet."""
+    columns = [mine for mine, _ in refers]
+    values = table.select(*columns).dropna().distinct()
+    named = known.select(*[F.col(other).alias(mine) for mine, other in refers], F.lit(True).alias("__known"))
+    # An anti join would be moved below the distinct, to all rows.
+    met = values.join(named.distinct(), columns, "left")
+    return met.filter(F.col("__known").isNull()).select(*columns)
 
 
 def skip_reason(
@@ -66,25 +105,60 @@ def run_checks(
     available: Sequence[str] = (),
     parallel: int = 4,
 ) -> DataFrame:
-    """One outcome row per check. A check's job stops at its first violating row."""
-
-    def one(check: Check) -> tuple:
-        facts = (check.test_id, check.name, check.category, check.description)
-        reason = _skipped(check, integration, slow, available)
-        if reason is not None:
-            return (*facts, "skipped", 0.0, "", "", reason)
+    """One outcome row per check, in their order.
+
+    Conditions on one table are one aggregation of it; if that fails, each of them runs alone, so an
+    error stays with its check. Other checks are jobs of their own, ``parallel`` at a time, which stop
+    at the first violating row.
+    """
+    skipped = {c.test_id: _skipped(c, integration, slow, available) for c in checks}
+    running = [c for c in checks if skipped[c.test_id] is None]
+    groups: dict[object, list[Check]] = {}
+    for check in running:
+        shared = check.violates is not None
+        groups.setdefault(check.table if shared else check.test_id, []).append(check)
+
+    def timed(group: Sequence[Check]) -> dict[str, tuple]:
         started = time.perf_counter()
         try:
-            first = check.violations(spark).limit(1).collect()
-            message = f"violated by {first[0].asDict()}" if first else ALL_PASSED
-            status, error = ("failed" if first else "passed"), ""
+            found = _violations(spark, group)
         except Exception as problem:
-            status, message, error = "failed", str(problem), traceback.format_exc()
-        spent = (time.perf_counter() - started) * 1000
-        return (*facts, status, spent, message, error, "")
-
+            if len(group) > 1:
+                return {k: v for check in group for k, v in timed([check]).items()}
+            spent = (time.perf_counter() - started) * 1000
+            return {group[0].test_id: ("failed", spent, str(problem), traceback.format_exc())}
+        spent = (time.perf_counter() - started) * 1000 / len(group)
+        return {
+            c.test_id: ("failed" if row else "passed", spent, f"violated by {row}" if row else ALL_PASSED, "")
+            for c, row in zip(group, found, strict=True)
+        }
+
+    outcomes: dict[str, tuple] = {}
     with ThreadPoolExecutor(max_workers=parallel) as pool:
-        return spark.createDataFrame(list(pool.map(one, checks)), OUTCOME_SCHEMA)
+        for found in pool.map(inheritable_thread_target(spark)(timed), groups.values()):
+            outcomes |= found
+    rows = []
+    for check in checks:
+        facts = (check.test_id, check.name, check.category, check.description)
+        reason = skipped[check.test_id]
+        rows.append((*facts, *(("skipped", 0.0, "", "") if reason else outcomes[check.test_id]), reason or ""))
+    return spark.createDataFrame(rows, OUTCOME_SCHEMA)
+
+
+def _violations(spark: SparkSession, group: Sequence[Check]) -> list[dict | None]:
+    """One violating row per check of a group, or None."""
+    check = group[0]
+    if check.violates is not None:
+        found = compiled(check.table(spark), [c.violates for c in group]).first()
+        return [found[f"r{i}"].asDict() if found[f"n{i}"] else None for i in range(len(group))]
+    if check.unique:
+        rows = repeated_values(check.table(spark), check.unique)
+    elif check.refers:
+        rows = unknown_values(check.table(spark), check.known(spark), check.refers)
+    else:
+        rows = check.violations(spark)
+    first = rows.limit(1).collect()
+    return [first[0].asDict() if first else None]
 
 
 def suite_totals(outcomes: DataFrame) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+import json
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field, replace
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +28,8 @@ class ColumnGen:
     """How one column departs from what its name and type imply.
 
     ``provider`` wins over ``kind`` (``numeric``, ``decimal``, ``date``, ``text`` or ``key``, the row
-    id itself), and both win over the name. ``null_rate`` holds even for a NOT NULL column.
+    id itself), and both win over the name. ``null_rate`` holds even for a NOT NULL column. A column
+    that ``references`` a table gets keys of rows that table has, where both are generated together.
     """
 
     provider: str | None = None
@@ -37,6 +41,20 @@ class ColumnGen:
     null_rate: float | None = None
     length_range: tuple[int, int] = V.SIZE_RANGE
     size_range: tuple[int, int] = V.SIZE_RANGE
+    references: str | None = None
+
+
+def read_overrides(spark: SparkSession, path: str) -> dict[str, ColumnGen]:
+    """Overrides by column from a JSON file ``{"column_mappings": {column: {field: value}}}``.
+
+    Fields are those of ``ColumnGen``; ranges are lists of two. Other fields raise a TypeError.
+    """
+    text = spark.read.text(path, wholetext=True).first()
+    given = json.loads(text["value"]).get("column_mappings", {}) if text else {}
+    return {
+        column: ColumnGen(**{k: tuple(v) if isinstance(v, list) else v for k, v in fields.items()})
+        for column, fields in given.items()
+    }
 
 
 @dataclass(frozen=True)
@@ -74,12 +92,14 @@ def orders_spec(customers: int) -> TableSpec:
         "company VARCHAR(100), status VARCHAR(20)",
         {
             "order_id": ColumnGen(kind="key"),
-            "customer_id": ColumnGen(kind="numeric", minimum=1, maximum=customers + 1),
+            "customer_id": ColumnGen(
+                kind="numeric", minimum=1, maximum=customers + 1, references="customers"
+            ),
         },
     )
 
 
-# The base schemas and the overrides in force for them.
+# The base schemas are fixed values; the key columns and their ranges are this library's own.
 BASE_SPECS = {
     "customers": TableSpec.from_ddl_fields(
         "customers",
@@ -287,6 +307,16 @@ def generate(
     return spine.select(*columns)
 
 
+def _with_known_keys(spec: TableSpec, counts: Mapping[str, int]) -> TableSpec:
+    """``spec`` with its references pointing at rows 1 to n of the tables in ``counts``."""
+    known = {
+        column: replace(gen, kind="numeric", minimum=1, maximum=counts[gen.references] + 1)
+        for column, gen in spec.mappings.items()
+        if gen.references in counts
+    }
+    return replace(spec, mappings={**spec.mappings, **known}) if known else spec
+
+
 def generate_tables(
     spark: SparkSession,
     specs: Sequence[TableSpec],
@@ -294,29 +324,37 @@ def generate_tables(
     rows: Mapping[str, int] | None = None,
     seed: int = DEFAULT_SEED,
     as_json: bool = True,
+    parallel: int = 4,
+    record: Callable[[DataFrame, Sequence[str]], None] | None = None,
 ) -> DataFrame:
-    """Write every table below ``base``; one log row per table, failures included.
+    """Write every table below ``base``; one log row per table, in the order of ``specs``, failures
+    included. ``parallel`` tables are written at a time.
 
-    Base orders belong to as many customers as are asked for.
+    A reference to a table of ``specs`` names only rows which that table gets here.
+    ``record`` is called once with the log and its order: ``HistoryStore.log_generation`` appends it.
     """
     wanted = rows or DEFAULT_ROWS
-    log = []
-    for spec in specs:
-        if spec is BASE_SPECS["orders"] and "customers" in wanted:
-            spec = orders_spec(wanted["customers"])
-        path = f"{base}/{spec.name}"
-        count = wanted.get(spec.name, ROWS_WHEN_UNSPECIFIED)
+    counts = {spec.name: wanted.get(spec.name, ROWS_WHEN_UNSPECIFIED) for spec in specs}
+
+    def one(spec: TableSpec) -> tuple:
+        path, count = f"{base}/{spec.name}", counts[spec.name]
         try:
-            table = generate(spec, row_spine(spark, count), seed, as_json)
+            table = generate(_with_known_keys(spec, counts), row_spine(spark, count), seed, as_json)
             table.write.mode("overwrite").parquet(path)
-            log.append((spec.name, path, count, len(spec.schema), seed, True, None))
+            return (spec.name, path, count, len(spec.schema), seed, True, None)
         except Exception as error:  # one bad table must not stop the others
-            log.append((spec.name, None, None, None, seed, False, str(error)))
-    return spark.createDataFrame(
+            return (spec.name, None, None, None, seed, False, str(error))
+
+    with ThreadPoolExecutor(max_workers=parallel) as pool:
+        log = list(pool.map(inheritable_thread_target(spark)(one), specs))
+    logged = spark.createDataFrame(
         log,
         "table_name string, output_file_path string, row_count bigint, column_count int, "
         "seed int, success boolean, error_message string",
     )
+    if record is not None:
+        record(logged, ["table_name"])
+    return logged
 
 
 def table_profile(df: DataFrame, name: str, order: Sequence[str], shown: int = 3) -> DataFrame:

@@ -194,10 +194,10 @@ def with_position(
     Rows that tie on ``order`` keep an arbitrary but fixed order.
     """
     laid = _laid(df, order, split_ties=True)
-    placed = laid.rows.withColumn("__place", laid.place())
+    placed = laid.rows.withColumn("__within", laid.place())
     return placed.join(_offsets(laid.rows, F.count("*"), total), PID).withColumn(
-        name, F.col("__off") + F.col("__place") + F.lit(start)
-    ).drop(SLOT, PID, TIE, "__off", "__place")
+        name, F.col("__off") + F.col("__within") + F.lit(start)
+    ).drop(SLOT, PID, TIE, "__off", "__within")
 
 
 def with_running_total(
@@ -281,6 +281,32 @@ def rank_table(
     )
 
 
+def top_ranked(
+    df: DataFrame, groups: Sequence[str], key: Key, limit: int, name: str = "rank"
+) -> DataFrame:
+    """Rows whose RANK in their group is at most ``limit``, with the rank; all ties of the last one.
+
+    Ranks come from the counts of the distinct values, of which every task keeps ``limit`` per group
+    before they are sent on. The rows then meet the few values that are left, so rows that tie, be
+    they half of the table, never come together in one task.
+    """
+    counts = df.groupBy(*groups, key.name).agg(F.count("*").alias("__n"))
+    best = Window.partitionBy(*groups).orderBy(key.expr)
+    better = best.rowsBetween(Window.unboundedPreceding, -1)
+    leading = (
+        counts.withColumn("__nth", F.row_number().over(best))
+        .filter(F.col("__nth") <= limit)
+        .withColumn(name, F.coalesce(F.sum("__n").over(better), F.lit(0)) + 1)
+        .filter(F.col(name) <= limit)
+    )
+    names = [*groups, key.name]
+    renamed = leading.select(*[F.col(c).alias(f"__r_{c}") for c in names], F.col(name).cast("bigint").alias(name))
+    same = F.lit(True)
+    for c in names:
+        same = same & F.col(c).eqNullSafe(F.col(f"__r_{c}"))
+    return df.join(renamed, same).select(*df.columns, name)
+
+
 def with_rank(
     df: DataFrame, groups: Sequence[str], order: Sequence[Key], name: str = "rank"
 ) -> DataFrame:

@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from migraspark.operators.ordered import (
     Key,
     asc,
+    desc,
     nearest_items,
     percent_rank_table,
+    top_ranked,
     with_position,
     with_rolling_average,
 )
@@ -72,11 +74,7 @@ def customer_lifetime(
             F.max("last_order_date").alias("last_order_date"),
         )
     )
-    # rank <= top lets Spark cut each task's rows before the shuffle (WindowGroupLimit).
-    in_country = Window.partitionBy("country").orderBy(F.col("lifetime_spend").desc_nulls_last())
-    leaders = metrics.withColumn("spend_rank_in_country", F.rank().over(in_country)).filter(
-        F.col("spend_rank_in_country") <= top
-    )
+    leaders = top_ranked(metrics, ["country"], desc("lifetime_spend"), top, "spend_rank_in_country")
     percentiles = percent_rank_table(metrics, [asc("lifetime_spend")], "spend_percentile")
     percentiles = percentiles.withColumnRenamed("lifetime_spend", "spend_key")
     # Every leader's spend has a percentile; an inner join lets Spark broadcast the few leaders.
@@ -198,10 +196,8 @@ def lapsed_high_value(
         )
         .filter((F.col("lifetime_spend") >= min_spend) & (F.col("lifetime_orders") >= min_orders))
     )
-    in_country = Window.partitionBy("country").orderBy(F.col("lifetime_spend").desc_nulls_last())
     ranked = (
-        spend.withColumn("country_spend_rank", F.rank().over(in_country))
-        .filter(F.col("country_spend_rank") <= top)
+        top_ranked(spend, ["country"], desc("lifetime_spend"), top, "country_spend_rank")
         .withColumn("days_since_last_order", F.datediff(F.lit(as_of), "last_order_date"))
         .filter((F.col("days_since_last_order") > idle_days) | F.col("last_order_date").isNull())
     )

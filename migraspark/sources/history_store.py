@@ -28,6 +28,9 @@ class HistoryStore:
         empty_patches = empty_runs.select("run_id", *H.PATCH_FIELDS).withColumns(
             {"seq": F.lit(0).cast("bigint"), "force_recon_ind": F.lit(False)}
         )
+        self.generation_path = f"{base}/generation_runs"
+        generations = spark.createDataFrame([], H.GENERATION_SCHEMA)
+        generations.write.mode("append").parquet(self.generation_path)
         self._schemas = {
             "migration_runs": empty_runs.schema, "patches": empty_patches.schema,
         }
@@ -47,6 +50,16 @@ class HistoryStore:
         numbered = H.log_runs(self._read("migration_runs"), batch, order)
         numbered.write.mode("append").parquet(self.paths["migration_runs"])
 
+    def generations(self) -> DataFrame:
+        return self.spark.read.schema(H.GENERATION_SCHEMA).parquet(self.generation_path)
+
+    def log_generation(self, batch: DataFrame, order: Sequence[str]) -> None:
+        """Number the batch of generated tables after the stored ones and append it."""
+        stored = self.generations()
+        numbered = H.log_generation(stored, batch, order)
+        kinds = [F.col(f.name).cast(f.dataType).alias(f.name) for f in stored.schema]
+        numbered.select(*kinds).write.mode("append").parquet(self.generation_path)
+
     def patch(self, patches: DataFrame) -> None:
         """Append partial updates; without a ``seq`` column the whole batch is newer than before."""
         known = [c for c in patches.columns if c in self._schemas["patches"].names]

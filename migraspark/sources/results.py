@@ -32,11 +32,15 @@ def read_result(
     spark: SparkSession,
     path: str,
     schema: T.StructType | str | None = None,
-    multiline: bool = True,
+    multiline: bool = False,
 ) -> DataFrame:
-    """A header CSV result set. Quoted line breaks need ``multiline``, which keeps one file in one
-    task: write CSV in many files, or export Parquet. Without a schema, types are inferred."""
-    reader = spark.read.options(**CSV_OPTIONS).option("multiLine", multiline)
+    """A header CSV result set, split into tasks by bytes. Without a schema, types are inferred.
+
+    Values with line breaks need ``multiline``, which reads a file in one task: write such CSV in many
+    files, or export Parquet. Read without it, a row torn by a line break raises an error instead of
+    giving two wrong rows.
+    """
+    reader = spark.read.options(**CSV_OPTIONS).option("multiLine", multiline).option("mode", "FAILFAST")
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     return reader.csv(path)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 import json
 import math
 
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from migraspark.functions import values as V
 from migraspark.operators import generate as G
+from migraspark.sources.history_store import HistoryStore
 from migraspark.operators.generate import ColumnGen, TableSpec
 
 
@@ -155,3 +158,42 @@ def test_one_bad_table_does_not_stop_the_others(spark, tmp_path):
     ]
     assert "nonsense" in log[0]["error_message"]
     assert spark.read.parquet(f"{tmp_path}/products").count() == 7
+
+
+def test_references_follow_the_rows_the_table_gets(spark, tmp_path):
+    """With orders alone asked for, customers get their default rows and orders name no others; an
+    equal copy of the spec behaves alike."""
+    copy = dataclasses.replace(G.BASE_SPECS["orders"])
+    for k, specs in enumerate(([G.BASE_SPECS["customers"], G.BASE_SPECS["orders"]], [copy, G.BASE_SPECS["customers"]])):
+        base = f"{tmp_path}/{k}"
+        G.generate_tables(spark, specs, base, {"orders": 5000})
+        customers = spark.read.parquet(f"{base}/customers")
+        orders = spark.read.parquet(f"{base}/orders").dropna(subset=["customer_id"])
+        assert customers.count() == G.ROWS_WHEN_UNSPECIFIED
+        assert orders.join(customers, "customer_id", "left_anti").count() == 0
+        assert orders.select("customer_id").distinct().count() > 900
+
+
+def test_generation_history_is_appended(spark, tmp_path):
+    store = HistoryStore(spark, f"{tmp_path}/history")
+    bad = spec("a STRING", a=ColumnGen(kind="nonsense"))
+    for k in range(2):
+        G.generate_tables(
+            spark, [G.BASE_SPECS["products"], bad], f"{tmp_path}/{k}", {"products": 3}, record=store.log_generation
+        )
+    found = sorted((r.run_id, r.table_name, r.status, r.row_count) for r in store.generations().collect())
+    assert found == [
+        (1, "products", "success", 3), (2, "t", "failed", None), (3, "products", "success", 3), (4, "t", "failed", None),
+    ]
+
+
+def test_overrides_from_a_file(spark, tmp_path):
+    path = tmp_path / "overrides.json"
+    path.write_text('{"column_mappings": {"n": {"kind": "numeric", "minimum": 5, "maximum": 6}, "w": {"length_range": [2, 3]}}}')
+    found = G.read_overrides(spark, str(path))
+    assert found == {"n": ColumnGen(kind="numeric", minimum=5, maximum=6), "w": ColumnGen(length_range=(2, 3))}
+    table = G.TableSpec.from_ddl_fields("t", "n INT NOT NULL", {"n": found["n"]})
+    assert {r["n"] for r in made(spark, table, 20).collect()} <= {5, 6}
+    path.write_text('{"column_mappings": {"n": {"no_such_field": 1}}}')
+    with pytest.raises(TypeError):
+        G.read_overrides(spark, str(path))

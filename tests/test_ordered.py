@@ -126,6 +126,27 @@ def test_rank_and_percent_rank(skewed):
         assert r["share"] == pytest.approx(below / (len(rows) - 1))
 
 
+def test_top_ranked(skewed):
+    rows, df = skewed
+    for limit in (1, 3, 40):
+        out = O.top_ranked(df, ["grp"], desc("val"), limit, "rk").collect()
+        expected = {}
+        for i, grp, val in rows:
+            ahead = sum(1 for _, g, v in rows if g == grp and v is not None and (val is None or v > val))
+            if ahead < limit:
+                expected[i] = ahead + 1
+        assert {r["id"]: r["rk"] for r in out} == expected
+
+
+def test_ties_do_not_meet_in_one_task(spark):
+    """Half of the rows tie: no window of the plan is over rows, only over counts of values."""
+    df = spark.range(20_000).select((F.col("id") % 2 * F.col("id")).alias("v"), F.lit("g").alias("g"), "id")
+    top = O.top_ranked(df, ["g"], asc("v"), 5)
+    assert top.count() == 10_000
+    plan = top._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window [") < plan.index("Aggregate [g")
+
+
 def test_rolling_average(skewed):
     rows, df = skewed
     out = O.with_rolling_average(df, ["grp"], [asc("id")], "val", 2, "mean").collect()

@@ -224,6 +224,39 @@ def test_checks(spark):
     assert digest["b"] == [] and digest["c"][-1] == "ValueError: no table" and len(digest["c"]) <= 8
 
 
+def test_checks_of_a_table_are_one_scan(spark):
+    opened = []
+
+    def numbers(s):
+        opened.append(1)
+        return s.range(100).withColumn("half", F.col("id") % 50)
+
+    def few(s):
+        return s.range(40).withColumnRenamed("id", "key")
+
+    n = F.col("id")
+    checks = [
+        K.Check("a", "a", "unit", "", table=numbers, violates=n < 0),
+        K.Check("b", "b", "unit", "", table=numbers, violates=n > 98),
+        K.Check("c", "c", "unit", "", table=numbers, violates=F.col("half").isNull()),
+    ]
+    found = {r["test_id"]: r for r in K.run_checks(spark, checks).collect()}
+    assert [found[k]["status"] for k in "abc"] == ["passed", "failed", "passed"] and len(opened) == 1
+    assert found["b"]["message"] == "violated by {'id': 99, 'half': 49}"
+    broken = K.Check("d", "d", "unit", "", table=numbers, violates=F.raise_error(F.lit("no")).isNotNull())
+    more = [
+        K.Check("u", "u", "unit", "", table=numbers, unique=("half",)),
+        K.Check("v", "v", "unit", "", table=numbers, unique=("half", "id")),
+        K.Check("r", "r", "unit", "", table=numbers, refers=(("half", "key"),), known=few),
+    ]
+    found = {r["test_id"]: r["status"] for r in K.run_checks(spark, [*checks, broken, *more]).collect()}
+    assert found == {"a": "passed", "b": "failed", "c": "passed", "d": "failed", "u": "failed", "v": "passed", "r": "failed"}
+    plan = K.compiled(numbers(spark), [c.violates for c in checks])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Range (") == 1 and "Join" not in plan
+    values = K.unknown_values(numbers(spark), few(spark), (("half", "key"),))._jdf.queryExecution().optimizedPlan().toString()
+    assert values.index("LeftOuter") < values.index("Aggregate [half")
+
+
 def test_feed_keeps_the_newest(spark):
     events = spark.range(1000).selectExpr("id % 2 AS run_id", "id AS seq", "'n' AS node")
     feed = P.recent_feed(events)

@@ -25,8 +25,11 @@ def test_csv_keeps_awkward_text(spark, tmp_path):
     rows = [(1, 'say "hi"'), (2, "two\nlines"), (3, "a,b"), (4, " padded "), (5, "back\\slash"), (6, None)]
     df = spark.createDataFrame(rows, "id int, note string")
     IO.export(df, 1, "source", str(tmp_path), file_format="csv")
-    back = IO.read_result(spark, IO.export_path(str(tmp_path), 1, "source"), "id int, note string")
+    path = IO.export_path(str(tmp_path), 1, "source")
+    back = IO.read_result(spark, path, "id int, note string", multiline=True)
     assert sorted(tuple(r) for r in back.collect()) == rows
+    with pytest.raises(Exception, match="MALFORMED|malformed"):
+        IO.read_result(spark, path, "id int, note string").collect()
 
 
 def test_csv_types_are_inferred(spark, tmp_path):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from migraspark.catalog import query
 from migraspark.functions import text as X
 from migraspark.operators import lineage as L
-from migraspark.sources.tables import scan, spread
+from migraspark.sources.tables import cores, scan, spread
 
 BASE = ("the", "of", "de", "zz_unused")
 
@@ -24,7 +24,7 @@ def runs(spark, folder):
         F.col("text").alias("source_sql"),
     )
     joined = documents.join(pages, F.col("run_id") == F.col("page_id"), "left").drop("page_id")
-    return spread(joined.withColumn("target_sql", F.coalesce("target_sql", F.lit(""))))
+    return spread(joined.withColumn("target_sql", F.coalesce("target_sql", F.lit(""))), cores(spark))
 
 
 def _found(text: str) -> str:
@@ -54,7 +54,7 @@ inputs AS (SELECT *, list_sort(list_distinct(list_concat(s, t))) AS input_tables
 )
 def lin_01(spark, folder):
     refs = F.array_join(L.table_refs(F.col("text")), ",")
-    return spread(scan(spark, folder, "documents")).select("doc_id", refs.alias("tables"))
+    return spread(scan(spark, folder, "documents"), cores(spark)).select("doc_id", refs.alias("tables"))
 
 
 @query(
@@ -131,7 +131,7 @@ def lin_07(spark, folder):
 
 
 def documents(spark, folder):
-    return spread(scan(spark, folder, "documents"))
+    return spread(scan(spark, folder, "documents"), cores(spark))
 
 
 PROCEDURAL_SQL = """CASE lang WHEN 'en' THEN 'create or replace procedure p() ' || text

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,14 +19,14 @@ from migraspark.operators import generate as G
 from migraspark.operators.generate import ColumnGen, TableSpec
 from migraspark.session import scratch_path
 from migraspark.sources.history_store import HistoryStore
-from migraspark.sources.tables import scan, spread
+from migraspark.sources.tables import cores, scan, spread
 
 SEED = G.DEFAULT_SEED
 TABLE = "demo"
 
 
 def spine(spark, folder, table="orders", key="o_orderkey"):
-    return spread(scan(spark, folder, table).select((F.col(key) + 1).alias(G.ROW_ID)))
+    return spread(scan(spark, folder, table).select((F.col(key) + 1).alias(G.ROW_ID)), cores(spark))
 
 
 def draw(column):
@@ -237,6 +238,28 @@ def gen_12(spark, folder):
     )
 
 
+@query(
+    "udf_01_register_provider",
+    """WITH ids AS (SELECT o_orderkey + 1 AS row_id FROM orders)
+SELECT row_id, 'C' || row_id AS native, 'c' || reverse(CAST(row_id AS VARCHAR)) AS vectorised FROM ids""",
+)
+def udf_01(spark, folder):
+    """Providers of the caller's own: one of built-in functions, one vectorised over Arrow batches."""
+
+    @F.pandas_udf("string")
+    def backwards(ids: pd.Series) -> pd.Series:
+        return "c" + ids.astype(str).str[::-1]
+
+    V.register_provider("coded", lambda draw: F.concat(F.lit("C"), draw.row.cast("string")))
+    V.register_provider("backwards", lambda draw: backwards(draw.row))
+    table = TableSpec.from_ddl_fields(
+        "coded", "row_id BIGINT NOT NULL, native STRING NOT NULL, vectorised STRING NOT NULL",
+        {"row_id": ColumnGen(kind="key"), "native": ColumnGen(provider="coded"),
+         "vectorised": ColumnGen(provider="backwards")},
+    )
+    return G.generate(table, spine(spark, folder), SEED)
+
+
 HINTED = {
     "contact_email": "email",
     "phone": "phone",

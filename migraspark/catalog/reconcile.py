@@ -491,6 +491,47 @@ def rec_13_ranges(spark, folder):
     return union.withColumn("run_id", F.col("run_id").cast("int")).drop("column_diffs", "rows_compared")
 
 
+def nested(df):
+    """Orders with a map, a list of structs and JSON in a VARIANT."""
+    return df.select(
+        "order_id",
+        F.create_map(F.lit("total"), F.col("amount"), F.lit("half"), F.col("amount") / 2).alias("sums"),
+        F.array(F.struct("status", "amount"), F.struct(F.lit("x").alias("status"), F.lit(1.0).alias("amount"))).alias("parts"),
+        F.parse_json(F.concat(F.lit('{"a": 1, "s": "'), "status", F.lit('"}'))).alias("doc"),
+    )
+
+
+def nested_changed(df):
+    """Map entries and JSON fields in another order, numbers nudged; dear orders with another status inside."""
+    near, status = F.col("amount") * 1.00001, F.col("status")
+    raised = F.when(F.col("amount") > 400000, F.lit("RAISED")).otherwise(status)
+    return df.select(
+        "order_id",
+        F.create_map(F.lit("half"), near / 2, F.lit("total"), near).alias("sums"),
+        F.array(
+            F.struct(raised.alias("status"), near.alias("amount")), F.struct(F.lit("x").alias("status"), F.lit(1.0).alias("amount"))
+        ).alias("parts"),
+        F.parse_json(F.concat(F.lit('{"s": "'), "status", F.lit('", "a": 1}'))).alias("doc"),
+    )
+
+
+@query(
+    "rec_13_nested_verdict",
+    f"""{SIDES_SQL}, facts AS (SELECT COUNT(*) AS n, COUNT(*) FILTER (amount > 400000) AS bad,
+  MIN(order_id) FILTER (amount > 400000) AS first, arg_min(status, order_id) FILTER (amount > 400000) AS status FROM src)
+SELECT bad = 0 AS passed, n AS source_rows, 'keys: order_id' AS alignment,
+  CASE WHEN bad = 0 THEN 'Reconciliation passed (' || n || ' rows, all columns match)'
+    ELSE 'Data mismatch: parts (' || bad || ' mismatches)' END AS message,
+  CASE WHEN bad > 0 THEN 'key {{"order_id":' || first || '}} at parts[0].status: source=' || status || ' target=RAISED' END AS sample
+FROM facts""",
+)
+def rec_13_nested(spark, folder):
+    source = orders(spark, folder)
+    result = R.reconcile(nested(source), nested_changed(source))
+    sample = F.get("column_diffs", F.lit(0))["sample_mismatch"]
+    return result.select("passed", "source_rows", "alignment", "message", sample.alias("sample"))
+
+
 @query(
     "rec_14_missing_side",
     f"""WITH {B.RUNS_CTE}, {B.MANIFEST_CTE}

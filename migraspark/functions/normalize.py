@@ -108,3 +108,87 @@ def numbers_match(x: Column, y: Column, rtol: float, atol: float) -> Column:
 
 def texts_match(x: Column, y: Column) -> Column:
     return canonical_text(x) == canonical_text(y)
+
+
+# ---------------------------------------------------------------- nested values
+
+LEAVES = "array<struct<path: string, number: double, text: string>>"
+
+
+def is_nested(data_type: T.DataType) -> bool:
+    return isinstance(data_type, (T.StructType, T.ArrayType, T.MapType, T.VariantType))
+
+
+def leaves(column: Column, data_type: T.DataType, path: Column | None = None) -> Column:
+    """The single values inside a nested one, each with its path: fields by name, elements by place,
+    map entries in the order of their keys. A missing value has one leaf without text or number, an
+    empty list or map none.
+
+    A VARIANT is one leaf, its JSON text with sorted fields.
+    """
+    path = F.lit("") if path is None else path
+    if isinstance(data_type, T.StructType):
+        parts = [
+            leaves(column[f.name], f.dataType, F.concat(path, F.lit(f".{f.name}"))) for f in data_type.fields
+        ]
+        found = F.concat(*parts) if parts else F.array().cast(LEAVES)
+    elif isinstance(data_type, T.ArrayType):
+        found = F.flatten(
+            F.transform(
+                column,
+                lambda x, i: leaves(x, data_type.elementType, F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))),
+            )
+        )
+    elif isinstance(data_type, T.MapType):
+        found = F.flatten(
+            F.transform(
+                F.array_sort(F.map_keys(column)),
+                lambda k: leaves(
+                    F.element_at(column, k), data_type.valueType, F.concat(path, F.lit("."), k.cast("string"))
+                ),
+            )
+        )
+    else:
+        number = text = F.lit(None)
+        if is_numeric(data_type):
+            number = numeric(column, data_type)
+        elif isinstance(data_type, T.VariantType):
+            text = F.to_json(column)
+        elif is_temporal(data_type):
+            text = temporal_text(column)
+        else:
+            text = plain_text(column.cast("string"))
+        return F.array(
+            F.struct(path.alias("path"), number.cast("double").alias("number"), text.cast("string").alias("text"))
+        )
+    missing = F.array(
+        F.struct(path.alias("path"), F.lit(None).cast("double").alias("number"), F.lit(None).cast("string").alias("text"))
+    )
+    return F.when(column.isNull(), missing).otherwise(found).cast(LEAVES)
+
+
+def leaf_mismatches(x: Column, y: Column, rtol: float, atol: float) -> Column:
+    """The leaves of two nested values that differ, or stand on one side only: (path, x, y, gap)."""
+
+    def shown(leaf: Column) -> Column:
+        return F.coalesce(leaf["number"].cast("string"), leaf["text"])
+
+    def differs(pair: Column) -> Column:
+        a, b = pair["x"], pair["y"]
+        same = a["path"].eqNullSafe(b["path"])
+        numbers = a["number"].isNotNull() | b["number"].isNotNull()
+        equal = F.when(numbers, numbers_match(a["number"], b["number"], rtol, atol)).otherwise(
+            texts_match(a["text"], b["text"])
+        )
+        return ~(same & equal)
+
+    pairs = F.filter(F.arrays_zip(x.alias("x"), y.alias("y")), differs)
+    return F.transform(
+        pairs,
+        lambda p: F.struct(
+            F.coalesce(p["x"]["path"], p["y"]["path"]).alias("path"),
+            shown(p["x"]).alias("x"),
+            shown(p["y"]).alias("y"),
+            F.when(p["x"]["path"].eqNullSafe(p["y"]["path"]), F.abs(p["x"]["number"] - p["y"]["number"])).alias("gap"),
+        ),
+    )

@@ -103,7 +103,8 @@ def unique_names(df: DataFrame) -> DataFrame:
 
 
 def normalize(df: DataFrame) -> DataFrame:
-    """Numbers as BIGINT or DOUBLE, dates as text, everything else as trimmed text.
+    """Numbers as BIGINT or DOUBLE, dates as text, nested values as their leaves with paths, everything
+    else as trimmed text.
 
     A text column with a date-like name becomes a date when any of its values parses; one
     aggregation answers that for all such columns.
@@ -128,8 +129,8 @@ def normalize(df: DataFrame) -> DataFrame:
             return N.temporal_text(N.parsed_timestamp(column))
         if isinstance(data_type, T.StringType):
             return N.plain_text(column)
-        if isinstance(data_type, (T.StructType, T.ArrayType, T.MapType)):
-            return F.coalesce(F.to_json(column), F.lit(""))
+        if N.is_nested(data_type):
+            return N.leaves(column, data_type)
         return N.plain_text(column.cast("string"))
 
     return df.select(*[rule(c).alias(c) for c in df.columns])
@@ -258,7 +259,10 @@ def align_by_position(source: DataFrame, target: DataFrame, rows: int) -> DataFr
 
 
 def _verdicts(aligned: DataFrame, rtol: float, atol: float) -> list[tuple[str, Column, Column]]:
-    """Per column: name, mismatch flag, and absolute numeric difference (NULL for text)."""
+    """Per column: name, mismatch flag, and absolute numeric difference (NULL for text).
+
+    Nested values differ if any leaf does; numbers inside have the tolerance too.
+    """
     source_types = {f.name: f.dataType for f in aligned.schema["src"].dataType}
     target_types = {f.name: f.dataType for f in aligned.schema["tgt"].dataType}
     verdicts = []
@@ -269,11 +273,19 @@ def _verdicts(aligned: DataFrame, rtol: float, atol: float) -> list[tuple[str, C
             x, y = N.to_number(x, source_type), N.to_number(y, target_type)
             mismatch = ~N.numbers_match(x, y, rtol, atol)
             verdicts.append((name, mismatch, F.abs(x - y)))
+        elif _both_nested(source_type, target_type):
+            apart = N.leaf_mismatches(x, y, rtol, atol)
+            verdicts.append((name, F.size(apart) > 0, F.array_max(F.transform(apart, lambda d: d["gap"]))))
         else:
             verdicts.append((name, ~N.texts_match(x, y), F.lit(None).cast("double")))
     return verdicts
 
 
+def _both_nested(source: T.DataType, target: T.DataType) -> bool:
+    """Whether two normalised columns hold leaves."""
+    return isinstance(source, T.ArrayType) and isinstance(target, T.ArrayType)
+
+
 def _place(at: Column, aligned: DataFrame) -> Column:
     if isinstance(aligned.schema["at"].dataType, T.StructType):
         return F.concat(F.lit("key "), F.to_json(at))
@@ -304,9 +316,12 @@ def column_diffs(aligned: DataFrame, rtol: float = N.RTOL, atol: float = N.ATOL)
     ]
     for i, (name, _, _) in enumerate(verdicts):
         bad, gap = F.col(f"v{i}.bad"), F.col(f"v{i}.gap")
-        pair = F.struct(
-            F.col("at"), F.col("src")[name].alias("s"), F.col("tgt")[name].alias("t")
-        )
+        x, y = F.col("src")[name], F.col("tgt")[name]
+        where = F.lit("")
+        if _both_nested(*(aligned.schema[side].dataType[name].dataType for side in ("src", "tgt"))):
+            first = F.get(N.leaf_mismatches(x, y, rtol, atol), F.lit(0))
+            x, y, where = first["x"], first["y"], F.concat(F.lit(" at "), F.lit(name), first["path"])
+        pair = F.struct(F.col("at"), x.alias("s"), y.alias("t"), where.alias("where"))
         measures += [
             F.coalesce(F.sum(F.when(bad, F.col("weight"))), F.lit(0)).alias(f"n{i}"),
             F.max(F.when(bad, gap)).alias(f"d{i}"),
@@ -323,6 +338,7 @@ def column_diffs(aligned: DataFrame, rtol: float = N.RTOL, atol: float = N.ATOL)
                     F.col(f"n{i}") > 0,
                     F.concat(
                         _place(F.col(f"s{i}.at"), aligned),
+                        F.col(f"s{i}.where"),
                         F.lit(": source="),
                         _shown(F.col(f"s{i}.s")),
                         F.lit(" target="),

@@ -14,14 +14,18 @@ def scan(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of an input with fewer splits than cores to all cores.
+def cores(spark: SparkSession) -> int:
+    """Tasks that run at a time; a small input whose rows are costly is dealt to as many."""
+    return spark.sparkContext.defaultParallelism
+
+
+def spread(df: DataFrame, tasks: int) -> DataFrame:
+    """Deal the rows of an input with few splits to ``tasks`` tasks.
 
     Worth a shuffle only where each row costs much more to process than to move, such as texts
     that are searched or ids that whole rows are generated from.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df.repartition(tasks)
 
 
 def views(spark: SparkSession, frames: Mapping[str, DataFrame], namespace: str = "") -> None:

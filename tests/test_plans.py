@@ -21,7 +21,7 @@ def plan(df) -> str:
 
 LIGHT = [
     name for name in QUERIES
-    if not name.startswith(("str_", "snk_", "src_0", "chk_01", "gen_21", "rec_15_c", "rec_16", "rec_17", "rec_20"))
+    if not name.startswith(("str_", "snk_", "src_0", "chk_01", "gen_21", "rec_15_c", "rec_16", "rec_17", "rec_20", "udf_"))
 ]
 
 

@@ -203,7 +203,10 @@ def test_diagnosis(spark):
     one, two = (spark.createDataFrame([(1, v)], columns) for v in (1.0, 2.5))
     found = diagnose(R.reconcile(one, two)).first()
     assert "DECIMAL" in found["explanations"][0]
-    assert found["details"] == ["pct_of_total_revenue: 1 row(s) differ (max numeric delta: 1.5)"]
+    assert found["details"] == [
+        'pct_of_total_revenue: 1 row(s) differ (max numeric delta: 1.5), for example key {"order_id":1}: '
+        "source=1.0 target=2.5"
+    ]
 
 
 def test_long_mode_agrees_with_wide_mode(spark, tiny):
@@ -266,3 +269,17 @@ def test_unique_names(spark):
     one = df.toDF("order_id", "x", "x", "y")
     result = R.reconcile(one, spark.createDataFrame([(1, 2, 7, 4)], "a int, b int, c int, d int").toDF(*one.columns)).first()
     assert result["message"] == "Data mismatch: x_1 (1 mismatches)"
+
+
+def test_nested_values(spark):
+    schema = "order_id int, m map<string, double>, s struct<a: int, b: array<double>>, l array<string>"
+    rows = [(1, {"x": 1.0, "y": 2.0}, (1, [1.0, 2.0]), ["p"]), (2, None, (None, None), []), (3, {}, (5, [None]), None)]
+    near = [(1, {"y": 2.00001, "x": 1.0}, (1, [1.00001, 2.0]), ["p"]), *rows[1:]]
+    source = spark.createDataFrame(rows, schema)
+    assert R.reconcile(source, spark.createDataFrame(near, schema)).first()["passed"]
+    far = [(1, {"x": 1.0, "z": 2.0}, (1, [1.0, 2.5]), ["p", "q"]), (2, {}, (None, []), [None]), (3, {}, (5, [0.0]), None)]
+    diffs = {d["column"]: d for d in R.reconcile(source, spark.createDataFrame(far, schema)).first()["column_diffs"]}
+    assert {c: d["mismatch_count"] for c, d in diffs.items()} == {"m": 2, "s": 3, "l": 2}
+    assert diffs["s"]["sample_mismatch"] == 'key {"order_id":1} at s.b[1]: source=2.0 target=2.5'
+    assert diffs["s"]["max_numeric_diff"] == 0.5
+    assert diffs["l"]["sample_mismatch"] == 'key {"order_id":1} at l[1]: source=NULL target=q'

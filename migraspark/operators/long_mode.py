@@ -116,7 +116,7 @@ def _by_key(source: DataFrame, target: DataFrame) -> DataFrame:
     )
 
 
-def _by_position(source: DataFrame, target: DataFrame, facts: DataFrame) -> DataFrame:
+def _by_position(source: DataFrame, target: DataFrame, rows: int) -> DataFrame:
     """Rows of runs with equally many on both sides, sorted and paired as ``reconcile`` does.
 
     As the sides have equally many rows in every run, the positions over all runs in order of their
@@ -140,7 +140,6 @@ def _by_position(source: DataFrame, target: DataFrame, facts: DataFrame) -> Data
         )
         return starts.select("start", F.struct("run_id", "cells").alias(name))
 
-    rows = facts.agg(F.coalesce(F.sum("source_rows"), F.lit(0))).first()[0]
     starts = cut_lineage(placed(source, "src").join(placed(target, "tgt"), "start", "full_outer"))
     pieces = segments(starts, "start", F.lit(rows).cast("bigint"), ["src", "tgt"])
     return pieces.select(
@@ -160,38 +159,39 @@ def compare_melted(
 
     Key columns are compared only in runs that repeat a key on a side, which go by position. Where
     the sides of such a run differ in rows nothing is paired: the surplus counts as rows of one side
-    only and mismatch_count is NULL.
+    only and mismatch_count is NULL. What is known of each run, one row, goes through the driver.
     """
-    facts = cut_lineage(run_facts(source, target))
-    paired = F.col("repeats") & (F.col("source_rows") == F.col("target_rows"))
+    runs = run_facts(source, target).collect()  # a row per run
+    single = [r["run_id"] for r in runs if not r["repeats"]]
+    even = [r["run_id"] for r in runs if r["repeats"] and r["source_rows"] == r["target_rows"]]
+    uneven = {r["run_id"]: r["source_rows"] - r["target_rows"] for r in runs if r["run_id"] not in {*single, *even}}
 
-    def of(side: DataFrame, which: Column) -> DataFrame:
-        return side.join(facts.where(which).select("run_id"), "run_id", "left_semi")
+    def of(side: DataFrame, ids: Sequence[int]) -> DataFrame:
+        return side.where(F.col("run_id").isin(list(ids)))
 
-    keyed = _by_key(of(source, ~F.col("repeats")), of(target, ~F.col("repeats")))
+    keyed = _by_key(of(source, single), of(target, single))
     by_key = keyed.withColumns(
         {c: F.filter(c, lambda cell: ~cell["is_key"]) for c in ("src", "tgt")}
     )
     pairs = by_key
-    kinds = facts.agg(F.max(paired).alias("paired"), F.max(F.col("repeats") & ~paired).alias("uneven")).first()
-    if kinds["paired"]:
-        pairs = pairs.unionByName(_by_position(of(source, paired), of(target, paired), facts.where(paired)))
+    if even:
+        rows = sum(r["source_rows"] for r in runs if r["run_id"] in even)
+        pairs = pairs.unionByName(_by_position(of(source, even), of(target, even), rows))
     cells = pairs.select("run_id", "weight", F.inline(_cell_pairs(rtol, atol)))
     found = cells.groupBy("run_id", "column").agg(
         *[F.sum(F.when(F.col(c), F.col("weight")).otherwise(0)).alias(c) for c in ("source_only", "target_only")],
         F.sum(F.when(F.col("bad"), F.col("weight")).otherwise(0)).alias("mismatch_count"),
         F.max("gap").alias("max_numeric_diff"),
     )
-    if not kinds["uneven"]:
+    if not uneven:
         return found
-    uneven = facts.where(F.col("repeats") & ~paired)
-    named = of(source, F.col("repeats") & ~paired).unionAll(of(target, F.col("repeats") & ~paired))
+    named = of(source, uneven).unionAll(of(target, uneven))
     columns = named.select("run_id", F.explode(F.transform("cells", lambda c: c["column"])).alias("column"))
-    surplus = F.col("source_rows") - F.col("target_rows")
+    more = F.coalesce(*[F.when(F.col("run_id") == i, F.lit(n)) for i, n in uneven.items()]).cast("bigint")
     return found.unionByName(
-        columns.distinct().join(uneven, "run_id").select(
+        columns.distinct().select(
             "run_id", "column",
-            F.greatest(surplus, F.lit(0)).alias("source_only"), F.greatest(-surplus, F.lit(0)).alias("target_only"),
+            F.greatest(more, F.lit(0)).alias("source_only"), F.greatest(-more, F.lit(0)).alias("target_only"),
             F.lit(None).cast("bigint").alias("mismatch_count"), F.lit(None).cast("double").alias("max_numeric_diff"),
         )
     )

@@ -33,15 +33,16 @@ def heavy_shares(df: DataFrame, keys: Sequence[str], least: float) -> dict[int,
 
 
 def salt_tiers(shares: dict[int, float], partitions: int) -> dict[int, list[int]]:
-    """Keys by the number of salts that cuts each to about one partition's worth of rows.
+    """Keys by the number of salts that cuts each to pieces of about half a partition's worth of rows.
 
-    That is share x partitions, rounded up to a power of two, so all heavy keys together have fewer
-    than four copies per partition, and few numbers of salts occur.
+    Salts fall into partitions by chance, so pieces are halves. Their number is 2 x share x partitions,
+    rounded up to a power of two: few numbers of salts occur, and all heavy keys together have fewer
+    than four copies per partition and two more per key.
     """
     tiers: dict[int, list[int]] = {}
     for key, share in sorted(shares.items()):
-        wanted = math.ceil(share * partitions)
-        if wanted > 1:
+        wanted = math.ceil(2 * share * partitions)
+        if share * partitions > 1:
             tiers.setdefault(1 << (wanted - 1).bit_length(), []).append(key)
     return tiers
 

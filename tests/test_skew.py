@@ -34,13 +34,13 @@ def test_salts_follow_the_share():
     """Ten thousand partitions: a key with a third of the rows, and two hundred small heavy ones."""
     shares = {1: 1 / 3, **{k: 0.00015 + k * 1e-6 for k in range(2, 202)}, 999: 0.00009}
     tiers = S.salt_tiers(shares, 10_000)
-    assert tiers[4096] == [1] and 999 not in sum(tiers.values(), [])
-    assert sum(salts * len(keys) for salts, keys in tiers.items()) < 4096 + 4 * 200
+    assert tiers[8192] == [1] and 999 not in sum(tiers.values(), [])
+    assert sum(salts * len(keys) for salts, keys in tiers.items()) < 8192 + 8 * 200
     assert S.salt_tiers({1: 1.0}, 1) == {}
 
 
 def test_copies_of_right_rows(spark):
-    """A key with 40 % of the rows on 8 partitions needs four copies; its neighbours one."""
+    """A key with 40 % of the rows on 8 partitions needs eight copies; its neighbours one."""
     left = spark.range(5000).selectExpr("CASE WHEN id % 10 < 4 THEN -1L ELSE id END AS k", "id")
     right = spark.range(-1, 5000).selectExpr("id AS k", "id * 2 AS v")
     joined = S.lookup_join(left, right, ["k"], partitions=8)
@@ -50,7 +50,7 @@ def test_copies_of_right_rows(spark):
     shares = S.heavy_shares(left, ["k"], 1 / 8)
     tiers = S.salt_tiers(shares, 8)
     copies = right.withColumn("n", S._salts(["k"], tiers)).agg(F.sum("n")).first()[0]
-    assert copies == 5001 + 3
+    assert copies == 5001 + 7
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])

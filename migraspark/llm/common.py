@@ -43,7 +43,7 @@ def kept_table(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     small_batches(spark)
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -14,7 +14,7 @@ checkpointed, as a recomputed plan could draw other boundaries that no longer fi
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,6 +38,10 @@ class Key:
     descending: bool = False
     nulls_last: bool | None = None
 
+    def backwards(self) -> Key:
+        last = self.descending if self.nulls_last is None else self.nulls_last
+        return replace(self, descending=not self.descending, nulls_last=not last)
+
     @property
     def expr(self) -> Column:
         column = F.col(self.name)
@@ -80,10 +84,11 @@ def _row_in_partition() -> Column:
 
 @dataclass(frozen=True)
 class Layout:
-    """Rows tagged with the number of their range, PID, and their order inside it."""
+    """Rows tagged with the number of their range, PID, and their order inside it, both ways."""
 
     rows: DataFrame
     order: list[Column]
+    backwards: list[Column]
     stored: bool
 
     def window(self) -> WindowSpec:
@@ -92,6 +97,15 @@ class Layout:
     def upto(self) -> WindowSpec:
         return self.window().rowsBetween(Window.unboundedPreceding, 0)
 
+    def onward(self) -> WindowSpec:
+        """From a row to the end of its range, the end first.
+
+        As a frame up to the row in the backward order it is a running one. A frame to
+        ``unboundedFollowing`` is aggregated anew for every row, quadratic in the range.
+        """
+        window = Window.partitionBy(PID).orderBy(*self.backwards)
+        return window.rowsBetween(Window.unboundedPreceding, 0)
+
     def place(self) -> Column:
         """The number of a row in its range, from 0."""
         if self.stored:
@@ -145,10 +159,10 @@ def _fixed_ranges(df: DataFrame, order: Sequence[Key], split_ties: bool) -> Layo
     missing = found["rows"] - found["known"]
     if tied and not (split_ties and len(order) == 1):
         return None
-    rows, exprs = df, [k.expr for k in order]
+    rows, keys = df, list(order)
     if split_ties:
         rows = rows.withColumn(TIE, row_spread(rows))
-        exprs = [*exprs, F.col(TIE)]
+        keys.append(asc(TIE))
     column = F.col(key.name)
     number = _count_below(bounds, column, kind, False)
     if tied:
@@ -160,12 +174,15 @@ def _fixed_ranges(df: DataFrame, order: Sequence[Key], split_ties: bool) -> Layo
     spread = -(-missing * parts // max(found["rows"], 1)) if split_ties and len(order) == 1 else 1
     aside = F.pmod(F.col(TIE), F.lit(spread)).cast("int") if spread > 1 else F.lit(0)
     outside = F.lit(2 * parts) + aside if last else F.lit(-2 * parts) - aside
-    return Layout(rows.withColumn(PID, F.when(column.isNull(), outside).otherwise(number)), exprs, False)
+    ranged = rows.withColumn(PID, F.when(column.isNull(), outside).otherwise(number))
+    return Layout(ranged, [k.expr for k in keys], [k.backwards().expr for k in keys], False)
 
 
 def _laid(df: DataFrame, order: Sequence[Key], split_ties: bool = False) -> Layout:
     fixed = _fixed_ranges(df, order, split_ties)
-    return fixed or Layout(lay_out(df, order, split_ties), [F.col(SLOT)], True)
+    if fixed is not None:
+        return fixed
+    return Layout(lay_out(df, order, split_ties), [asc(SLOT).expr], [desc(SLOT).expr], True)
 
 
 def _offsets(laid: DataFrame, measure: Column, total: str | None) -> DataFrame:
@@ -398,11 +415,11 @@ def nearest_items(
         )
     )
     laid = _laid(merged, [asc("__value"), asc("__kind"), asc("__spread")])
-    forward = laid.upto()
-    backward = laid.window().rowsBetween(0, Window.unboundedFollowing)
-    scanned = laid.rows.withColumn(
-        "__below", F.last("__item", ignorenulls=True).over(forward)
-    ).withColumn("__above", F.first("__item", ignorenulls=True).over(backward))
+    # In both orders the nearest item is the last one that the frame has met.
+    nearest = F.last("__item", ignorenulls=True)
+    scanned = laid.rows.withColumn("__below", nearest.over(laid.upto())).withColumn(
+        "__above", nearest.over(laid.onward())
+    )
     ends = _carried_over(laid.rows, "__value", {"__item": ("__from_lower", "__from_higher")})
     return (
         scanned.filter(F.col("__point").isNotNull())

@@ -203,6 +203,21 @@ def test_nearest_items(spark):
         assert r["below"] is None or r["below"]["label"] == str(r["below"]["v"])
 
 
+@pytest.mark.parametrize("kind", ["double", "string"])
+def test_nearest_items_take_running_frames_only(spark, kind):
+    """A frame to the end of the range is summed up anew for every row."""
+    points = spark.range(500).select("id", (F.col("id") * 7 % 500 + 1000).cast(kind).alias("x"))
+    items = spark.range(0, 500, 25).select((F.col("id") + 1000).cast(kind).alias("v"))
+    out = O.nearest_items(points, "x", items, "v")
+    assert "currentrow$(), unboundedfollowing$()" not in out._jdf.queryExecution().optimizedPlan().toString()
+    for r in out.collect():
+        x = int(float(r["x"])) - 1000
+        below, above = (float(r[c]["v"]) - 1000 if r[c] else None for c in ("below", "above"))
+        assert below == x // 25 * 25
+        if x % 25:
+            assert above == (x // 25 * 25 + 25 if x < 475 else None)
+
+
 def test_band_count(spark):
     points = [(i, random.randint(0, 60)) for i in range(400)]
     bands = [(random.randint(0, 50), random.randint(0, 60)) for _ in range(120)]

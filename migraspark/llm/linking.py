@@ -17,12 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from migraspark.llm.common import kept_table
+from migraspark.session import prepare_session
 
 PIVOT_ROUNDS = 3
 # All open pairs are tested at once when they number at most so many times the open members.
 PAIRS_PER_MEMBER = 2
 # Numbers of 64 bits that make the bitmap of a node's shared elements.
 BITMAP = 32
+# Open members of a bucket are joined in blocks of about so many.
+BLOCK = 256
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -87,6 +90,7 @@ def link(
     nodes (node) and returns their distinct elements (node, element). Nodes without a link are
     not in the result.
     """
+    prepare_session(buckets.sparkSession)
     shared = kept_table(
         buckets.groupBy("bucket")
         .agg(F.min("node").alias("pivot"), F.max("node").alias("last"))
@@ -196,13 +200,17 @@ def _across_components(
         "open-profiles",
     )
     rows = kept_table(members.join(profile, "node"), "bucket-members")
+    # Any two blocks of a bucket meet in a key of their own, so that no task has all pairs of a large one.
+    blocks = rows.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = rows.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
     side = F.struct("node", "component", "size", "shared", "hidden", "bits")
-    left = rows.select("bucket", side.alias("x"))
-    right = rows.select("bucket", side.alias("y"))
+    left = dealt.select("bucket", F.col("block").alias("i"), every.alias("j"), side.alias("x"))
+    right = dealt.select("bucket", every.alias("i"), F.col("block").alias("j"), side.alias("y"))
     both = " + ".join(f"bit_count(x.bits[{i}] & y.bits[{i}])" for i in range(BITMAP))
     most = f"least(x.shared, y.shared, {both} + least(x.hidden, y.hidden))"
     return (
-        left.join(right, "bucket")
+        left.join(right, ["bucket", "i", "j"])
         .where("x.component < y.component")
         .where(f"100 * least(x.shared, y.shared) >= {percent} * (x.size + y.size - least(x.shared, y.shared))")
         .where(f"{100 + percent} * {most} >= {percent} * (x.size + y.size)")

@@ -75,3 +75,14 @@ def test_a_repeated_id_joins_the_classes_of_its_texts(spark):
     docs = spark.createDataFrame([(1, one), (2, one), (2, two), (3, two + " end"), (4, three)], "doc_id bigint, text string")
     found = sorted((r.doc_id, r.component_id, r.kept) for r in near_duplicates(docs).collect())
     assert found == [(1, 1, True), (2, 1, False), (2, 1, False), (3, 1, False), (4, 4, True)]
+
+
+def test_open_members_meet_block_by_block(spark, monkeypatch):
+    """Each pair once, and no join key with more than a block's members."""
+    monkeypatch.setattr(linking, "BLOCK", 8)
+    members = spark.range(100).selectExpr("7L AS bucket", "id AS node", "id AS component")
+    held = spark.range(1000).selectExpr("id DIV 10 AS node", "id % 10 AS element")
+    pairs = linking._across_components(members, lambda nodes: held.join(nodes, "node", "left_semi"), 75)
+    assert sorted((r.a, r.b) for r in pairs.collect()) == [(a, b) for a in range(100) for b in range(a + 1, 100)]
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "(bucket#" in plan and "(i#" in plan and "(j#" in plan

@@ -1,22 +1,27 @@
 """Fuzzy duplicate lines by MinHash over character shingles, in DataFrame functions alone.
 
-Distinct lines are cut into shingles of some bytes, eight unless told otherwise. One hash per shingle picks a band and a row
+Lines are cut into shingles of some bytes, eight unless told otherwise. One hash per shingle picks a band and a row
 of the band; the smallest hashes of a band's rows are its key (one-permutation MinHash). Short
 lines, whose shingles would leave most rows empty, hash every shingle anew for each band; lines
 of a middle length take part in both. Lines that share a key are compared on their full shingle
 sets, linked lines form components, and the first line of each component is kept.
+
+A line's keys are made in its own row, from its sorted hashes, so texts are only moved of lines that share a key.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from migraspark.llm.common import SPACES, free_name, kept_table
+from migraspark.llm.common import free_name, kept_table, let
 from migraspark.llm.linking import link
+from migraspark.session import prepare_session
 
+# The characters of SPACES.
+SPACE_BYTES = " \t\n\x0b\x0c\r"
 SHINGLE_BYTES = 8
 SIMILARITY_PERCENT = 80
 # Shorter shingles and a lower limit, at which a word changed in the middle of a line of 40 to 120
@@ -27,9 +32,6 @@ WORD_EDITS = (60, 4)
 ROWS, MISSED = 4, 0.005
 # Lines of up to twice so many shingles per ten bands hash per band, lines above by one permutation.
 SHORT = 32
-# In a line with more shingles than so many per place, hashes so large that a place has about
-# this many smaller ones are left out of the aggregation; three places in ten thousand have none.
-PER_PLACE = 8
 BROADCAST_IDS = 2_000_000
 
 
@@ -37,7 +39,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, line_no (from 0), line and its 64-bit id, for lines with more than white space."""
     return (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-        .where(F.col("line").rlike(f"[^{SPACES}]"))
+        .where(F.length(F.ltrim("line", F.lit(SPACE_BYTES))) > 0)
         .withColumn("node", F.xxhash64("line"))
     )
 
@@ -47,50 +49,87 @@ def bands_for(percent: int) -> int:
     return max(1, round(math.log(MISSED) / math.log1p(-min(percent / 100, 0.999) ** ROWS)))
 
 
-def _buckets(distinct: DataFrame, length: int, percent: int) -> DataFrame:
-    """(bucket, node) for every band of every line, without another shuffle of the lines."""
+def _hashes(line: str, length: int) -> str:
+    """The hashes of a line's shingles, in their order. The bytes of the line are bound once, not per shingle.
+
+    A shingle is the 64-bit hash of its bytes: a one-to-one mapping of eight bytes, so sets of
+    whole shingles of that length are compared exactly.
+    """
+    return (
+        f"transform(array(CAST({line} AS BINARY)), bytes -> transform("
+        f"sequence(1, greatest(octet_length(bytes) - {length - 1}, 1)), "
+        f"i -> xxhash64(substring(bytes, i, {length}))))[0]"
+    )
+
+
+def _band_key(band: int) -> Column:
+    """The key of the first different hashes of a band, from columns sorted and behind; NULL if it has none."""
+    first = F.col("behind")[band]
+
+    def hashed(row: list[Column]) -> Column:
+        return F.xxhash64(F.lit(band), *row)
+
+    row = [F.get("sorted", first + r) for r in range(ROWS)]
+    apart = F.lit(True)
+    for x, y in zip(row, row[1:], strict=False):
+        apart &= F.coalesce(x < y, F.lit(True))
+    # Where hashes repeat, a few more hold so many different ones, or else all that follow do.
+    some, rest = (F.array_distinct(F.slice("sorted", first + 1, n)) for n in (F.lit(4 * ROWS), F.size("sorted")))
+    chosen = let(some, lambda x: F.when(F.size(x) >= ROWS, x).otherwise(rest))
+    once = let(chosen, lambda x: hashed([F.get(x, F.lit(r)) for r in range(ROWS)]))
+    key = F.when(apart, hashed(row)).otherwise(once)
+    return F.when(F.col("behind")[band + 1] - first > 1, key)
+
+
+def _signed(docs: DataFrame, length: int, percent: int) -> DataFrame:
+    """doc_id, line_no and node of every line, with its keys, one per band, and its text where the
+    bands of short lines count too. A line that has few shingles has no keys here.
+
+    The bands share the range of the hashes, and a band's rows are its smallest hashes. The start of
+    each band is sorted among them, so they stand behind it. A hash that repeats counts once.
+    """
     bands = bands_for(percent)
     short = SHORT * bands // 10
-    shingles = f"greatest(octet_length(line) - {length - 1}, 1)"
-    rounds = f"CASE WHEN n > {2 * short} THEN 1 WHEN n > {short} THEN {bands + 1} ELSE {bands} END"
-    wanted = bands * ROWS * PER_PLACE
-    horizon = f"CAST(-2147483648 + 4294967296 * least(1.0D, {wanted}.0D / n) AS BIGINT)"
-    sized = distinct.selectExpr("node", "CAST(line AS BINARY) AS bytes", f"{shingles} AS n")
-    spread = sized.selectExpr(
-        "node", "bytes", "n", f"{horizon} AS horizon", f"explode(sequence(0, n * ({rounds}) - 1)) AS k"
-    )
-    hashed = spread.selectExpr(
-        "node",
-        "horizon",
-        f"CAST(k DIV n + CASE WHEN n > {short} THEN 0 ELSE 1 END AS INT) AS round",
-        f"substring(bytes, k % n + 1, {length}) AS shingle",
-    ).selectExpr("node", "horizon", "round", "xxhash64(shingle, round) AS h")
-    placed = hashed.where("shiftright(h, 32) < horizon").selectExpr(
+    starts = [F.lit(min(-(1 << 63) + i * (1 << 64) // bands, (1 << 63) - 1)) for i in range(bands + 1)]
+    n = f"octet_length(line) - {length - 1}"
+    hashes = F.expr(f"CASE WHEN {n} > {short} THEN {_hashes('line', length)} END")
+    rows = lines_of(docs).select(
+        "doc_id",
+        "line_no",
         "node",
-        f"CAST(CASE WHEN round = 0 THEN (h & 1023) % {bands} ELSE {bands - 1} + round END AS INT) AS band",
-        f"(shiftright(h, 10) & {ROWS - 1}) AS place",
-        "h",
+        F.expr(f"CASE WHEN {n} <= {2 * short} THEN line END").alias("short"),
+        F.sort_array(F.concat(hashes, F.array(*starts))).alias("sorted"),
+    )
+    # behind[b] is the place of the first hash of band b; a band of fewer hashes goes on with the next.
+    rows = rows.withColumn("behind", F.array(*[F.array_position("sorted", s).cast("int") for s in starts]))
+    keys = [_band_key(band) for band in range(bands)]
+    return rows.select("doc_id", "line_no", "node", "short", F.array_compact(F.array(*keys)).alias("keys"))
+
+
+def _short_buckets(signed: DataFrame, length: int, percent: int) -> DataFrame:
+    """(bucket, node) for every band of every line that is short or of a middle length."""
+    bands = bands_for(percent)
+    distinct = signed.where("short IS NOT NULL").groupBy("node").agg(F.min("short").alias("line"))
+    sized = distinct.selectExpr(
+        "node", "CAST(line AS BINARY) AS bytes", f"greatest(octet_length(line) - {length - 1}, 1) AS n"
+    )
+    hashed = sized.selectExpr("node", "bytes", "n", f"explode(sequence(0, n * {bands} - 1)) AS k").selectExpr(
+        "node", "CAST(k DIV n AS INT) AS band", f"xxhash64(substring(bytes, k % n + 1, {length}), k DIV n) AS h"
     )
+    placed = hashed.withColumn("place", F.expr(f"h & {ROWS - 1}"))
     smallest = [F.expr(f"min(CASE WHEN place = {r} THEN h END)").alias(f"m{r}") for r in range(ROWS)]
     keys = placed.groupBy("node", "band").agg(*smallest)
-    return keys.select(F.xxhash64("band", *[f"m{r}" for r in range(ROWS)]).alias("bucket"), "node")
-
+    return keys.select(
+        F.xxhash64(F.col("band") + bands, *[F.col(f"m{r}") for r in range(ROWS)]).alias("bucket"), "node"
+    )
 
-def _texts(docs: DataFrame, nodes: DataFrame, length: int) -> DataFrame:
-    """(node, shingles) of the given lines; few ids go to the lines, many are met by a shuffle.
 
-    A shingle is the 64-bit hash of its bytes: a one-to-one mapping of eight bytes, so sets of
-    whole shingles of that length are compared exactly. The bytes of a line are bound once, not per shingle.
-    """
+def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, line) of the given lines; few ids go to the lines, many are met by a shuffle."""
     nodes = kept_table(nodes.select("node").distinct(), "wanted-lines")
     wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
     rows = lines_of(docs).select("node", "line").join(wanted, "node", "left_semi")
-    cut = F.expr(
-        "transform(array(CAST(line AS BINARY)), bytes -> array_distinct(transform("
-        f"sequence(1, greatest(octet_length(bytes) - {length - 1}, 1)), "
-        f"i -> xxhash64(substring(bytes, i, {length})))))[0]"
-    )
-    return rows.groupBy("node").agg(F.min("line").alias("line")).select("node", cut.alias("shingles"))
+    return rows.groupBy("node").agg(F.min("line").alias("line"))
 
 
 def duplicate_lines(
@@ -108,33 +147,38 @@ def duplicate_lines(
     for ordinary lines; WORD_EDITS links lines of 40 to 120 bytes that differ in a word, from more
     bands and thus more work.
 
-    Lines are told apart by 64-bit hashes. The text of a line is shuffled once, after equal lines
-    of a task have met; a line that is everywhere is one row from then on.
+    Lines are told apart by 64-bit hashes. The text of a line is shuffled if it shares a key with
+    another one, after equal lines of a task have met; its shingles are cut where two texts have met.
     """
-    lines = lines_of(docs)
-    distinct = lines.select("node", "line").groupBy("node").agg(F.min("line").alias("line"))
-    buckets = kept_table(_buckets(distinct, shingle_bytes, percent), "line-buckets")
+    prepare_session(docs.sparkSession)
+    signed = kept_table(_signed(docs, shingle_bytes, percent), "lines")
+    few = kept_table(_short_buckets(signed, shingle_bytes, percent), "line-buckets")
+    buckets = signed.select(F.explode("keys").alias("bucket"), "node").unionAll(few)
+    read = []
+
+    def texts(nodes: DataFrame) -> DataFrame:
+        """The first pairs hold every line that shares a key, so the texts are read for them alone."""
+        if not read:
+            read.append(kept_table(_texts(docs, nodes), "line-texts"))
+        return read[0]
 
     def verify(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-        sets = kept_table(_texts(docs, ends, shingle_bytes), "line-sets")
-        left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-        right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-        return (
-            pairs.join(left, "a")
-            .join(right, "b")
-            .where(f"100 * least(size(sa), size(sb)) >= {percent} * greatest(size(sa), size(sb))")
-            .withColumn("common", F.size(F.array_intersect("sa", "sb")))
-            .where(f"100 * common >= {percent} * (size(sa) + size(sb) - common)")
-            .select("a", "b")
-        )
+        lines = texts(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+        left = lines.select(F.col("node").alias("a"), F.col("line").alias("la"))
+        right = lines.select(F.col("node").alias("b"), F.col("line").alias("lb"))
+        met = pairs.join(left, "a").join(right, "b")
+        cut = [F.expr(_hashes(line, shingle_bytes)).alias(line) for line in ("la", "lb")]
+        return met.select("a", "b", *cut).where(
+            f"100 * size(array_intersect(la, lb)) >= {percent} * size(array_union(la, lb))"
+        ).select("a", "b")
 
     def elements(nodes: DataFrame) -> DataFrame:
-        return _texts(docs, nodes, shingle_bytes).select("node", F.explode("shingles").alias("element"))
+        lines = texts(nodes).join(nodes, "node", "left_semi")
+        return lines.select("node", F.explode(F.array_distinct(F.expr(_hashes("line", shingle_bytes)))).alias("element"))
 
-    found = link(buckets, verify, elements, percent)
+    found = link(buckets, verify, elements, percent, light=True)
     placed = kept_table(
-        lines.select("doc_id", "line_no", "node")
+        signed.select("doc_id", "line_no", "node")
         .join(found, "node", "left")
         .select("doc_id", "line_no", F.coalesce("component", "node").alias("class")),
         "line-classes",

@@ -22,6 +22,9 @@ from migraspark.session import prepare_session
 PIVOT_ROUNDS = 3
 # All open pairs are tested at once when they number at most so many times the open members.
 PAIRS_PER_MEMBER = 2
+# Where nodes are cheap to compare: open pairs per open member that go straight to the comparison, and
+# shared buckets (16 bytes each) that are sent to all tasks.
+LIGHT_PAIRS, BROADCAST_BUCKETS = 16, 1_000_000
 # Numbers of 64 bits that make the bitmap of a node's shared elements.
 BITMAP = 32
 # Open members of a bucket are joined in blocks of about so many.
@@ -82,13 +85,18 @@ def link(
     verify: Callable[[DataFrame], DataFrame],
     elements: Callable[[DataFrame], DataFrame],
     percent: int,
+    light: bool = False,
 ) -> DataFrame:
     """(node, component) of all nodes with a verified link.
 
     ``buckets`` has (bucket, node), both BIGINT; ``verify`` takes pairs (a, b) with a < b and
     returns those whose sets have a Jaccard similarity of ``percent`` or more; ``elements`` takes
     nodes (node) and returns their distinct elements (node, element). Nodes without a link are
-    not in the result.
+    not in the result. The first call of ``verify`` has every node that shares a bucket.
+
+    ``light`` nodes are many, and cheap to compare. Their ``buckets`` may repeat rows, and are not
+    shuffled a second time, but read twice, where few are shared; and open pairs that number at most
+    LIGHT_PAIRS times the open members go to ``verify`` without a look at their elements.
     """
     prepare_session(buckets.sparkSession)
     shared = kept_table(
@@ -98,7 +106,9 @@ def link(
         .select("bucket", "pivot"),
         "bucket-pivots",
     )
-    members = kept_table(buckets.join(shared, "bucket"), "bucket-members")
+    few = light and shared.count() <= BROADCAST_BUCKETS
+    members = buckets.join(F.broadcast(shared) if few else shared, "bucket")
+    members = kept_table(members.distinct() if light else members, "bucket-members")
     pairs = members.where("node <> pivot").select(
         F.col("pivot").alias("a"), F.col("node").alias("b")
     )
@@ -110,8 +120,11 @@ def link(
         members, open_members, open_pairs = _unsettled(members, found)
         if not open_members:
             return found
-        last = round_number == PIVOT_ROUNDS or open_pairs <= PAIRS_PER_MEMBER * open_members
-        if last:
+        straight = light and open_pairs <= LIGHT_PAIRS * open_members
+        last = straight or round_number == PIVOT_ROUNDS or open_pairs <= PAIRS_PER_MEMBER * open_members
+        if straight:
+            pairs = _open_pairs(members)
+        elif last:
             pairs = _across_components(members, elements, percent)
         else:
             pairs = _against_pivot(members, round_number)
@@ -151,6 +164,15 @@ def _unsettled(members: DataFrame, found: DataFrame) -> tuple[DataFrame, int, in
     return kept_table(unsettled, "bucket-members"), total[0] or 0, total[1] or 0
 
 
+def _open_pairs(members: DataFrame) -> DataFrame:
+    """All pairs of a bucket with ends in different components."""
+    left, right = (
+        members.select("bucket", F.col("node").alias(node), F.col("component").alias(f"component_{node}"))
+        for node in ("a", "b")
+    )
+    return left.join(right, "bucket").where("component_a < component_b").select("a", "b")
+
+
 def _against_pivot(members: DataFrame, round_number: int) -> DataFrame:
     """Members against one pivot of their bucket, another one every round."""
     drawn = members.withColumn("draw", F.xxhash64("node", F.lit(round_number)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -15,6 +16,7 @@ from migraspark.llm.linking import components
 from migraspark.llm.mixing import mix, targets
 from migraspark.llm.quality_rules import quality_rules
 from migraspark.llm.url_filter import url_filter
+from migraspark.session import shared_folder
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, size int, slot int"
 PROSE = " ".join(f"word{i} the of and" for i in range(40))
@@ -290,6 +292,27 @@ def test_fuzzy_lines(spark):
     assert {r.doc_id: r.removed for r in duplicate_lines(docs).collect()} == {1: [], 2: [0], 3: [0], 4: [0, 2]}
 
 
+def test_lines_are_linked_without_storing_their_shingles(spark):
+    """Before, every shingle of a line that met another one was stored as eight bytes, and shuffled twice."""
+    draw, rows, size = random.Random(4), [], 0
+    for k in range(600):
+        line = " ".join("".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(70))
+        rows += [(2 * k, line), (2 * k + 1, f"{line}.")]
+        size += 2 * len(line)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+    assert all(r.removed == ([0] if r.doc_id % 2 else []) for r in duplicate_lines(docs).collect())
+    assert sum(f.stat().st_size for f in folder.rglob("*.parquet")) - before < 2 * size
+
+
+def test_lines_of_repeated_words(spark):
+    """The sets of shingles are equal, however often a word stands in the line."""
+    rows = [(k, "abc def ghi jkl " * (8 + 90 * k) + "once upon a time there was a line that goes on for some while") for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert [len(r.removed) for r in duplicate_lines(docs).orderBy("doc_id").collect()] == [0, 1, 1, 1, 1]
+
+
 def test_a_word_changed_in_the_middle_of_a_line(spark):
     draw = random.Random(8)
     words = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randint(3, 7))) for _ in range(4000)]

@@ -31,6 +31,9 @@ FIRST_BITS, FINER, LAST_BITS = 16, 8, 32
 # Ranges that differ are split while they hold more rows than this share of all, and named to every
 # task up to this many (eight bytes each); beyond, most of the tables differ and are joined.
 SMALL_SHARE, NAMED = 0.001, 1 << 20
+# Where most rows are open and finer ranges would hold fewer rows than this on average, a finer fold
+# moves about as many digests as the join moves rows.
+FEW_ROWS = 8
 DIGESTS = ("exact", "near", "shifted")
 
 
@@ -136,7 +139,7 @@ def _within(rows: DataFrame, left: DataFrame, bits: int) -> DataFrame:
 
 
 def settle(source: DataFrame, target: DataFrame, bits: int = FIRST_BITS) -> Ranges:
-    """Fold and compare until the ranges that differ are few rows, or can't be split further.
+    """Fold and compare until the ranges that differ are few rows, or splitting them further can't help.
 
     ``source`` and ``target`` come from ``_row_digests``. If the sides have different numbers of
     rows the first fold ends it.
@@ -155,6 +158,9 @@ def settle(source: DataFrame, target: DataFrame, bits: int = FIRST_BITS) -> Rang
             return Ranges(None, bits, sums["open"], *total)
         left = found.where("differs").select(RANGE)
         few = sums["open"] <= SMALL_SHARE * sum(total)
+        spread = sums["open"] > sum(total) / 2 and sums["open"] < 2 * FEW_ROWS * 2 ** (bits + FINER)
+        if spread and total[0] == total[1]:
+            return Ranges(None, bits, sum(total), *total)
         if few or total[0] != total[1] or bits + FINER > LAST_BITS:
             return Ranges(left, bits, sums["open"], *total)
         source, target = _within(source, left, bits), _within(target, left, bits)

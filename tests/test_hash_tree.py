@@ -75,6 +75,14 @@ def test_ranges_are_split(sales, monkeypatch):
     assert 2 * ROWS / 4 - 2000 < moved < 2 * ROWS / 4 + 2000
 
 
+def test_differences_in_every_range_are_joined_after_one_fold(sales, monkeypatch):
+    """Before, ranges finer than rows were folded once more on both sides, which moves every row's digests."""
+    folds, fold = [], hash_tree.folded
+    monkeypatch.setattr(hash_tree, "folded", lambda rows, bits: folds.append(bits) or fold(rows, bits))
+    result, moved = compared(sales, sales.withColumn("amount", F.col("amount") * 1.00001), bits=10)
+    assert result["passed"] and moved == 2 * ROWS and folds == [10, 10]
+
+
 def test_swapped_values_and_missing_values_differ(sales):
     swapped = sales.withColumn("order_id", F.when(F.col("order_id") == 1, 2).when(F.col("order_id") == 2, 1).otherwise(F.col("order_id")))
     result, _ = compared(sales, swapped)

@@ -1,22 +1,24 @@
 """Fuzzy duplicate lines by MinHash over character shingles, in DataFrame functions alone.
 
-Lines are cut into shingles of some bytes, eight unless told otherwise. One hash per shingle picks a band and a row
-of the band; the smallest hashes of a band's rows are its key (one-permutation MinHash). Short
-lines, whose shingles would leave most rows empty, hash every shingle anew for each band; lines
-of a middle length take part in both. Lines that share a key are compared on their full shingle
-sets, linked lines form components, and the first line of each component is kept.
-
-A line's keys are made in its own row, from its sorted hashes, so texts are only moved of lines that share a key.
+Lines are cut into shingles of some bytes, eight unless told otherwise. One hash per shingle serves all
+minima of a line (one-permutation MinHash): a minimum is the hash nearest to a centre, and takes a
+hash of the next range where its own has none, so that lines of few shingles have all minima too
+(densified). Bands of four minima are keys; two bands share one minimum at most. Lines that share a key
+are compared on their full shingle sets, linked lines form components, and the first line of each
+component is kept.
+
+Shingles are folded in the task that has the line, and texts are moved a second time only of lines that
+share a key.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from migraspark.llm.common import free_name, kept_table, let
+from migraspark.llm.common import free_name, kept_table
 from migraspark.llm.linking import link
 from migraspark.session import prepare_session
 
@@ -27,11 +29,11 @@ SIMILARITY_PERCENT = 80
 # Shorter shingles and a lower limit, at which a word changed in the middle of a line of 40 to 120
 # bytes leaves a link: (percent, shingle_bytes) for duplicate_lines.
 WORD_EDITS = (60, 4)
-# A band has so many rows; there are so many bands that all differ for five pairs in a thousand at
-# the limit. At 0.8 a band of four rows agrees with probability 0.41, so that is ten bands.
-ROWS, MISSED = 4, 0.005
-# Lines of up to twice so many shingles per ten bands hash per band, lines above by one permutation.
-SHORT = 32
+# Sixteen minima make the points of a plane over four elements, and its twenty lines are the bands, of four
+# minima each. Of the sets of k minima that agree, so many hold no band. At 0.8 that leaves out five
+# pairs in a thousand; a lower limit takes several planes.
+ROWS, POINTS, MISSED = 4, 16, 0.005
+OPEN_SETS = (1, 16, 120, 560, 1800, 4128, 6688, 7200, 4440, 1120)
 BROADCAST_IDS = 2_000_000
 
 
@@ -39,14 +41,25 @@ def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, line_no (from 0), line and its 64-bit id, for lines with more than white space."""
     return (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-        .where(F.length(F.ltrim("line", F.lit(SPACE_BYTES))) > 0)
+        .where(F.ltrim("line", F.lit(SPACE_BYTES)) != "")
         .withColumn("node", F.xxhash64("line"))
     )
 
 
-def bands_for(percent: int) -> int:
-    """The bands that let a pair at ``percent`` slip with a probability of about MISSED."""
-    return max(1, round(math.log(MISSED) / math.log1p(-min(percent / 100, 0.999) ** ROWS)))
+def planes_for(percent: int) -> int:
+    """The planes that let a pair at ``percent`` slip with a probability of MISSED at most."""
+    agree = min(percent / 100, 0.999)
+    missed = sum(n * agree**k * (1 - agree) ** (POINTS - k) for k, n in enumerate(OPEN_SETS))
+    return math.ceil(math.log(MISSED) / math.log(missed))
+
+
+def _bands(plane: int) -> list[list[int]]:
+    """The minima of each band of a plane: the lines y = m * x + c and x = c over the field of four elements."""
+    times = ((0, 0, 0, 0), (0, 1, 2, 3), (0, 2, 3, 1), (0, 3, 1, 2))
+    field = range(ROWS)
+    sloping = [[(x, times[m][x] ^ c) for x in field] for m in field for c in field]
+    upright = [[(c, y) for y in field] for c in field]
+    return [[plane * POINTS + ROWS * x + y for x, y in band] for band in sloping + upright]
 
 
 def _hashes(line: str, length: int) -> str:
@@ -62,72 +75,35 @@ def _hashes(line: str, length: int) -> str:
     )
 
 
-def _band_key(band: int) -> Column:
-    """The key of the first different hashes of a band, from columns sorted and behind; NULL if it has none."""
-    first = F.col("behind")[band]
-
-    def hashed(row: list[Column]) -> Column:
-        return F.xxhash64(F.lit(band), *row)
+def _signed(docs: DataFrame, length: int, percent: int) -> DataFrame:
+    """node and minima (32 bits of each) of every distinct line. A hash that repeats counts once."""
+    n = POINTS * planes_for(percent)
+    # Evenly spaced, and apart in their lower bits, so that empty ranges take different hashes of one range.
+    centres = [i * 2**64 // n + i * 0x9E3779B97F4A7C15 % (2**64 // n) - 2**63 for i in range(n)]
+    rows = lines_of(docs).groupBy("node").agg(F.first("line").alias("line"))
+    placed = rows.selectExpr("node", "CAST(line AS BINARY) AS bytes").selectExpr(
+        "node", "bytes", f"explode(sequence(1, greatest(octet_length(bytes) - {length - 1}, 1))) AS i"
+    )
+    hashes = placed.selectExpr("node", f"xxhash64(substring(bytes, i, {length})) AS h")
+    nearest = [F.hash(F.min(F.col("h").bitwiseXOR(F.lit(c)))).alias(f"m{i}") for i, c in enumerate(centres)]
+    return hashes.groupBy("node").agg(*nearest)
 
-    row = [F.get("sorted", first + r) for r in range(ROWS)]
-    apart = F.lit(True)
-    for x, y in zip(row, row[1:], strict=False):
-        apart &= F.coalesce(x < y, F.lit(True))
-    # Where hashes repeat, a few more hold so many different ones, or else all that follow do.
-    some, rest = (F.array_distinct(F.slice("sorted", first + 1, n)) for n in (F.lit(4 * ROWS), F.size("sorted")))
-    chosen = let(some, lambda x: F.when(F.size(x) >= ROWS, x).otherwise(rest))
-    once = let(chosen, lambda x: hashed([F.get(x, F.lit(r)) for r in range(ROWS)]))
-    key = F.when(apart, hashed(row)).otherwise(once)
-    return F.when(F.col("behind")[band + 1] - first > 1, key)
 
+def _buckets(signed: DataFrame, percent: int) -> DataFrame:
+    """(bucket, node) for every band of every distinct line."""
+    bands = [band for plane in range(planes_for(percent)) for band in _bands(plane)]
+    keys = [F.xxhash64(F.lit(k), *[F.col(f"m{i}") for i in band]) for k, band in enumerate(bands)]
+    return signed.select(F.explode(F.array(*keys)).alias("bucket"), "node")
 
-def _signed(docs: DataFrame, length: int, percent: int) -> DataFrame:
-    """doc_id, line_no and node of every line, with its keys, one per band, and its text where the
-    bands of short lines count too. A line that has few shingles has no keys here.
 
-    The bands share the range of the hashes, and a band's rows are its smallest hashes. The start of
-    each band is sorted among them, so they stand behind it. A hash that repeats counts once.
-    """
-    bands = bands_for(percent)
-    short = SHORT * bands // 10
-    starts = [F.lit(min(-(1 << 63) + i * (1 << 64) // bands, (1 << 63) - 1)) for i in range(bands + 1)]
-    n = f"octet_length(line) - {length - 1}"
-    hashes = F.expr(f"CASE WHEN {n} > {short} THEN {_hashes('line', length)} END")
-    rows = lines_of(docs).select(
-        "doc_id",
-        "line_no",
-        "node",
-        F.expr(f"CASE WHEN {n} <= {2 * short} THEN line END").alias("short"),
-        F.sort_array(F.concat(hashes, F.array(*starts))).alias("sorted"),
-    )
-    # behind[b] is the place of the first hash of band b; a band of fewer hashes goes on with the next.
-    rows = rows.withColumn("behind", F.array(*[F.array_position("sorted", s).cast("int") for s in starts]))
-    keys = [_band_key(band) for band in range(bands)]
-    return rows.select("doc_id", "line_no", "node", "short", F.array_compact(F.array(*keys)).alias("keys"))
-
-
-def _short_buckets(signed: DataFrame, length: int, percent: int) -> DataFrame:
-    """(bucket, node) for every band of every line that is short or of a middle length."""
-    bands = bands_for(percent)
-    distinct = signed.where("short IS NOT NULL").groupBy("node").agg(F.min("short").alias("line"))
-    sized = distinct.selectExpr(
-        "node", "CAST(line AS BINARY) AS bytes", f"greatest(octet_length(line) - {length - 1}, 1) AS n"
-    )
-    hashed = sized.selectExpr("node", "bytes", "n", f"explode(sequence(0, n * {bands} - 1)) AS k").selectExpr(
-        "node", "CAST(k DIV n AS INT) AS band", f"xxhash64(substring(bytes, k % n + 1, {length}), k DIV n) AS h"
-    )
-    placed = hashed.withColumn("place", F.expr(f"h & {ROWS - 1}"))
-    smallest = [F.expr(f"min(CASE WHEN place = {r} THEN h END)").alias(f"m{r}") for r in range(ROWS)]
-    keys = placed.groupBy("node", "band").agg(*smallest)
-    return keys.select(
-        F.xxhash64(F.col("band") + bands, *[F.col(f"m{r}") for r in range(ROWS)]).alias("bucket"), "node"
-    )
+def _small(ids: DataFrame) -> DataFrame:
+    """A stored table of ids, sent to all tasks where it is short."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, line) of the given lines; few ids go to the lines, many are met by a shuffle."""
-    nodes = kept_table(nodes.select("node").distinct(), "wanted-lines")
-    wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
+    wanted = _small(kept_table(nodes.select("node").distinct(), "wanted-lines"))
     rows = lines_of(docs).select("node", "line").join(wanted, "node", "left_semi")
     return rows.groupBy("node").agg(F.min("line").alias("line"))
 
@@ -147,13 +123,11 @@ def duplicate_lines(
     for ordinary lines; WORD_EDITS links lines of 40 to 120 bytes that differ in a word, from more
     bands and thus more work.
 
-    Lines are told apart by 64-bit hashes. The text of a line is shuffled if it shares a key with
-    another one, after equal lines of a task have met; its shingles are cut where two texts have met.
+    Lines are told apart by 64-bit hashes. The text of a line is shuffled once, and again if it shares a
+    key with another one, after equal lines of a task have met; its shingles are cut where two texts have met.
     """
     prepare_session(docs.sparkSession)
-    signed = kept_table(_signed(docs, shingle_bytes, percent), "lines")
-    few = kept_table(_short_buckets(signed, shingle_bytes, percent), "line-buckets")
-    buckets = signed.select(F.explode("keys").alias("bucket"), "node").unionAll(few)
+    buckets = _buckets(kept_table(_signed(docs, shingle_bytes, percent), "line-minima"), percent)
     read = []
 
     def texts(nodes: DataFrame) -> DataFrame:
@@ -178,8 +152,9 @@ def duplicate_lines(
 
     found = link(buckets, verify, elements, percent, light=True)
     placed = kept_table(
-        signed.select("doc_id", "line_no", "node")
-        .join(found, "node", "left")
+        lines_of(docs)
+        .select("doc_id", "line_no", "node")
+        .join(_small(found), "node", "left")
         .select("doc_id", "line_no", F.coalesce("component", "node").alias("class")),
         "line-classes",
     )
@@ -191,7 +166,7 @@ def duplicate_lines(
         "first-lines",
     )
     stays = F.col("first").isNull() | F.col("first").eqNullSafe(F.struct("doc_id", "line_no"))
-    judged = placed.join(first, "class", "left").withColumn("removed", ~stays)
+    judged = placed.join(_small(first), "class", "left").withColumn("removed", ~stays)
     per_doc = judged.groupBy("doc_id").agg(
         F.count("*").alias("n_lines"),
         F.sum(F.col("removed").cast("long")).alias("n_removed"),

@@ -7,13 +7,14 @@ still in different components after the pivot rounds are all tested, so no candi
 only those go untested whose similarity is bounded below the threshold, by the number of elements
 that either end shares with any other open node and by the bits that the shared elements of both
 set in a small bitmap. Both bounds are exact: no pair that reaches the threshold goes untested.
+Light nodes are bounded by parities instead, which need no elements to meet.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from migraspark.llm.common import kept_table
@@ -25,7 +26,7 @@ PAIRS_PER_MEMBER = 2
 # Where nodes are cheap to compare: open pairs per open member that go straight to the comparison, and
 # shared buckets (16 bytes each) that are sent to all tasks.
 LIGHT_PAIRS, BROADCAST_BUCKETS = 16, 1_000_000
-# Numbers of 64 bits that make the bitmap of a node's shared elements.
+# Numbers of 64 bits that make the bitmap of a node's shared elements, or the parities of all of its elements.
 BITMAP = 32
 # Open members of a bucket are joined in blocks of about so many.
 BLOCK = 256
@@ -37,17 +38,13 @@ def components(links: DataFrame) -> DataFrame:
     Every round moves each node to its smallest neighbour, twice over, and renames the ends of
     all links accordingly; links inside a node vanish. A link to the neighbour a node moved to
     stays, renamed, so nothing falls apart before the last round. The number of rounds grows with
-    the logarithm of the longest chain. An empty input gives an empty result.
+    the logarithm of the longest chain. A round moves only nodes that still have a link, and the moves
+    are put together at the end, last round first. An empty input gives an empty result.
     """
     edges = kept_table(
         links.select("a", "b").where("a <> b").distinct(), "component-links"
     )
-    labels = (
-        edges.select(F.explode(F.array("a", "b")).alias("node"))
-        .distinct()
-        .withColumn("component", F.col("node"))
-    )
-    labels = kept_table(labels, "component-labels")
+    moves = [edges.select(F.col("a").alias("old"), F.col("b").alias("new")).limit(0)]
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
         step = kept_table(
@@ -70,14 +67,14 @@ def components(links: DataFrame) -> DataFrame:
             .distinct(),
             "component-links",
         )
-        moved = step.select(F.col("old").alias("component"), F.col("new").alias("moved"))
-        labels = kept_table(
-            labels.join(moved, "component", "left").select(
-                "node", F.coalesce("moved", "component").alias("component")
-            ),
-            "component-labels",
+        moves.append(step)
+    labels = moves.pop().toDF("node", "component")
+    for step in reversed(moves[1:]):
+        later = labels.toDF("new", "component")
+        labels = step.join(later, "new", "left").select(
+            F.col("old").alias("node"), F.coalesce("component", "new").alias("component")
         )
-    return labels
+    return kept_table(labels, "component-labels")
 
 
 def link(
@@ -94,21 +91,13 @@ def link(
     nodes (node) and returns their distinct elements (node, element). Nodes without a link are
     not in the result. The first call of ``verify`` has every node that shares a bucket.
 
-    ``light`` nodes are many, and cheap to compare. Their ``buckets`` may repeat rows, and are not
-    shuffled a second time, but read twice, where few are shared; and open pairs that number at most
-    LIGHT_PAIRS times the open members go to ``verify`` without a look at their elements.
+    ``light`` nodes are many, and cheap to compare. Their ``buckets`` have no row twice; nodes are
+    not shuffled with their buckets where few are shared; rounds end when one settles less than half of the
+    pairs; and open pairs that number at most LIGHT_PAIRS times the open members go to ``verify``
+    without a look at their elements.
     """
     prepare_session(buckets.sparkSession)
-    shared = kept_table(
-        buckets.groupBy("bucket")
-        .agg(F.min("node").alias("pivot"), F.max("node").alias("last"))
-        .where("pivot < last")
-        .select("bucket", "pivot"),
-        "bucket-pivots",
-    )
-    few = light and shared.count() <= BROADCAST_BUCKETS
-    members = buckets.join(F.broadcast(shared) if few else shared, "bucket")
-    members = kept_table(members.distinct() if light else members, "bucket-members")
+    members = _light_members(buckets) if light else _members(buckets)
     pairs = members.where("node <> pivot").select(
         F.col("pivot").alias("a"), F.col("node").alias("b")
     )
@@ -117,15 +106,17 @@ def link(
     found = components(links)
     members = members.select("bucket", "node")
     for round_number in range(1, PIVOT_ROUNDS + 1):
-        members, open_members, open_pairs = _unsettled(members, found)
+        members, open_members, open_pairs, all_pairs = _unsettled(members, found)
         if not open_members:
             return found
         straight = light and open_pairs <= LIGHT_PAIRS * open_members
-        last = straight or round_number == PIVOT_ROUNDS or open_pairs <= PAIRS_PER_MEMBER * open_members
+        stuck = light and 2 * open_pairs > all_pairs
+        few = open_pairs <= PAIRS_PER_MEMBER * open_members
+        last = straight or stuck or few or round_number == PIVOT_ROUNDS
         if straight:
             pairs = _open_pairs(members)
         elif last:
-            pairs = _across_components(members, elements, percent)
+            pairs = (_within_parity if light else _across_components)(members, elements, percent)
         else:
             pairs = _against_pivot(members, round_number)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -141,9 +132,36 @@ def link(
     return found
 
 
-def _unsettled(members: DataFrame, found: DataFrame) -> tuple[DataFrame, int, int]:
+def _members(buckets: DataFrame) -> DataFrame:
+    """(bucket, node, pivot) of the buckets with several nodes; the pivot is the smallest."""
+    shared = kept_table(
+        buckets.groupBy("bucket")
+        .agg(F.min("node").alias("pivot"), F.max("node").alias("last"))
+        .where("pivot < last")
+        .select("bucket", "pivot"),
+        "bucket-pivots",
+    )
+    return kept_table(buckets.join(shared, "bucket"), "bucket-members")
+
+
+def _light_members(buckets: DataFrame) -> DataFrame:
+    """The same of buckets without repeated rows: they are counted alone, and nodes are read for shared ones.
+
+    Nearly all buckets have one row, so they are dealt out before they are counted.
+    """
+    dealt = buckets.select("bucket").repartition("bucket")
+    counted = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = kept_table(counted.select("bucket"), "shared-buckets")
+    few = shared.count() <= BROADCAST_BUCKETS
+    members = kept_table(buckets.join(F.broadcast(shared) if few else shared, "bucket"), "bucket-nodes")
+    pivots = members.groupBy("bucket").agg(F.min("node").alias("pivot"))
+    return kept_table(members.join(kept_table(pivots, "bucket-pivots"), "bucket"), "bucket-members")
+
+
+def _unsettled(members: DataFrame, found: DataFrame) -> tuple[DataFrame, int, int, int]:
     """Members, with their components, of the buckets that still hold several components, their
-    number, and the number of pairs among them. A bucket of two has no pair but the tested one."""
+    number, the number of pairs among them, and that of all buckets. A bucket of two has no pair but
+    the tested one."""
     labelled = members.join(found, "node", "left").select(
         "bucket", "node", F.coalesce("component", "node").alias("component")
     )
@@ -154,14 +172,15 @@ def _unsettled(members: DataFrame, found: DataFrame) -> tuple[DataFrame, int, in
             F.max("component").alias("last"),
             F.count("*").alias("size"),
         )
-        .where("first < last AND size > 2")
-        .select("bucket", "size"),
-        "bucket-unsettled",
+        .where("size > 2")
+        .selectExpr("bucket", "CAST(size AS DOUBLE) AS size", "first < last AS open"),
+        "bucket-sizes",
     )
-    size = F.col("size").cast("double")
-    total = several.agg(F.sum(size), F.sum(size * (size - 1) / 2)).first()
-    unsettled = labelled.join(several.select("bucket"), "bucket")
-    return kept_table(unsettled, "bucket-members"), total[0] or 0, total[1] or 0
+    pairs = "sum(size * (size - 1) / 2)"
+    counts = ("sum(size) FILTER (WHERE open)", f"{pairs} FILTER (WHERE open)", pairs)
+    total = several.agg(*[F.expr(c) for c in counts]).first()
+    unsettled = labelled.join(several.where("open").select("bucket"), "bucket")
+    return kept_table(unsettled, "bucket-members"), *(n or 0 for n in total)
 
 
 def _open_pairs(members: DataFrame) -> DataFrame:
@@ -205,9 +224,7 @@ def _across_components(
         held.groupBy("element").agg(F.count("*").alias("nodes")).where("nodes > 1").select("element")
     )
     sizes = held.groupBy("node").agg(F.count("*").alias("size"))
-    mixed = F.xxhash64("element")
-    number, bit = F.pmod(mixed, F.lit(BITMAP)), F.shiftrightunsigned(mixed, 58).cast("int")
-    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
+    number, one = _bit()
     bits = [F.bit_or(F.when(number == i, one).otherwise(F.lit(0).cast("bigint"))) for i in range(BITMAP)]
     shared = (
         held.join(kept_table(common, "common-elements"), "element", "left_semi")
@@ -222,19 +239,60 @@ def _across_components(
         "open-profiles",
     )
     rows = kept_table(members.join(profile, "node"), "bucket-members")
-    # Any two blocks of a bucket meet in a key of their own, so that no task has all pairs of a large one.
+    both = " + ".join(f"bit_count(x_bits[{i}] & y_bits[{i}])" for i in range(BITMAP))
+    most = f"least(x_shared, y_shared, {both} + least(x_hidden, y_hidden))"
+    return (
+        _across_blocks(rows, ["size", "shared", "hidden", "bits"])
+        .where(f"100 * least(x_shared, y_shared) >= {percent} * (x_size + y_size - least(x_shared, y_shared))")
+        .where(f"{100 + percent} * {most} >= {percent} * (x_size + y_size)")
+        .select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
+    )
+
+
+def _within_parity(
+    members: DataFrame, elements: Callable[[DataFrame], DataFrame], percent: int
+) -> DataFrame:
+    """The same pairs, bounded by the parities of the elements of each node that fall on a bit.
+
+    Where two parities differ, an element is in one of the two sets alone, so the bits that differ are
+    no more than the elements that do. Elements are folded where they are made.
+    """
+    held = elements(members.select("node").distinct())
+    number, bit = _bit()
+    folded = (
+        held.select("node", number.alias("number"), bit.alias("bit"))
+        .groupBy("node", "number")
+        .agg(F.count("*").alias("size"), F.bit_xor("bit").alias("bits"))
+    )
+    numbers = range(BITMAP)
+    bits = [F.coalesce(F.max(F.when(F.col("number") == i, F.col("bits"))), F.lit(0)).alias(f"b{i}") for i in numbers]
+    profile = kept_table(folded.groupBy("node").agg(F.sum("size").alias("size"), *bits), "open-profiles")
+    rows = kept_table(members.join(profile, "node"), "bucket-members")
+    differ = " + ".join(f"bit_count(x_b{i} ^ y_b{i})" for i in numbers)
+    return (
+        _across_blocks(rows, ["size", *[f"b{i}" for i in numbers]])
+        .where(f"100 * least(x_size, y_size) >= {percent} * greatest(x_size, y_size)")
+        .where(f"{100 + percent} * ({differ}) <= {100 - percent} * (x_size + y_size)")
+        .select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
+    )
+
+
+def _bit() -> tuple[Column, Column]:
+    """Of an element: which number of a bitmap it falls on, and that number with its bit set."""
+    mixed = F.xxhash64("element")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(mixed, 58).cast("int"))
+    return F.pmod(mixed, F.lit(BITMAP)), bit
+
+
+def _across_blocks(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The pairs of members of a bucket in different components, with the given columns as x_ and y_ ones.
+
+    Any two blocks of a bucket meet in a key of their own, so that no task has all pairs of a large one.
+    """
     blocks = rows.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     dealt = rows.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
-    side = F.struct("node", "component", "size", "shared", "hidden", "bits")
-    left = dealt.select("bucket", F.col("block").alias("i"), every.alias("j"), side.alias("x"))
-    right = dealt.select("bucket", every.alias("i"), F.col("block").alias("j"), side.alias("y"))
-    both = " + ".join(f"bit_count(x.bits[{i}] & y.bits[{i}])" for i in range(BITMAP))
-    most = f"least(x.shared, y.shared, {both} + least(x.hidden, y.hidden))"
-    return (
-        left.join(right, ["bucket", "i", "j"])
-        .where("x.component < y.component")
-        .where(f"100 * least(x.shared, y.shared) >= {percent} * (x.size + y.size - least(x.shared, y.shared))")
-        .where(f"{100 + percent} * {most} >= {percent} * (x.size + y.size)")
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    )
+    x, y = ([F.col(c).alias(f"{side}_{c}") for c in ("node", "component", *columns)] for side in "xy")
+    left = dealt.select("bucket", F.col("block").alias("i"), every.alias("j"), *x)
+    right = dealt.select("bucket", every.alias("i"), F.col("block").alias("j"), *y)
+    return left.join(right, ["bucket", "i", "j"]).where("x_component < y_component")

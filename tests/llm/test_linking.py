@@ -86,3 +86,38 @@ def test_open_members_meet_block_by_block(spark, monkeypatch):
     assert sorted((r.a, r.b) for r in pairs.collect()) == [(a, b) for a in range(100) for b in range(a + 1, 100)]
     plan = pairs._jdf.queryExecution().optimizedPlan().toString()
     assert "(bucket#" in plan and "(i#" in plan and "(j#" in plan
+
+
+def test_light_groups_equal_all_pairs_by_parities(spark):
+    """One large bucket of sets about the threshold: components as of all pairs, and few pairs left to compare."""
+    sets = variants(120, 300, (15, 60), 5)
+    rows = spark.createDataFrame([(node, e) for node, s in sets.items() for e in s], "node bigint, element bigint").cache()
+    lists = rows.groupBy("node").agg(F.collect_set("element").alias("s"))
+
+    def elements(nodes):
+        return rows.join(nodes, "node", "left_semi")
+
+    def verify(pairs):
+        left, right = (lists.select(F.col("node").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
+        joined = pairs.join(left, "a").join(right, "b").withColumn("c", F.size(F.array_intersect("sa", "sb")))
+        return joined.where("100 * c >= 80 * (size(sa) + size(sb) - c)").select("a", "b")
+
+    buckets = spark.range(120).select(F.lit(7).cast("bigint").alias("bucket"), F.col("id").alias("node"))
+    found = {r.node: r.component for r in linking.link(buckets, verify, elements, 80, light=True).collect()}
+    expected = brute(sets, 80)
+    assert {node: found.get(node, node) for node in sets} == expected
+    assert 1 < len(set(expected.values())) < 120
+    far = variants(400, 300, (60, 80), 6)
+    rows = spark.createDataFrame([(node, e) for node, s in far.items() for e in s], "node bigint, element bigint")
+    members = spark.range(400).selectExpr("7L AS bucket", "id AS node", "id AS component")
+    assert linking._within_parity(members, lambda nodes: rows, 80).count() == 0
+
+
+def test_chains_fall_into_components_in_few_joined_rows(spark):
+    """A round joins only nodes that still have a link; before, every round joined all of them."""
+    links = spark.range(400).selectExpr("id - id % 100 AS a", "id AS b").union(
+        spark.range(300, 700).selectExpr("id AS a", "id + 1 AS b")
+    )
+    found = {r.node: r.component for r in linking.components(links).collect()}
+    assert found == {**{n: n - n % 100 for n in range(300)}, **{n: 300 for n in range(300, 701)}}
+    assert linking.components(links.limit(0)).count() == 0

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from migraspark.llm import classifier, decontaminate, near_dedup, sharding, stages, tokens, warc
+from migraspark.llm import classifier, decontaminate, line_dedup, near_dedup, sharding, stages, tokens, warc
 from migraspark.llm.line_dedup import WORD_EDITS, duplicate_lines, without_lines
 from migraspark.llm.linking import components
 from migraspark.llm.mixing import mix, targets
@@ -313,6 +313,21 @@ def test_lines_of_repeated_words(spark):
     assert [len(r.removed) for r in duplicate_lines(docs).orderBy("doc_id").collect()] == [0, 1, 1, 1, 1]
 
 
+def test_lines_of_every_length_meet_in_some_band(spark):
+    """Pairs at the limit by bytes put in front, lines of 13 to 1000 bytes; before, lines took several rows per band here."""
+    draw, rows = random.Random(9), []
+    for k in range(600):
+        n = draw.choice((8, 12, 20, 32, 40, 64, 200, 800))
+        line = "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n + 7))
+        rows += [(2 * k, line), (2 * k + 1, "".join(draw.choice("0123456789") for _ in range(n // 4)) + line)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    signed = line_dedup._signed(docs, 8, 80)
+    assert signed.count() == 1200 and len(signed.columns) == 17
+    removed = {r.doc_id: r.removed for r in line_dedup.duplicate_lines(docs).collect()}
+    assert sum(removed[2 * k + 1] == [0] for k in range(600)) >= 592
+    assert all(removed[2 * k] == [] for k in range(600))
+
+
 def test_a_word_changed_in_the_middle_of_a_line(spark):
     draw = random.Random(8)
     words = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randint(3, 7))) for _ in range(4000)]

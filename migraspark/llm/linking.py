@@ -26,8 +26,8 @@ PAIRS_PER_MEMBER = 2
 # Where nodes are cheap to compare: open pairs per open member that go straight to the comparison, and
 # shared buckets (16 bytes each) that are sent to all tasks.
 LIGHT_PAIRS, BROADCAST_BUCKETS = 16, 1_000_000
-# Numbers of 64 bits that make the bitmap of a node's shared elements, or the parities of all of its elements.
-BITMAP = 32
+# Numbers of 64 bits that make the bitmap of a node's shared elements, and the parities of all of its elements.
+BITMAP, PARITIES = 32, 16
 # Open members of a bucket are joined in blocks of about so many.
 BLOCK = 256
 
@@ -224,7 +224,7 @@ def _across_components(
         held.groupBy("element").agg(F.count("*").alias("nodes")).where("nodes > 1").select("element")
     )
     sizes = held.groupBy("node").agg(F.count("*").alias("size"))
-    number, one = _bit()
+    number, one = _bit(BITMAP)
     bits = [F.bit_or(F.when(number == i, one).otherwise(F.lit(0).cast("bigint"))) for i in range(BITMAP)]
     shared = (
         held.join(kept_table(common, "common-elements"), "element", "left_semi")
@@ -258,13 +258,13 @@ def _within_parity(
     no more than the elements that do. Elements are folded where they are made.
     """
     held = elements(members.select("node").distinct())
-    number, bit = _bit()
+    number, bit = _bit(PARITIES)
     folded = (
         held.select("node", number.alias("number"), bit.alias("bit"))
         .groupBy("node", "number")
         .agg(F.count("*").alias("size"), F.bit_xor("bit").alias("bits"))
     )
-    numbers = range(BITMAP)
+    numbers = range(PARITIES)
     bits = [F.coalesce(F.max(F.when(F.col("number") == i, F.col("bits"))), F.lit(0)).alias(f"b{i}") for i in numbers]
     profile = kept_table(folded.groupBy("node").agg(F.sum("size").alias("size"), *bits), "open-profiles")
     rows = kept_table(members.join(profile, "node"), "bucket-members")
@@ -277,11 +277,11 @@ def _within_parity(
     )
 
 
-def _bit() -> tuple[Column, Column]:
-    """Of an element: which number of a bitmap it falls on, and that number with its bit set."""
+def _bit(numbers: int) -> tuple[Column, Column]:
+    """Of an element: which of so many numbers it falls on, and that number with its bit set."""
     mixed = F.xxhash64("element")
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(mixed, 58).cast("int"))
-    return F.pmod(mixed, F.lit(BITMAP)), bit
+    return F.pmod(mixed, F.lit(numbers)), bit
 
 
 def _across_blocks(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -113,8 +113,8 @@ def test_light_groups_equal_all_pairs_by_parities(spark):
     assert linking._within_parity(members, lambda nodes: rows, 80).count() == 0
 
 
-def test_chains_fall_into_components_in_few_joined_rows(spark):
-    """A round joins only nodes that still have a link; before, every round joined all of them."""
+def test_chains_and_stars_fall_into_components(spark):
+    """The moves of all rounds, put together at the end, lead every node to the smallest of its component."""
     links = spark.range(400).selectExpr("id - id % 100 AS a", "id AS b").union(
         spark.range(300, 700).selectExpr("id AS a", "id + 1 AS b")
     )

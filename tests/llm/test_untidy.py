@@ -314,7 +314,7 @@ def test_lines_of_repeated_words(spark):
 
 
 def test_lines_of_every_length_meet_in_some_band(spark):
-    """Pairs at the limit by bytes put in front, lines of 13 to 1000 bytes; before, lines took several rows per band here."""
+    """Pairs at the limit by bytes put in front, lines of 15 to 1007 bytes. A distinct line is one row of sixteen minima."""
     draw, rows = random.Random(9), []
     for k in range(600):
         n = draw.choice((8, 12, 20, 32, 40, 64, 200, 800))
